@@ -164,6 +164,7 @@ def price_acceleration(t: Tables) -> DataFrame:
     return rolling.price_acceleration(basket(t)).drop("level")
 
 
+# Levels are quarters of a cent at most, so the half-up quotient is exact in whole numbers.
 FLOOR_SQL = f"""rules AS (
   SELECT DISTINCT p_type AS series_id,
     CASE WHEN length(p_type) > 5 THEN length(p_type) * 25000.0::DOUBLE END AS msp FROM part),
@@ -172,7 +173,7 @@ floor0 AS (
     msp IS NULL AS floor_is_stub, CASE WHEN msp IS NULL THEN 300 ELSE 4000 END AS near
   FROM basket JOIN rules USING (series_id)),
 floor1 AS (
-  SELECT *, CAST(round((level - floor_price) / floor_price, 4) AS DECIMAL(12,4)) AS d FROM floor0),
+  SELECT *, CAST(sign(level - floor_price) * ((CAST(abs(level - floor_price) * 4 AS BIGINT) * 20000 + CAST(floor_price * 4 AS BIGINT)) // (2 * CAST(floor_price * 4 AS BIGINT))) * 0.0001 AS DECIMAL(12,4)) AS d FROM floor0),
 floors AS (
   SELECT series_id, as_of_date, level, floor_price, floor_is_stub, d AS floor_raw,
     {Q.band('-d', '0.05')} AS floor_direction, CAST(least(10000, (CAST(abs(d) * 10000 AS BIGINT) * 20000 + near) // (2 * near)) * 0.0001 AS DECIMAL(5,4)) AS floor_magnitude,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import fixed
+from tidemark.operators.dedupe import first_per_key
 from tidemark.operators.ranks import DIGEST_ROWS, exact_median
 
 SERIES = "series_id"
@@ -108,10 +109,8 @@ def prefer_status(rows: DataFrame, keys: list[str], ranks: dict[str, int]) -> Da
     rank = F.lit(0)
     for status, value in ranks.items():
         rank = F.when(F.col("validation_status") == status, F.lit(value)).otherwise(rank)
-    rest = [c for c in rows.columns if c not in keys]
-    best = F.min(F.struct((-rank).alias("_order"), F.col("observation_id").alias("_id"), *rest))
-    picked = rows.groupBy(*keys).agg(best.alias("_best"))
-    return picked.select(*keys, *[F.col("_best").getField(c).alias(c) for c in rest])
+    staged = rows.withColumn("_order", -rank)
+    return first_per_key(staged, keys, ["_order", "observation_id"]).drop("_order")
 
 
 def regional_weather(weather: DataFrame, expected: DataFrame | None = None) -> DataFrame:
