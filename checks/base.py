@@ -41,7 +41,7 @@ def present(df: DataFrame) -> DataFrame:
             col = col.cast("double")
         elif isinstance(kind, T.DateType):
             col = col.cast("string")
-        elif isinstance(kind, T.TimestampType):
+        elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
             col = F.date_format(col, "yyyy-MM-dd HH:mm:ss")
         columns.append(col.alias(field.name))
     return df.select(*columns)

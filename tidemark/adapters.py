@@ -196,3 +196,112 @@ def line_id() -> Column:
 
 def line_seen() -> Column:
     return F.timestamp_add("HOUR", F.col("l_linenumber"), F.col("l_shipdate"))
+
+
+class Landed(Tables):
+    """The same tables as landed records and stored observations with flaws to find."""
+
+    def raw_records(self) -> DataFrame:
+        places = (
+            self.read("supplier")
+            .join(self.read("nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+            .join(self.read("region"), F.col("r_regionkey") == F.col("n_regionkey"))
+            .select(F.col("s_suppkey").alias("l_suppkey"), "r_name", "n_name", "s_name")
+        )
+        line = self.read("lineitem").join(places, "l_suppkey")
+        order, part, cents = F.col("l_orderkey"), F.col("l_partkey"), unit_cents().cast("long")
+        label = F.lit("Maize")
+        names = ("Cotton", "Kapas", "Cotton (Unginned)", "Cotton-Bags", " Cotton-Loose ",
+                 "Cotton Seed")
+        for i, name in enumerate(names):
+            label = F.when(order % 7 == i, name).otherwise(label)
+        day = F.to_date("l_shipdate")
+        return line.select(
+            line_id().alias("source_file"),
+            F.col("l_linenumber").alias("position"),
+            F.concat(F.lit(" "), "r_name", F.lit(" ")).alias("state"),
+            F.col("n_name").alias("district"),
+            F.col("s_name").alias("market"),
+            label.alias("commodity"),
+            F.when(part % 3 == 0, "A").when(part % 3 == 1, "").alias("variety"),
+            F.when(part % 4 == 0, "FAQ").alias("grade"),
+            F.when(part % 50 == 0, "31/02/2024")
+            .otherwise(F.date_format(day, "d/M/yyyy"))
+            .alias("arrival_date"),
+            F.when(order % 97 == 0, "abc")
+            .when(order % 5 == 0, "")
+            .otherwise(cents.cast("string"))
+            .alias("min_price"),
+            F.when(F.col("l_returnflag") != "R", (cents + 200).cast("string")).alias("max_price"),
+            (cents + 100).cast("string").alias("modal_price"),
+            F.when(F.col("l_linestatus") == "F", F.col("l_quantity").cast("long").cast("string"))
+            .otherwise("")
+            .alias("arrival_tonnes"),
+            F.when(F.col("l_linenumber") % 2 == 0, "7").alias("arrival"),
+        )
+
+    def market_places(self) -> DataFrame:
+        """Known markets: every fifth supplier is unknown."""
+        return (
+            self.read("supplier")
+            .filter(F.col("s_suppkey") % 5 != 0)
+            .join(self.read("nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+            .join(self.read("region"), F.col("r_regionkey") == F.col("n_regionkey"))
+            .select(
+                F.col("r_name").alias("state"),
+                F.col("n_name").alias("district"),
+                F.col("s_name").alias("market"),
+                F.concat(F.lit("m"), F.col("s_suppkey").cast("string")).alias("market_id"),
+            )
+        )
+
+    def stored_prices(self) -> DataFrame:
+        supp = F.col("l_suppkey")
+        return self.read("lineitem").select(
+            line_id().alias("observation_id"),
+            F.when(supp % 17 == 0, None)
+            .when(supp % 13 == 0, F.concat(F.lit("x"), supp.cast("string")))
+            .otherwise(F.concat(F.lit("m"), supp.cast("string")))
+            .alias("market_id"),
+            F.when(F.col("l_orderkey") % 11 == 0, "jute")
+            .when(F.col("l_orderkey") % 23 == 0, "unknown")
+            .otherwise("cotton")
+            .alias("commodity_id"),
+            F.when(F.col("l_returnflag") == "A", "modal")
+            .when(F.col("l_returnflag") == "N", "min")
+            .otherwise("max")
+            .alias("price_type"),
+            F.col("l_extendedprice").alias("value"),
+            F.when(F.col("l_partkey") % 19 != 0, "quintal").alias("unit"),
+            F.lit("INR").alias("currency"),
+            F.to_date("l_shipdate").alias("as_of_date"),
+            F.date_add(F.to_date("l_shipdate"), F.col("l_linenumber") - 2)
+            .cast("timestamp")
+            .alias("observed_at"),
+            F.when(F.col("l_partkey") % 29 == 0, "other").otherwise("agmarknet").alias("source"),
+            F.when(F.col("l_partkey") % 3 == 0, "A").alias("quality_grade"),
+            line_status().alias("validation_status"),
+        )
+
+    def stored_arrivals(self) -> DataFrame:
+        rows = self.stored_prices()
+        return rows.select(
+            "observation_id", "market_id", "commodity_id",
+            (F.col("value") * 10).alias("volume"), "unit", "as_of_date", "observed_at", "source",
+            "validation_status",
+        )
+
+    def dimension_markets(self) -> DataFrame:
+        return self.read("supplier").select(
+            F.concat(F.lit("m"), F.col("s_suppkey").cast("string")).alias("market_id")
+        )
+
+    def dimension_commodities(self) -> DataFrame:
+        """Two registered commodities, read off the order priorities."""
+        first = F.substring("o_orderpriority", 1, 1).cast("int")
+        return (
+            self.read("orders")
+            .select(F.when(first == 1, "cotton").when(first == 2, "jute").alias("commodity_id"))
+            .filter(F.col("commodity_id").isNotNull())
+            .distinct()
+        )

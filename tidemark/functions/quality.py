@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,8 +16,10 @@ def ratio(part: Column, whole: Column) -> Column:
 
 
 def lag_hours(latest: Column, now: Column) -> Column:
-    seconds = (F.unix_micros(now) - F.unix_micros(latest)) / F.lit(1e6)
-    return F.greatest(F.lit(0.0), seconds / F.lit(3600.0))
+    """Hours between the two, not below 0; NULL while nothing was observed."""
+    micros = F.unix_micros(now.cast("timestamp")) - F.unix_micros(latest.cast("timestamp"))
+    hours = micros / F.lit(3_600_000_000.0)
+    return F.when(hours > 0, hours).when(hours.isNotNull(), F.lit(0.0))
 
 
 def health_class(
@@ -66,12 +70,15 @@ def score_penalty(score: Column) -> Column:
 
 def blended_score(market: Column, weather: Column, weather_reporting: Column) -> Column:
     """Mean of both tiers when the second tier reports, else the first alone."""
-    return F.when(weather_reporting > 0, F.round((market + weather) / 2.0, 4)).otherwise(market)
+    four = lambda c: c.cast("decimal(9,4)")
+    mean = F.round((four(market) + four(weather)) * F.lit(Decimal("0.5")), 4).cast("double")
+    return F.when(weather_reporting > 0, mean).otherwise(market)
 
 
 def lag_penalty(hours: Column) -> Column:
     share = F.least(F.lit(fixed.MAX_LAG_PENALTY), hours / fixed.LAG_HOURS_CAP)
-    return F.coalesce(F.round(share, 4), F.lit(0.0))
+    # least() skips NULLs, so an unknown lag is told apart first.
+    return F.when(hours.isNull(), F.lit(0.0)).otherwise(F.round(share, 4))
 
 
 def lag_penalty_from_json(source_health: Column, source: str = fixed.MARKET_SOURCE) -> Column:

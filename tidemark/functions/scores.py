@@ -28,11 +28,14 @@ def exact(x: Column) -> Column:
 
 
 def clip_unit(x: Column) -> Column:
-    return F.round(F.least(F.greatest(x, F.lit(0)), F.lit(1)), 4).cast(UNIT_SCORE)
+    """Into [0, 1] at four places; NULL stays NULL (least and greatest alone would skip it)."""
+    held = F.round(F.least(F.greatest(x, F.lit(0)), F.lit(1)), 4).cast(UNIT_SCORE)
+    return F.when(x.isNotNull(), held)
 
 
 def clip_signed(x: Column) -> Column:
-    return F.round(F.least(F.greatest(x, F.lit(-1)), F.lit(1)), 4).cast(UNIT_SCORE)
+    held = F.round(F.least(F.greatest(x, F.lit(-1)), F.lit(1)), 4).cast(UNIT_SCORE)
+    return F.when(x.isNotNull(), held)
 
 
 def band_direction(value: Column, band: float | str, invert: bool = False) -> Column:

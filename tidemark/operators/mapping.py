@@ -179,6 +179,7 @@ def parse_futures(raw: DataFrame, default_day: Column | None = None) -> DataFram
     """Exchange rows with canonical text columns to typed contracts.
 
     Other symbols and series leave silently; rows that cannot be read keep a ``reject_reason``.
+    Extra columns pass through.
     """
     symbol = F.upper(text_or_null("symbol"))
     series = F.upper(text_or_null("series"))
@@ -205,7 +206,9 @@ def parse_futures(raw: DataFrame, default_day: Column | None = None) -> DataFram
         .when(~skipped(interest_text, "-", "0") & interest.isNull(), "invalid open interest")
         .when(~skipped(volume_text, "-") & volume.isNull(), "invalid volume")
     )
+    extra = [c for c in raw.columns if c not in fixed.FUTURES_HEADERS]
     return raw.filter(wanted).select(
+        *extra,
         day.alias("as_of_date"),
         symbol.alias("contract_symbol"),
         expiry.alias("expiry_date"),

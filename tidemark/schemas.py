@@ -52,7 +52,6 @@ MARKET_RECORD = (
     "grade string, arrival_date string, min_price string, max_price string, "
     "modal_price string, arrival_tonnes string, arrival string"
 )
-MARKET_ENVELOPE = f"records array<struct<{MARKET_RECORD}>>, _corrupt_record string"
 WEATHER_GRID = (
     "header struct<fill_value:double>, geometry struct<coordinates:array<double>>, "
     "properties struct<parameter:struct<PRECTOTCORR:map<string,double>,"
