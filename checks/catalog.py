@@ -1,6 +1,6 @@
 """Imports every check module so that its queries register themselves."""
 
-from checks import forecast, futures, market, observations, signals, weather  # noqa: F401
+from checks import forecast, futures, market, observations, signals, state, weather  # noqa: F401
 from checks.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

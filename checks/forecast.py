@@ -85,10 +85,10 @@ def dataset_missing_counts(t: Tables) -> DataFrame:
     f"""WITH {TARGETS}, {Q.SIGNALS}, agents AS (
   SELECT as_of_date, count(DISTINCT agent_type) AS agents FROM signals WHERE commodity_id = 'c1' GROUP BY ALL)
 SELECT d.series_id, CAST(d.as_of_date AS VARCHAR) AS as_of_date, d.horizon_days, coalesce(2 * agents, 0) AS feature_count
-FROM dataset d LEFT JOIN agents a ON a.as_of_date = d.as_of_date + 9862 - 1000 * (year(d.as_of_date) - 1995)"""
+FROM dataset d LEFT JOIN agents a ON a.as_of_date = DATE '2024-01-01' + CAST((d.as_of_date - DATE '1970-01-01') % 30 AS INTEGER)"""
 )
 def dataset_with_snapshots(t: Tables) -> DataFrame:
-    """Snapshots moved onto the price calendar by a fixed shift per year."""
+    """Thirty days of snapshots repeated along the price calendar."""
     snap = N.snapshots(t.signals().filter("commodity_id = 'c1'"), ORDER).select(
         F.col("as_of_date").alias("_day"), "registry_id", "snapshot_hash", "snapshot_id", "signals",
         F.lit(0).alias("created_at"),
@@ -96,7 +96,7 @@ def dataset_with_snapshots(t: Tables) -> DataFrame:
     rows = dataset(t)
     days = rows.select("series_id", "as_of_date").distinct().withColumn(
         "_day",
-        F.date_add("as_of_date", F.lit(9862) - 1000 * (F.year("as_of_date") - 1995)),
+        F.date_add(F.lit("2024-01-01").cast("date"), F.unix_date("as_of_date") % 30),
     )
     placed = days.join(snap, "_day").drop("_day")
     return D.attach_snapshots(rows, placed).select(
@@ -128,8 +128,8 @@ def rolling_folds(t: Tables) -> DataFrame:
   SELECT a.series_id, a.horizon_days, a.as_of_date, a.idx, count(b.idx) AS eligible FROM numbered a LEFT JOIN numbered b
     ON a.series_id = b.series_id AND a.horizon_days = b.horizon_days AND b.as_of_date + CAST(b.horizon_days AS INTEGER) < a.as_of_date GROUP BY ALL)
 SELECT series_id, horizon_days, row_number() OVER (PARTITION BY series_id, horizon_days ORDER BY as_of_date) - 1 AS fold_index,
-  CAST(as_of_date AS VARCHAR) AS test_date, idx AS test_index, 0 AS train_start, eligible AS train_end, eligible AS train_rows
-FROM elig WHERE eligible >= 24""".replace(" 0 AS train_start", " 0::BIGINT AS train_start")
+  CAST(as_of_date AS VARCHAR) AS test_date, idx AS test_index, 0::BIGINT AS train_start, eligible AS train_end, eligible AS train_rows
+FROM elig WHERE eligible >= 24"""
 )
 def walk_forward_folds(t: Tables) -> DataFrame:
     return W.walk_forward(dataset(t))
@@ -176,7 +176,6 @@ def fold_members(t: Tables) -> DataFrame:
     folds = M.fold_bounds(rows)
     counts = W.numbered(rows).join(folds.drop("n_rows"), W.GROUP).filter("row_index < test_end")
     return counts.groupBy(*W.GROUP, "fold_index").agg(
-        F.count_if("row_index < train_end").alias("train_rows") if False else
         F.count_if(F.col("row_index") < F.col("train_end")).alias("train_rows"),
         F.count_if(F.col("row_index") >= F.col("train_end")).alias("test_rows"),
     )
@@ -266,9 +265,6 @@ def forest_importance(t: Tables) -> DataFrame:
     return M.top_per_lineage(M.feature_importance(matrix, names, "target_price_level"), k=2)
 
 
-SCORES = "SELECT lower(event_type) || '.' || user_id AS name, p.prefix || '.u' || user_id AS feature"
-
-
 @check(
     """WITH scores AS (
   SELECT CASE event_type WHEN 'click' THEN 'market' WHEN 'view' THEN 'weather' WHEN 'purchase' THEN 'futures' ELSE 'other' END || '.u' || user_id AS name,

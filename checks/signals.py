@@ -30,6 +30,10 @@ def latest_signals(t: Tables) -> DataFrame:
     return D.latest_per_key(t.signals(), AGENT_KEY, ORDER)
 
 
+QUALITY_RAW = """least(greatest(0.4::DOUBLE * coverage + 0.35::DOUBLE * completeness + 0.25::DOUBLE * greatest(0.0::DOUBLE, 1.0::DOUBLE - lag_hours / 168.0::DOUBLE)
+      - CASE WHEN anomaly_count > 0 THEN least(0.3::DOUBLE, anomaly_count / proxy_rows::DOUBLE) ELSE 0.0::DOUBLE END, 0.0::DOUBLE), 1.0::DOUBLE)"""
+
+
 def quality_sql(entity: str, source: str, expected: str, extra: str = "") -> str:
     """30-day quality window ending on each day with rows."""
     return f"""day0 AS (
@@ -48,8 +52,7 @@ metrics AS (
 scored AS (
   SELECT *, CASE WHEN reporting = 0 THEN 'missing' WHEN lag_hours > 48 THEN 'stale'
       WHEN coverage < 0.5 OR completeness < 0.25 THEN 'stale' ELSE 'fresh' END AS health,
-    round(least(greatest(0.4::DOUBLE * coverage + 0.35::DOUBLE * completeness + 0.25::DOUBLE * greatest(0.0::DOUBLE, 1.0::DOUBLE - lag_hours / 168.0::DOUBLE)
-      - CASE WHEN anomaly_count > 0 THEN least(0.3::DOUBLE, anomaly_count / proxy_rows::DOUBLE) ELSE 0.0::DOUBLE END, 0.0::DOUBLE), 1.0::DOUBLE), 4) AS score FROM metrics)"""
+    {Q.text_round(QUALITY_RAW)} AS score FROM metrics)"""
 
 
 MARKET_QUALITY = f"""WITH {Q.PRICES}, {Q.ARRIVALS}, """ + quality_sql(
@@ -112,9 +115,9 @@ wframe AS (
   SELECT *, count(*) OVER w AS days, max(seen) OVER w AS latest, sum(bad) OVER w AS anomalies FROM wday
   WINDOW w AS (ORDER BY as_of_date RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW)),
 wscore AS (
-  SELECT as_of_date, round(least(greatest(0.4::DOUBLE * least(1.0::DOUBLE, reporting / 5.0::DOUBLE) + 0.35::DOUBLE * least(1.0::DOUBLE, days / 30.0::DOUBLE)
+  SELECT as_of_date, {Q.text_round('''least(greatest(0.4::DOUBLE * least(1.0::DOUBLE, reporting / 5.0::DOUBLE) + 0.35::DOUBLE * least(1.0::DOUBLE, days / 30.0::DOUBLE)
     + 0.25::DOUBLE * (1.0::DOUBLE - ((epoch_us(CAST(as_of_date + 1 AS TIMESTAMP)) - epoch_us(latest)) / 3600000000.0::DOUBLE) / 168.0::DOUBLE)
-    - CASE WHEN anomalies > 0 THEN least(0.3::DOUBLE, CAST(anomalies AS BIGINT) / greatest(days * reporting, 1)::DOUBLE) ELSE 0.0::DOUBLE END, 0.0::DOUBLE), 1.0::DOUBLE), 4) AS wscore FROM wframe)
+    - CASE WHEN anomalies > 0 THEN least(0.3::DOUBLE, CAST(anomalies AS BIGINT) / greatest(days * reporting, 1)::DOUBLE) ELSE 0.0::DOUBLE END, 0.0::DOUBLE), 1.0::DOUBLE)''')} AS wscore FROM wframe)
 SELECT series_id, CAST(as_of_date AS VARCHAR) AS as_of_date,
   CASE WHEN wscore IS NULL THEN score
     ELSE CAST(round((CAST(score AS DECIMAL(9,4)) + CAST(wscore AS DECIMAL(9,4))) * 0.5, 4) AS DOUBLE) END AS blended_score

@@ -113,3 +113,9 @@ def band(expression: str, edge: str) -> str:
 
 def sign(column: str) -> str:
     return f"CASE {column} WHEN 'bullish' THEN 1 WHEN 'bearish' THEN -1 ELSE 0 END"
+
+
+def text_round(expression: str) -> str:
+    """Half-up at four places on the decimal text of a double, as Spark rounds."""
+    text = f"CAST(CAST({expression} AS VARCHAR) AS DECIMAL(30,20))"
+    return f"CAST(round({text}, 4) AS DOUBLE)"

@@ -15,6 +15,7 @@ from tidemark import fixed
 from tidemark.operators.basket import DAY, SERIES
 from tidemark.operators.folds import GROUP, numbered, rolling_origin
 from tidemark.plans.kpi import regression_metrics
+from tidemark.session import cut_lineage
 
 SPOT, TARGET = "spot_price_level", "target_price_level"
 
@@ -188,7 +189,8 @@ def forest_predictions(matrix: DataFrame, features: list[str], **settings: int)
     """
     staged, renamed = dotless(matrix.withColumn("_spot", F.col(SPOT)), features)
     names = list(renamed)
-    indexed = numbered(staged)
+    # Every fold reads the same rows again; the shared checkpoint keeps a lost executor cheap.
+    indexed = cut_lineage(numbered(staged))
     folds = fold_bounds(matrix, **settings)
     bounds = folds.select(*GROUP, "fold_index", "train_end", "test_end")
     indices = [r[0] for r in folds.select("fold_index").distinct().orderBy("fold_index").collect()]
@@ -260,7 +262,8 @@ def feature_importance(matrix: DataFrame, features: list[str], label: str) -> Da
     """Forest importances by feature name."""
     staged, renamed = dotless(matrix, features)
     assembler, model = forest(list(renamed), label)
-    fitted = model.fit(assembler.transform(staged))
+    # Tree levels read the rows again and again; cut the plan behind them first.
+    fitted = model.fit(assembler.transform(cut_lineage(staged)))
     return importance_table(
         matrix.sparkSession, fitted.featureImportances.toArray().tolist(), features
     )
