@@ -8,21 +8,21 @@ from pyspark.sql import functions as F
 from tidemark.operators.basket import DAY, SERIES
 
 
-def near_far(contracts: DataFrame) -> DataFrame:
-    """Two nearest live expiries per (series, day); days with fewer than two are absent.
+def near_far(contracts: DataFrame, all_days: bool = False) -> DataFrame:
+    """Two nearest live expiries per (series, day).
 
-    The rank filter lets Spark keep only two rows per key in each map task before the shuffle.
+    Days with fewer than two are absent, or kept with NULL contracts when ``all_days`` is set. The
+    rank filter lets Spark keep only two rows per key in each map task before the shuffle.
     """
-    order = Window.partitionBy(SERIES, DAY).orderBy("expiry_date", "contract_symbol")
-    ranked = (
-        contracts.filter(F.col("expiry_date") > F.col(DAY))
-        .withColumn("_pos", F.row_number().over(order))
-        .filter(F.col("_pos") <= 2)
+    live = F.col("expiry_date") > F.col(DAY)
+    order = Window.partitionBy(SERIES, DAY).orderBy(
+        F.when(live, 0).otherwise(1), "expiry_date", "contract_symbol"
     )
-    pick = lambda pos, name: F.max(F.when(F.col("_pos") == pos, F.col(name)))
-    return (
-        ranked.groupBy(SERIES, DAY)
-        .agg(
+    rows = contracts if all_days else contracts.filter(live)
+    ranked = rows.withColumn("_pos", F.row_number().over(order)).filter(F.col("_pos") <= 2)
+    pick = lambda pos, name: F.max(F.when(live & (F.col("_pos") == pos), F.col(name)))
+    curve = ranked.groupBy(SERIES, DAY).agg(
+        F.struct(
             pick(1, "contract_symbol").alias("near_symbol"),
             pick(1, "expiry_date").alias("near_expiry"),
             pick(1, "settle_price").alias("near_settle"),
@@ -30,11 +30,13 @@ def near_far(contracts: DataFrame) -> DataFrame:
             pick(2, "contract_symbol").alias("far_symbol"),
             pick(2, "expiry_date").alias("far_expiry"),
             pick(2, "settle_price").alias("far_settle"),
-            F.count(F.lit(1)).alias("_live"),
-        )
-        .filter(F.col("_live") == 2)
-        .drop("_live")
+        ).alias("_curve"),
+        F.count_if(live).alias("_live"),
     )
+    kept = curve if all_days else curve.filter(F.col("_live") == 2)
+    return kept.select(
+        SERIES, DAY, F.when(F.col("_live") == 2, F.col("_curve")).alias("_curve")
+    ).select(SERIES, DAY, "_curve.*")
 
 
 def open_interest_history(contracts: DataFrame) -> DataFrame:

@@ -119,6 +119,8 @@ def issues(rules: list[Rule], first_only: bool = False) -> Column:
     if first_only:
         first = F.coalesce(*entries)
         return F.when(first.isNotNull(), F.array(first)).otherwise(F.array().cast(_ISSUES))
+    # The filter keeps this projection out of whole-stage code, whose single method would grow
+    # past what the JVM compiles; as an own projection it is split into small methods.
     return F.filter(F.array(*entries), lambda x: x.isNotNull())
 
 
@@ -189,48 +191,50 @@ def issue_histogram(checked: DataFrame) -> DataFrame:
 
 def categorise(checked: DataFrame, table: str) -> DataFrame:
     """Distinct anomaly categories of each row, including a status that is not usable yet."""
-    mapping = F.create_map(*[F.lit(x) for pair in CATEGORIES.items() for x in pair])
-    named = F.transform(
-        "issues",
-        lambda i: F.coalesce(F.try_element_at(mapping, i.getField("check")),
-                             F.lit("other_validation")),
-    )
     pending = ~F.col("validation_status").isin(*fixed.USABLE_STATUSES)
     lifecycle = F.when(pending, F.array(F.lit("non_validated_status"))).otherwise(
         F.array().cast("array<string>")
     )
-    found = F.array_distinct(F.concat(named, lifecycle))
-    return checked.select(
+
+    def category(issue: Column) -> Column:
+        name = F.lit("other_validation")
+        for check, owner in CATEGORIES.items():
+            name = F.when(issue.getField("check") == check, owner).otherwise(name)
+        return name
+
+    found = F.array_distinct(F.concat(F.transform("issues", category), lifecycle))
+    clean = F.array(F.lit("clean_data_pending_validation"))
+    categories = F.when(F.size("_found") > 0, F.col("_found")).otherwise(clean)
+    return checked.withColumn("_found", found).select(
         F.lit(table).alias("table_name"),
         "observation_id",
         "market_id",
         "validation_status",
         *[F.col(c) for c in ("price_type", "quality_grade") if c in checked.columns],
-        F.when(F.size(found) > 0, found)
-        .otherwise(F.array(F.lit("clean_data_pending_validation")))
-        .alias("categories"),
+        categories.alias("categories"),
     )
 
 
 def anomaly_breakdown(classified: DataFrame) -> DataFrame:
     """Row counts by category, status, price type and market in one grouping-sets pass."""
     rows = classified.select(
-        F.explode("categories").alias("category"),
-        (F.col("categories")[0]).alias("_lead"),
+        F.posexplode("categories").alias("_at", "category"),
         "validation_status",
         "price_type",
         "market_id",
-    ).withColumn("_first", (F.col("category") == F.col("_lead")).cast("long"))
-    sets = rows.groupingSets(
+    )
+    # One row per combination before the four-fold expansion. A row shows up once per category;
+    # the other breakdowns count it at its first category only.
+    cells = rows.groupBy("category", "validation_status", "price_type", "market_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(F.col("_at") == 0).alias("_first")
+    )
+    sets = cells.groupingSets(
         [[F.col("category")], [F.col("validation_status")], [F.col("price_type")],
          [F.col("market_id")]],
         "category", "validation_status", "price_type", "market_id",
     )
-    # A row shows up once per category; the other breakdowns count it at its first category.
     counted = sets.agg(
-        F.grouping_id().alias("_set"),
-        F.count(F.lit(1)).alias("_all"),
-        F.sum("_first").alias("_rows"),
+        F.grouping_id().alias("_set"), F.sum("_n").alias("_all"), F.sum("_first").alias("_rows")
     )
     by = F.col("_set")
     names = {7: "category", 11: "validation_status", 13: "price_type", 14: "market_id"}

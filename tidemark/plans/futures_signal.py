@@ -26,20 +26,20 @@ def futures_signal(
     """
     keys = [B.SERIES, B.DAY]
     usable = B.usable_rows(observations)
-    if requested is None:
-        requested = usable.select(*keys)
-    curve = C.near_far(usable)
+    # Without a request the curve pass itself names the days, so no further scan is needed.
+    curve = C.near_far(usable, all_days=True)
     # The near expiry is a property of the day, so each expiry's history is scored at its marked
     # days (equal keys, calendar frame) instead of joining a date range.
-    marks = curve.select(B.SERIES, F.col("near_expiry").alias("expiry_date"), B.DAY)
+    marks = curve.filter(F.col("near_expiry").isNotNull()).select(
+        B.SERIES, F.col("near_expiry").alias("expiry_date"), B.DAY
+    )
     history = rolling.open_interest_change(C.open_interest_history(usable), marks).drop(
         "expiry_date"
     )
+    if requested is not None:
+        curve = requested.select(*keys).distinct().join(curve, keys, "left")
     joined = (
-        requested.select(*keys)
-        .distinct()
-        .join(curve, keys, "left")
-        .join(history, keys, "left")
+        curve.join(history, keys, "left")
         .join(spot.select(*keys, F.col("level").alias("spot_level")), keys, "left")
     )
     if feed_ok is not None:
