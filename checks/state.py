@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from checks import sql as Q
 from checks.base import check
 from checks.forecast import TARGETS, dataset
-from checks.signals import LATEST, ORDER, forecasts, latest_signals
+from checks.signals import LATEST, ORDER, assembled, forecasts, latest_signals
 from tidemark import fixed, schemas
 from tidemark.adapters import Tables
 from tidemark.functions import canonical as J
@@ -252,7 +252,7 @@ def replay_determinism(t: Tables) -> DataFrame:
     prints = R.fingerprint(first).unionByName(R.fingerprint(second))
     same = prints.agg((F.count_distinct("fingerprint", "row_count") == 1).alias("same_fingerprint"))
     wrong = R.mismatches(first, second).agg(F.count(F.lit(1)).alias("mismatched"))
-    return wrong.crossJoin(same)
+    return wrong.select("mismatched", same.scalar().alias("same_fingerprint"))
 
 
 @check(
@@ -324,3 +324,23 @@ def registered_models(t: Tables) -> DataFrame:
     )
     stored = rows.filter("o_orderkey % 2 = 1")
     return X.register_models(stored, rows.filter("o_orderkey % 2 = 0")).select("o_orderkey")
+
+
+@check(
+    f"""WITH {LATEST}, days AS (SELECT commodity_id, as_of_date, count(*) FILTER (agent_type IN ('Market', 'Weather', 'Futures')) AS n,
+    count(*) FILTER (agent_type = 'Futures') AS f FROM latest GROUP BY ALL)
+SELECT commodity_id, CAST(as_of_date AS VARCHAR) AS as_of_date, horizon_days, CASE WHEN f = 1 THEN 5 * n ELSE 5 * n + 13 END AS feature_count
+FROM days CROSS JOIN (SELECT unnest([30, 60])::BIGINT AS horizon_days) h WHERE commodity_id <> 'c3'"""
+)
+def importance_panel(t: Tables) -> DataFrame:
+    """Two generations of feature sets per day: the older one is empty and must not be picked."""
+    now = assembled(t).withColumn("created_at", F.lit(2))
+    nothing = F.create_map().cast("map<string,string>")
+    older = now.withColumn("created_at", F.lit(1)).withColumn("feature_values", nothing)
+    rows = now.filter("commodity_id <> 'c3'").select(
+        *P.KEY, F.explode(F.array(F.lit(30), F.lit(60))).alias("horizon_days")
+    )
+    panel = P.importance_panel(rows, older.unionByName(now))
+    return panel.select(
+        "commodity_id", "as_of_date", "horizon_days", F.size("feature_values").alias("feature_count")
+    )

@@ -133,6 +133,7 @@ WALK_FORWARD_MIN_TRAIN = 24
 MAPE_EPSILON = 1e-6
 FOREST_TREES = 50
 MODEL_SEED = 42
+MODEL_VERSION_MARK = "@pi11-"
 NAIVE = "naive_persistence"
 LINEAR = "linear_regression"
 FOREST = "random_forest"

@@ -70,13 +70,9 @@ def with_reporting_ratio(daily: DataFrame, expected: DataFrame) -> DataFrame:
 
     ``daily`` comes from rows already restricted to the expected markets.
     """
-    total = expected.select("market_id").distinct().agg(F.count(F.lit(1)).alias("_expected"))
-    share = F.round(F.col("markets_reporting") / F.col("_expected"), 4)
-    return (
-        daily.crossJoin(F.broadcast(total))
-        .withColumn("reporting_pct", F.when(F.col("_expected") > 0, share).otherwise(F.lit(0.0)))
-        .drop("_expected")
-    )
+    total = expected.agg(F.count_distinct("market_id")).scalar()
+    share = F.round(F.col("markets_reporting") / total, 4)
+    return daily.withColumn("reporting_pct", F.coalesce(F.when(total > 0, share), F.lit(0.0)))
 
 
 def source_refs(
@@ -122,8 +118,8 @@ def regional_weather(weather: DataFrame, expected: DataFrame | None = None) -> D
         weather, expected, entity="region_id", statuses=fixed.WEATHER_USABLE_STATUSES
     ).filter(F.col("rainfall_mm").isNotNull())
     picked = prefer_status(rows, [SERIES, "region_id", DAY], fixed.STATUS_RANK)
-    regions = (expected if expected is not None else weather).select("region_id").distinct()
-    total = regions.agg(F.count(F.lit(1)).alias("regions_expected"))
+    regions = expected if expected is not None else weather
+    total = regions.agg(F.count_distinct("region_id")).scalar()
     return (
         picked.groupBy(SERIES, DAY)
         .agg(
@@ -132,5 +128,5 @@ def regional_weather(weather: DataFrame, expected: DataFrame | None = None) -> D
             F.avg(F.col("relative_humidity_pct").cast("double")).alias("relative_humidity_pct"),
             F.count(F.lit(1)).alias("regions_reporting"),
         )
-        .crossJoin(F.broadcast(total))
+        .withColumn("regions_expected", total)
     )

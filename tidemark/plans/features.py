@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import fixed
 from tidemark.functions import canonical as J
 from tidemark.functions.scores import number_or_null
+from tidemark.operators.dedupe import latest_per_key
 
 KEY = ["commodity_id", "as_of_date", "registry_id"]
 ASSEMBLY_VERSION = "1"
@@ -163,3 +164,12 @@ def training_matrix(
     ]
     matrix = rows.select(*keep, F.col(SPOT).cast("double").alias(SPOT), *cells)
     return matrix, [SPOT, *ordered]
+
+
+def importance_panel(rows: DataFrame, feature_sets: DataFrame) -> DataFrame:
+    """Supervised rows with the newest feature set of their day and registry.
+
+    ``rows`` carry (commodity_id, as_of_date, registry_id); days without a feature set are left out.
+    """
+    newest = latest_per_key(feature_sets, KEY, ["created_at", "feature_hash"])
+    return rows.join(newest.select(*KEY, "feature_values", "feature_lineage"), KEY)

@@ -31,10 +31,9 @@ def horizon_kpis(
         ).alias("_mape"),
         F.avg(F.when(banded, inside.cast("double"))).alias("_coverage"),
     )
-    wanted = pairs.sparkSession.range(1).select(
-        F.explode(F.array(*[F.lit(h).cast("long") for h in horizons])).alias("horizon_days")
-    )
-    frame = pairs.select(*keys).distinct().crossJoin(wanted) if keys else wanted
+    wanted = F.explode(F.array(*[F.lit(h).cast("long") for h in horizons])).alias("horizon_days")
+    groups = pairs.select(*keys).distinct() if keys else pairs.sparkSession.range(1)
+    frame = groups.select(*keys, wanted)
     return frame.join(measured, [*keys, "horizon_days"], "left").select(
         *keys,
         "horizon_days",
@@ -69,7 +68,7 @@ def beats_naive(results: DataFrame, keys: list[str], metric: str = "rmse") -> Da
 
 
 def model_version(model: Column, mode: Column, seed: int = fixed.MODEL_SEED) -> Column:
-    return F.concat(model, F.lit("@pi11-"), mode, F.lit(f"-seed{seed}"))
+    return F.concat(model, F.lit(fixed.MODEL_VERSION_MARK), mode, F.lit(f"-seed{seed}"))
 
 
 def quality_rows(kpis: DataFrame, identity: dict[str, Column]) -> DataFrame:

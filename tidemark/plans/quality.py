@@ -44,7 +44,7 @@ def source_metrics(
     Every metric is a frame over daily counts: latest reporting day, days with data, latest source
     time and unusable rows. ``now`` defaults to the end of the day itself.
     """
-    total = expected.distinct().agg(F.count(F.lit(1)).alias("expected"))
+    total = expected.agg(F.count_distinct(*expected.columns)).scalar()
     frame = days_back(window_days - 1)
     has = F.col("_reporting") > 0
     cell = F.when(has, F.struct("_reporting", F.col(DAY).alias("_day")))
@@ -55,7 +55,7 @@ def source_metrics(
         F.count(cell).over(frame).alias("days_with_data"),
         F.max("_seen").over(frame).alias("latest_observed_at"),
         F.sum("_bad_rows").over(frame).alias("anomaly_count"),
-    ).crossJoin(F.broadcast(total))
+    ).withColumn("expected", total)
     clock = now if now is not None else F.date_add(DAY, 1).cast("timestamp")
     whole = F.lit(window_days)
     reporting = F.coalesce("_latest._reporting", F.lit(0))
