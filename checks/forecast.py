@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from checks import sql as Q
 from checks.base import check
-from checks.market import MOMENTUM_SQL, basket
+from checks.market import ARRIVAL_SQL, MOMENTUM_SQL, basket
 from checks.signals import ORDER
+from checks.weather import FEATURES_SQL
 from tidemark.adapters import Tables
 from tidemark.operators import basket as B
 from tidemark.operators import folds as W
@@ -380,7 +381,28 @@ def momentum_correlations(t: Tables) -> DataFrame:
     )
 
 
-@check()
+_LONG = " UNION ALL ".join(
+    f"SELECT series_id, '{name}' AS signal, {h}::BIGINT AS horizon_days, {column} AS s, r{h} AS r FROM wide"
+    for name, column in (("price_momentum", "s"), ("arrival_momentum", "arrival_s"),
+                         ("rainfall_shock", "shock_s"), ("temperature_stress", "stress_s"))
+    for h in (7, 30)
+)
+
+
+@check(
+    f"""WITH {PANEL}, {Q.VOLUMES}, {ARRIVAL_SQL}, {Q.REGIONAL}, {FEATURES_SQL},
+wide AS (
+  SELECT p.*, coalesce(a.arrival_raw, 0)::DOUBLE AS arrival_s, f.rainfall_shock::DOUBLE AS shock_s, f.temperature_stress::DOUBLE AS stress_s
+  FROM panel p LEFT JOIN arrival a ON a.series_id = p.series_id AND a.as_of_date = p.as_of_date
+  LEFT JOIN features f ON f.as_of_date = p.as_of_date),
+long AS ({_LONG}),
+ranked AS (
+  SELECT *, rank() OVER (PARTITION BY series_id, signal, horizon_days ORDER BY s) + (count(*) OVER (PARTITION BY series_id, signal, horizon_days, s) - 1) / 2.0::DOUBLE AS rs,
+    rank() OVER (PARTITION BY series_id, signal, horizon_days ORDER BY r) + (count(*) OVER (PARTITION BY series_id, signal, horizon_days, r) - 1) / 2.0::DOUBLE AS rr
+  FROM long WHERE r IS NOT NULL AND s IS NOT NULL)
+SELECT series_id, signal, horizon_days, count(*) AS sample_size, round(corr(s, r), 6) AS pearson_r, round(corr(rs, rr), 6) AS spearman_rho
+FROM ranked GROUP BY ALL"""
+)
 def signal_correlation_table(t: Tables) -> DataFrame:
     """All tracked signals and horizons."""
     rows = E.correlations(E.long_pairs(panel(t)))

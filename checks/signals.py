@@ -231,10 +231,9 @@ STUB = """SELECT unnest(['futures.direction', 'futures.magnitude', 'futures.conf
   unnest(['neutral', '0', '0', '0', 'true', '0.0', NULL, '0.0', '0.0', '0.0', '0.0', '0.0', 'true']) AS value"""
 
 
-@check(
-    f"""WITH {LATEST}, three AS (SELECT *, lower(agent_type) AS p FROM latest WHERE agent_type IN ('Market', 'Weather', 'Futures')),
-days AS (SELECT DISTINCT commodity_id, as_of_date FROM latest), stub AS ({STUB})
-SELECT commodity_id, CAST(as_of_date AS VARCHAR) AS as_of_date, name, value FROM (
+FEATURE_ROWS = f"""{LATEST}, three AS (SELECT *, lower(agent_type) AS p FROM latest WHERE agent_type IN ('Market', 'Weather', 'Futures')),
+days AS (SELECT DISTINCT commodity_id, as_of_date FROM latest), stub AS ({STUB}),
+feature_rows AS (
   SELECT commodity_id, as_of_date, p || '.direction' AS name, direction AS value FROM three
   UNION ALL SELECT commodity_id, as_of_date, p || '.magnitude', CAST(magnitude AS VARCHAR) FROM three
   UNION ALL SELECT commodity_id, as_of_date, p || '.confidence', CAST(confidence AS VARCHAR) FROM three
@@ -242,12 +241,29 @@ SELECT commodity_id, CAST(as_of_date AS VARCHAR) AS as_of_date, name, value FROM
   UNION ALL SELECT commodity_id, as_of_date, p || '.components.k', k FROM three
   UNION ALL SELECT d.commodity_id, d.as_of_date, s.name, s.value FROM days d CROSS JOIN stub s
     WHERE NOT EXISTS (SELECT 1 FROM three x WHERE x.p = 'futures' AND x.commodity_id = d.commodity_id AND x.as_of_date = d.as_of_date))"""
+
+
+@check(
+    f"""WITH {FEATURE_ROWS}
+SELECT commodity_id, CAST(as_of_date AS VARCHAR) AS as_of_date, name, value FROM feature_rows"""
 )
 def feature_vectors(t: Tables) -> DataFrame:
     return X.feature_vectors(assembled(t)).drop("registry_id")
 
 
-@check()
+@check(
+    f"""WITH {FEATURE_ROWS}, sets AS (
+  SELECT commodity_id, as_of_date, count(*) AS feature_count,
+    string_agg('"' || name || '":' || coalesce('"' || value || '"', 'null'), ',' ORDER BY name) AS body,
+    count(*) FILTER (name = 'market.value') AS m, count(*) FILTER (name = 'weather.value') AS w,
+    count(*) FILTER (name = 'futures.stub') AS s FROM feature_rows GROUP BY ALL)
+SELECT commodity_id, CAST(as_of_date AS VARCHAR) AS as_of_date, feature_count,
+  sha256('{{"as_of_date":"' || CAST(as_of_date AS VARCHAR) || '","assembly_version":"1","commodity_id":"' || commodity_id
+    || '","feature_values":{{' || body || '}},"registry_id":"r1"}}') AS feature_hash,
+  '{{"assembly_version":"1","agents":[' || CASE WHEN m = 1 THEN '{{"agent":"market","is_stub":false}},' ELSE '' END
+    || CASE WHEN w = 1 THEN '{{"agent":"weather","is_stub":false}},' ELSE '' END
+    || '{{"agent":"futures","is_stub":' || CASE WHEN s = 1 THEN 'true' ELSE 'false' END || '}}]}}' AS lineage FROM sets"""
+)
 def feature_sets(t: Tables) -> DataFrame:
     rows = assembled(t)
     return rows.select(

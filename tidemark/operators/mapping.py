@@ -65,9 +65,9 @@ def quality_grade(variety: Column, grade: Column) -> Column:
 
 def resolve_markets(records: DataFrame, markets: DataFrame) -> DataFrame:
     """Market id by trimmed (state, district, market); unknown markets keep NULL for counting."""
-    known = markets.select(
-        *[F.trim(F.col(c)).alias(c) for c in MARKET_KEY], "market_id"
-    ).dropDuplicates(MARKET_KEY)
+    named = markets.select(*[F.trim(F.col(c)).alias(c) for c in MARKET_KEY], "market_id")
+    # Should two markets share a name, the smaller id is taken in every run.
+    known = named.groupBy(*MARKET_KEY).agg(F.min("market_id").alias("market_id"))
     return records.join(known, MARKET_KEY, "left")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark import schemas
 from tidemark.functions import dates
 from tidemark.operators import dedupe, mapping
+from tidemark.session import cut_lineage
 from tidemark.sources import tables
 from tidemark.sources.files import ORDER
 
@@ -102,8 +103,11 @@ def ingest_market(
 ) -> dict:
     """Append new facts under ``folder`` and return the counters with the snapshot anchor day.
 
-    The anchor is the latest day of the inserted rows, else of the batch, else None.
+    The anchor is the latest day of the inserted rows, else of the batch, else None. The parsed
+    records are checkpointed once: counters, anchor and both appends would otherwise read and
+    parse the landed documents again.
     """
+    parsed = cut_lineage(parsed)
     price_path, arrival_path = f"{folder}/price_observation", f"{folder}/arrival_observation"
     days = parsed.select("as_of_date")
     stored_prices = stored_in_range(spark, price_path, schemas.PRICE_OBSERVATION, days)

@@ -27,12 +27,7 @@ def market_stream(
     )
 
     def handle(batch: DataFrame, _: int) -> None:
-        # The micro-batch is read by several jobs; keeping it spares re-reading the documents.
-        kept = batch.persist()
-        try:
-            ingest_market(spark, parse_market(raw_market_records(kept)), markets, folder)
-        finally:
-            kept.unpersist()
+        ingest_market(spark, parse_market(raw_market_records(batch)), markets, folder)
 
     return (
         documents.writeStream.foreachBatch(handle)
