@@ -74,6 +74,14 @@ def test_grouped_and_forest_models(rows, tmp_path):
     assert reason == "saved_artifact"
 
 
+def test_forest_lands_near_the_published_scores(rows):
+    matrix = rows.filter("horizon_days = 30").select(
+        "series_id", "as_of_date", "horizon_days", "spot_price_level", "target_price_level")
+    result = M.evaluation(M.forest_predictions(matrix, ["spot_price_level"])).first()
+    assert (result["fold_count"], result["n_samples"]) == (3, 60)
+    assert 130 < result["mae"] < 210 and 150 < result["rmse"] < 230
+
+
 def test_walk_forward_against_loop(spark):
     rng = random.Random(3)
     days = sorted(rng.sample(X.days(400), 150))
