@@ -7,19 +7,63 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import quality_rules
+from tidemark.llm import line_dedup, quality_rules
 from tidemark.llm.common import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[fn.__name__] = fn
-    return fn
+def query(sql: str | None = None):
+    """Register ``fn`` under its name, with the SQL that gives the same rows."""
 
+    def register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLES[fn.__name__] = sql
+        return fn
 
-@query
+    return register
+
+
+@query(
+    """WITH line AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS raw,
+    unnest(range(len(string_split(text, chr(10))))) AS n FROM documents),
+occ AS (SELECT *, trim(raw) AS t, length(trim(raw)) AS k FROM line),
+uniq AS (
+  SELECT t, k, doc_id, n, k // 2 AS h FROM occ WHERE k >= 20
+  QUALIFY row_number() OVER (PARTITION BY t ORDER BY doc_id, n) = 1),
+blocked AS (
+  SELECT a.t AS a, b.t AS b, a.k AS ka, b.k AS kb, a.doc_id AS da, a.n AS na, b.doc_id AS db, b.n AS nb
+  FROM uniq a JOIN uniq b ON left(a.t, a.h) = left(b.t, a.h) AND b.k IN (a.k, a.k + 1) AND a.t <> b.t
+  UNION
+  SELECT a.t, b.t, a.k, b.k, a.doc_id, a.n, b.doc_id, b.n
+  FROM uniq a JOIN uniq b ON right(a.t, a.k - a.h) = right(b.t, a.k - a.h) AND b.k IN (a.k, a.k + 1) AND a.t <> b.t),
+linked AS (
+  SELECT * FROM blocked WHERE CASE WHEN ka = kb
+    THEN len(list_filter(range(1, ka + 1), lambda i: substr(a, i, 1) <> substr(b, i, 1))) = 1
+    ELSE len(list_filter(range(0, kb), lambda i: left(b, i) || substr(b, i + 2) = a)) > 0 END),
+near AS (
+  SELECT b AS t FROM linked WHERE (da, na) < (db, nb) UNION SELECT a FROM linked WHERE (db, nb) < (da, na)),
+judged AS (
+  SELECT o.doc_id, o.n, o.raw, o.k >= 20 AS long, u.t IS NOT NULL AS first, w.t IS NOT NULL AS near
+  FROM occ o LEFT JOIN uniq u ON o.t = u.t AND o.doc_id = u.doc_id AND o.n = u.n
+  LEFT JOIN near w ON u.t = w.t)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (long) AS n_long,
+  count(*) FILTER (long AND first AND NOT near) AS n_kept, count(*) FILTER (long AND first AND near) AS n_near,
+  md5(coalesce(string_agg(raw, chr(10) ORDER BY n) FILTER (NOT long OR (first AND NOT near)), '')) AS text_md5
+FROM judged GROUP BY doc_id"""
+)
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines kept of every document, and the digest of its cleaned text."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select(
+        "doc.doc_id", "n_lines", "n_long", "n_kept", "n_near", F.md5("text").alias("text_md5")
+    )
+
+
+@query()
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts and verdict of every document."""
     docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
