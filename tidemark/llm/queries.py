@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup, quality_rules
+from tidemark.llm import line_dedup, packing, quality_rules
 from tidemark.llm.common import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,9 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         F.round("class_distance", 6).alias("class_distance"),
         F.round("word_distance", 6).alias("word_distance"),
     )
+
+
+@query()
+def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Place of every piece of every document."""
+    return packing.pack(table(spark, folder, "documents").select("doc_id", "text"))
