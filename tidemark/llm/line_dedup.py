@@ -164,18 +164,19 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     marks = kept_places(docs).select(
         F.col("doc_id").alias("mark_id"), F.col("text_hash").alias("mark_hash"), "keep", "n_near"
     )
-    base = packed(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
+    text = F.col("doc")["text"]
+    base = packed(docs, "doc_id").withColumn("text_hash", F.xxhash64(text))
     both = base.join(
         marks, F.col("doc_id").eqNullSafe(F.col("mark_id")) & (F.col("text_hash") == F.col("mark_hash")), "left"
     )
     # Markers sort right before the line they keep; a long line without one is dropped.
     merged = both.select(
-        "doc", "text", "n_near",
+        "doc", text.alias("text"), "n_near",
         F.size(F.coalesce("keep", F.expr("cast(array() as array<int>)"))).cast("long").alias("n_kept"),
         F.sort_array(
             F.concat(
                 F.transform(
-                    F.split("text", "\n", -1),
+                    F.split(text, "\n", -1),
                     lambda x, i: F.struct(i.alias("i"), F.lit(1).alias("kind"), x.alias("line")),
                 ),
                 F.transform(

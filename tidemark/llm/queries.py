@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup, packing, quality_rules
+from tidemark.llm import line_dedup, packing, quality_rules, secrets
 from tidemark.llm.common import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,18 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Place of every piece of every document."""
     return packing.pack(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query()
+def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and places of the secrets of every document."""
+    found = secrets.find_secrets(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc.doc_id",
+        *(
+            F.size(F.get("found", F.lit(k))).cast("long").alias(f"n_{rule.kind}")
+            for k, rule in enumerate(secrets.BASE)
+        ),
+        F.sha2(secrets.span_text(F.col("found"), secrets.BASE), 256).alias("base_sha256"),
+        secrets.span_text(F.col("found"), secrets.RULES).alias("spans"),
+    )
