@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup, packing, quality_rules, secrets
+from tidemark.llm import line_dedup, packing, quality_rules, secrets, token_counts, warc
 from tidemark.llm.common import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,19 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(secrets.span_text(F.col("found"), secrets.BASE), 256).alias("base_sha256"),
         secrets.span_text(F.col("found"), secrets.RULES).alias("spans"),
     )
+
+
+@query()
+def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document, counted in flat token files."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs).select("doc_id", "n_tokens")
+
+
+@query()
+def op3_warc_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page as it is read back from the archives."""
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return warc.archive_and_read(pages).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "fault"
+    )
