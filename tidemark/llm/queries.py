@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup, packing, quality_rules, secrets, token_counts, warc
+from tidemark.llm import line_dedup, minhash, packing, quality_rules, secrets, token_counts, warc
 from tidemark.llm.common import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,10 @@ def op3_warc_segments(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archive_and_read(pages).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "fault"
     )
+
+
+@query()
+def op7_weighted_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Class of near-duplicates of every document, and its links."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs).select("doc.doc_id", "class_id", "links")
