@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import minhash, shingles
 from tidemark.llm.components import components
+from tidemark.llm.frequencies import inverse_frequencies
 
 
 def corpus():
@@ -60,7 +61,7 @@ def test_classes_equal_all_pairs(spark):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, class_id string").repartition(4)
     got = minhash.near_duplicates(docs).select("doc.doc_id", "class_id", "links").collect()
-    want = by_hand(rows, minhash.inverse_frequencies(docs))
+    want = by_hand(rows, inverse_frequencies(docs, minhash._keys))
     classes = lambda out: sorted(((r[0], r[1]) for r in out), key=key)
     assert classes(got) == classes(want)
     assert len({r[1] for r in want}) < len(want) - 30

@@ -20,12 +20,11 @@ from pyspark.sql import functions as F
 from tidemark.llm import shingles as S
 from tidemark.llm.common import packed, staged
 from tidemark.llm.components import components
+from tidemark.llm.frequencies import inverse_frequencies, slots
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 3
-#: Hash slots of the document frequencies; the table of weights has this many numbers at any size.
-SLOTS = 1 << 18
 #: Draws that each sample's shingles choose from, as a power of two.
 DRAW_BITS = 13
 #: Shingles x samples that are worked on at once.
@@ -33,42 +32,13 @@ AT_ONCE = 200_000
 REACH = 1 - SIMILARITY + 1e-9
 
 
-def _slots(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(40)).astype(np.int64) % SLOTS
-
-
-def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, docs = np.zeros(SLOTS, dtype=np.int64), 0
-    for batch in batches:
-        for text in batch.column("text"):
-            keys, _ = S.shingles(text.as_py(), SHINGLE_WORDS)
-            if len(keys):
-                total[np.unique(_slots(keys))] += 1
-                docs += 1
-    held = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([-1, *held.tolist()], pa.int64()), pa.array([docs, *total[held].tolist()], pa.int64())],
-        names=["slot", "n"],
-    )
-
-
-def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """Weight of each slot: log((1 + documents) / (1 + documents with a shingle in it)) + 1.
-
-    All documents count. The result has ``SLOTS`` numbers however many documents there are.
-    """
-    counted = docs.select("text").mapInArrow(_count_slots, "slot bigint, n bigint")
-    rows = counted.groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    total = rows.loc[rows["slot"] == -1, "n"].sum()
-    held = np.zeros(SLOTS)
-    real = rows[rows["slot"] >= 0]
-    held[real["slot"].to_numpy()] = real["n"].to_numpy()
-    return (np.log((1 + total) / (1 + held)) + 1).astype(np.float32)
+def _keys(text: str | None) -> np.ndarray:
+    return S.shingles(text, SHINGLE_WORDS)[0]
 
 
 def weighted(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys, counts = S.shingles(text, SHINGLE_WORDS)
-    return keys, counts * idf[_slots(keys)]
+    return keys, counts * idf[slots(keys)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -177,7 +147,7 @@ def classes_of(base: DataFrame) -> DataFrame:
     compared too. No link is lost to a cap.
     """
     spark = base.sparkSession
-    idf = spark.sparkContext.broadcast(inverse_frequencies(base))
+    idf = spark.sparkContext.broadcast(inverse_frequencies(base, _keys))
     signed = staged(
         base.select("doc_id", "id", "text").mapInArrow(
             lambda batches: _sign(batches, idf), "doc_id bigint, id binary, bands array<bigint>"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup, minhash, packing, quality_rules, secrets, token_counts, warc
+from tidemark.llm import decontaminate, line_dedup, minhash, packing, quality_rules, secrets, token_counts, warc
 from tidemark.llm.common import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,11 @@ def op7_weighted_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """Class of near-duplicates of every document, and its links."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return minhash.near_duplicates(docs).select("doc.doc_id", "class_id", "links")
+
+
+@query()
+def op8_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that leak benchmark items, and which."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    leaks = decontaminate.find_leaks(docs, table(spark, folder, "benchmark"))
+    return leaks.select("doc_id", "item_id", *(F.round(c, 4).alias(c) for c in ("cosine", "share", "answer")))

@@ -12,6 +12,8 @@ INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: White space and ASCII punctuation: what parts words when only letters and digits count.
+_BREAK = _SPACE | np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -31,12 +33,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(text: str | None) -> np.ndarray:
-    """64-bit hash of every word, in order; ASCII letters in either case are equal."""
+def words(text: str | None, plain: bool = False) -> np.ndarray:
+    """64-bit hash of every word, in order; ASCII letters in either case are equal.
+
+    Words are parted by white space, with ``plain`` by ASCII punctuation too.
+    """
     if not text:
         return np.zeros(0, dtype=np.uint64)
     data = _LOWER[np.frombuffer(text.encode(), dtype=np.uint8)]
-    inside = np.concatenate([[False], ~_SPACE[data], [False]])
+    inside = np.concatenate([[False], ~(_BREAK if plain else _SPACE)[data], [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
