@@ -43,6 +43,16 @@ def packed(df: DataFrame, *columns: str) -> DataFrame:
     )
 
 
+def fenced(df: DataFrame, keep: list[str], columns: list[Column]) -> DataFrame:
+    """``keep`` and computed ``columns``, made once.
+
+    A filter on a computed column would be pushed down and carry the whole computation with it, again
+    for each time it is named. The outer generator stops that.
+    """
+    made = F.explode_outer(F.array(F.struct(*columns))).alias("made")
+    return df.select(*keep, made).select(*keep, "made.*")
+
+
 def words_of(text: Column) -> Column:
     """Words of a text in order; null has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")

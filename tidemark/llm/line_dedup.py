@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import packed, staged
+from tidemark.llm.common import fenced, packed, staged
 
 #: Shorter lines (trimmed) are left alone: one edit says little about them.
 MIN_CHARS = 20
@@ -195,14 +195,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         ),
     )
     long_lines = F.filter("marked", lambda m: (m["kind"] == 1) & (F.length(F.trim(m["line"])) >= MIN_CHARS))
-    return merged.select(
-        "doc",
+    zero = F.lit(0).cast("long")
+    return fenced(merged, ["doc"], [
         F.when(F.col("text").isNotNull(), F.array_join(F.transform(left, lambda m: m["line"]), "\n")).alias("text"),
-        (F.coalesce(F.size("marked").cast("long"), F.lit(0).cast("long")) - F.col("n_kept")).alias("n_lines"),
-        F.coalesce(F.size(long_lines).cast("long"), F.lit(0).cast("long")).alias("n_long"),
-        "n_kept",
-        F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
-    )
+        (F.coalesce(F.size("marked").cast("long"), zero) - F.col("n_kept")).alias("n_lines"),
+        F.coalesce(F.size(long_lines).cast("long"), zero).alias("n_long"),
+        F.col("n_kept"),
+        F.coalesce("n_near", zero).cast("long").alias("n_near"),
+    ])
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:

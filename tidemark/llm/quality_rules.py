@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACES, packed, words_of
+from tidemark.llm.common import SPACES, fenced, packed, words_of
 
 # Frequent function words of each language, the bins of the word histogram.
 COMMON_WORDS = {
@@ -120,14 +120,13 @@ def count_text(docs: DataFrame) -> DataFrame:
         ).alias("n_repeat_words"),
     )
     points = F.length(_without(F.col("s5"), "[.,;:!?'\"()-]+"))
-    return rest.select(
-        "doc", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        F.array(
-            F.col("n0") - F.col("n1"), F.col("n2") - F.col("n3"), F.col("n3") - F.col("n4"),
-            F.col("n1") - F.col("n2"), F.col("n4") - F.length("s5"), F.length("s5") - points, points,
-        ).cast("array<bigint>").alias("classes"),
-        _common_counts(F.col("lang"), F.col("found"), F.col("n_words")).alias("common"),
-    )
+    classes = F.array(
+        F.col("n0") - F.col("n1"), F.col("n2") - F.col("n3"), F.col("n3") - F.col("n4"),
+        F.col("n1") - F.col("n2"), F.col("n4") - F.length("s5"), F.length("s5") - points, points,
+    ).cast("array<bigint>")
+    counts = [F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    common = _common_counts(F.col("lang"), F.col("found"), F.col("n_words"))
+    return fenced(rest, ["doc", "lang"], [*counts, classes.alias("classes"), common.alias("common")])
 
 
 def base_failed() -> Column:
