@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, line_dedup, minhash, packing, quality_rules, secrets, token_counts, warc
+from tidemark.llm import chat, classifier, decontaminate, line_dedup, minhash, packing, quality_rules, secrets, token_counts, warc
 from tidemark.llm.common import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,41 @@ def op8_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     leaks = decontaminate.find_leaks(docs, table(spark, folder, "benchmark"))
     return leaks.select("doc_id", "item_id", *(F.round(c, 4).alias(c) for c in ("cosine", "share", "answer")))
+
+
+@query(
+    """WITH RECURSIVE calls AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
+chain AS (
+  SELECT c.conv_id, c.turn, 0 AS level FROM calls c
+  WHERE NOT EXISTS (SELECT 1 FROM calls p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 2)
+  UNION ALL
+  SELECT c.conv_id, c.turn, p.level + 1 FROM chain p JOIN calls c ON c.conv_id = p.conv_id AND c.turn = p.turn + 2),
+answers AS (
+  SELECT conv_id, turn - 1 AS turn, text AS content FROM conversations WHERE role = 'assistant'),
+rows AS (
+  SELECT c.conv_id, c.turn, k.level, c.text, a.turn IS NOT NULL AS linked, a.content
+  FROM calls c JOIN chain k USING (conv_id, turn) LEFT JOIN answers a USING (conv_id, turn))
+SELECT conv_id, 't' || turn AS call_id, CAST(level AS BIGINT) AS level,
+  CASE WHEN linked THEN 'linked' ELSE 'open' END AS status, length(text) > 0 AS valid,
+  CAST(CASE WHEN length(text) > 0 THEN 0 ELSE 1 END AS BIGINT) AS n_errors,
+  md5('{"after":["t' || (turn - 2) || '"],"arguments":{"text":' || to_json(text) || ',"turn":' || turn
+    || '},"id":"t' || turn || '","name":"reply","result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null')
+    || ',"status":"' || CASE WHEN linked THEN 'linked' ELSE 'open' END || '"}') AS line_md5
+FROM rows"""
+)
+def op4_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Every user's turn as a call, linked to its answer, checked and serialised."""
+    talks = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    linked = chat.link_calls(*chat.turns_as_calls(talks), chat.REPLY)
+    return linked.select(
+        "conv_id", "call_id", "level", "status", "valid", F.size("errors").cast("long").alias("n_errors"),
+        F.md5("line").alias("line_md5"),
+    )
+
+
+@query()
+def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Perplexity and verdict of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
+    judged = classifier.classify(docs, table(spark, folder, "labels"))
+    return judged.withColumn("perplexity", F.round("perplexity", 6))
