@@ -132,22 +132,38 @@ def test_preferred_status_wins(spark):
     assert daily["rainfall_mm"] == 2.0 and daily["regions_reporting"] == 1
 
 
-@pytest.mark.parametrize("digest_rows", [3, 200_000])
-def test_exact_median_small_and_hot_groups(spark, digest_rows):
+def test_exact_median_of_any_group(spark):
     rng = random.Random(1)
-    groups = {"hot": 5000, "one": 1, "two": 2, "some": 37}
-    rows = [(g, float(rng.choice((rng.randint(-50, 50), rng.uniform(0, 1e6)))))
-            for g, n in groups.items() for _ in range(n)]
-    df = spark.createDataFrame(rows, "g string, v double")
-    got = {r["g"]: r["m"] for r in ranks.exact_median(df, ["g"], "v", "m", digest_rows).collect()}
+    groups = {"large": 5000, "one": 1, "two": 2, "some": 37, "small": 3000, "same": 400}
+    pick = {"small": lambda: rng.uniform(0, 0.001), "same": lambda: 7.0}
+    other = lambda: float(rng.choice((rng.randint(-50, 50), rng.uniform(-1e6, 1e6), 0.0)))
+    rows = [(g, pick.get(g, other)(), i) for g, n in groups.items() for i in range(n)]
+    rows += [("none", None, 3), ("none", None, 9), ("one", None, 8), (None, 1.0, 1)]
+    df = spark.createDataFrame(rows, "g string, v double, t int").repartition(5)
+    out = {r["g"]: r for r in ranks.exact_median(df, ["g"], "v", "m", {"last": "t"}, "n").collect()}
+    assert set(out) == {*groups, "none"}
     for g in groups:
-        assert got[g] == pytest.approx(statistics.median(v for k, v in rows if k == g), abs=1e-9)
+        assert out[g]["m"] == statistics.median(v for k, v, _ in rows if k == g and v is not None)
+        assert out[g]["n"] == groups[g]
+    assert out["none"]["m"] is None and out["none"]["last"] == 9 and out["one"]["last"] == 8
+
+
+def test_value_blocks_keep_the_order(spark):
+    values = sorted({s * m * 2.0**e for s in (-1, 1) for e in range(-30, 31, 3) for m in (1, 1 - 2**-52, 1 + 2**-52, 1.3, 1.99)})
+    values = [float("-inf"), *values[: len(values) // 2], 0.0, *values[len(values) // 2 :], float("inf"), float("nan")]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v double")
+    blocks = [r["b"] for r in df.orderBy("i").select(ranks.value_block(F.col("v")).alias("b")).collect()]
+    assert blocks == sorted(blocks)
 
 
 def test_hot_group_is_spread_over_tasks(spark):
-    df = spark.range(20000).select(F.lit("hot").alias("g"), (F.col("id") * 3.7 + 100).alias("v"))
-    blocks = df.select(ranks.value_block(F.col("v")).alias("b")).distinct().count()
-    assert blocks > 100
+    """One group of 2 million rows in 8 tasks: what is shuffled is blocks, and no task gets a large share."""
+    df = spark.range(0, 2_000_000, 1, 8).select(F.lit("hot").alias("g"), (F.rand(4) * 0.001).alias("v"))
+    blocks = df.groupBy(ranks.value_block(F.col("v")).alias("b")).count().agg(F.count("*"), F.max("count")).first()
+    assert blocks[0] > 100 and blocks[1] < 40_000
+    median = ranks.exact_median(df, ["g"], "v", "m").first()["m"]
+    low, high = df.agg(F.sum((F.col("v") < median).cast("int")), F.sum((F.col("v") > median).cast("int"))).first()
+    assert low == high == 1_000_000
 
 
 def test_average_ranks_with_ties(spark):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed
 from tidemark.operators.dedupe import first_per_key
-from tidemark.operators.ranks import DIGEST_ROWS, exact_median
+from tidemark.operators.ranks import exact_median
 
 SERIES = "series_id"
 DAY = "as_of_date"
@@ -29,33 +29,29 @@ def usable_rows(
     return out
 
 
-def daily_prices(prices: DataFrame, digest_rows: int = DIGEST_ROWS) -> DataFrame:
-    """Basket level, reporting markets and latest source time per series and day, in one pass.
+def daily_prices(prices: DataFrame) -> DataFrame:
+    """Basket level, reporting markets and latest source time per series and day.
 
-    The level is the median per market of the modal prices, then the median across markets. The
-    second median sees at most one row per known market, so a plain aggregate is bounded.
+    The level is the median per market of the modal prices, then the median across markets. Both
+    medians spread a group over value blocks, so neither a hot market nor a day with millions of
+    markets meets in one task.
     """
     modal = F.when(F.col("price_type") == fixed.MODAL, F.col("value"))
     per_market = exact_median(
-        prices.withColumn("_modal", modal),
-        [SERIES, DAY, "market_id"],
-        "_modal",
-        "_level",
-        digest_rows,
-        extra=[F.max("observed_at").alias("_seen")],
+        prices.withColumn("_modal", modal), [SERIES, DAY, "market_id"], "_modal", "_level",
+        latest={"_seen": "observed_at"},
     )
-    return per_market.groupBy(SERIES, DAY).agg(
-        F.median("_level").alias("level"),
-        F.count("_level").alias("markets_reporting"),
-        F.max("_seen").alias("price_seen_at"),
+    return exact_median(
+        per_market, [SERIES, DAY], "_level", "level",
+        latest={"price_seen_at": "_seen"}, count="markets_reporting",
     )
 
 
-def price_basket(prices: DataFrame, digest_rows: int = DIGEST_ROWS) -> DataFrame:
+def price_basket(prices: DataFrame) -> DataFrame:
     """Two-level median of the modal prices per series and day."""
     modal = prices.filter(F.col("price_type") == fixed.MODAL)
-    per_market = exact_median(modal, [SERIES, DAY, "market_id"], "value", "_level", digest_rows)
-    return per_market.groupBy(SERIES, DAY).agg(F.median("_level").alias("level"))
+    per_market = exact_median(modal, [SERIES, DAY, "market_id"], "value", "_level")
+    return exact_median(per_market, [SERIES, DAY], "_level", "level")
 
 
 def arrival_totals(arrivals: DataFrame) -> DataFrame:

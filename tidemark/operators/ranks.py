@@ -5,49 +5,75 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Groups up to this many rows are answered by the bounded digest of the first pass.
-DIGEST_ROWS = 200_000
-
-
 def exact_median(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    out: str,
-    digest_rows: int = DIGEST_ROWS,
-    extra: list[Column] | None = None,
+    df: DataFrame, keys: list[str], value: str, out: str,
+    latest: dict[str, str] | None = None, count: str | None = None,
 ) -> DataFrame:
-    """Interpolating median of ``value`` per group, with ``extra`` aggregates in the same pass.
+    """Interpolating median of ``value`` per group.
+
+    ``latest`` maps new columns to columns to maximise, ``count`` names a column for the values.
 
-    One map-side-combined pass keeps a bounded quantile digest per group. While a group has fewer
-    rows than the digest has cells every row is still its own cell, so both middle values are
-    exact (the upper middle is the lower middle of the negated values). Groups beyond that are
-    recomputed from value counts spread over (group, value block) by :func:`middle_values`. Their
-    keys are broadcast: at most one key per ``digest_rows`` input rows, usually none, in which
-    case adaptive execution drops the second branch without reading anything.
+    One map-side-combined pass counts the rows of each (group, value block) and keeps their least
+    and greatest value; a block is a narrow range of values, so a group of any size is a bounded
+    number of small rows. The blocks that cover the middle ranks answer by themselves when they
+    hold one value, or no more than two rows. Only rows of the other middle blocks are read
+    again, as value counts spread over (group, block). There is one way for all groups.
 
-    Rows with a NULL key belong to no group; NULL values count for ``extra`` only.
+    Rows with a NULL key belong to no group; NULL values count for ``latest`` only.
     """
-    cells = F.lit(4 * digest_rows)
+    latest = latest or {}
     x = F.col(value).cast("double")
-    grouped = df.filter(_all_known(keys))
-    digest = grouped.groupBy(*keys).agg(
-        F.count(x).alias("_n"),
-        ((F.percentile_approx(x, 0.5, cells) - F.percentile_approx(-x, 0.5, cells)) / 2).alias(
-            "_m"
-        ),
-        *(extra or []),
+    rows = df.filter(_all_known(keys)).select(*keys, x.alias("_x"), *[F.col(c).alias(n) for n, c in latest.items()])
+    block = value_block(F.col("_x")).alias("_block")
+    cells = rows.groupBy(*keys, block).agg(
+        F.count("_x").alias("_rows"), F.min("_x").alias("_low"), F.max("_x").alias("_high"),
+        *[F.max(n).alias(n) for n in latest],
+    )
+    in_order = Window.partitionBy(*keys).orderBy("_block")
+    placed = cells.withColumn("_before", F.sum("_rows").over(in_order) - F.col("_rows")).withColumn(
+        "_total", F.sum("_rows").over(Window.partitionBy(*keys))
+    )
+    found = {}
+    plain = (F.col("_rows") <= 2) | (F.col("_low") == F.col("_high"))
+    for side, rank in (("lower", F.floor((F.col("_total") + 1) / 2)), ("upper", F.floor(F.col("_total") / 2) + 1)):
+        spot = rank - F.col("_before")
+        inside = (spot >= 1) & (spot <= F.col("_rows"))
+        value_there = F.when(spot == 1, F.col("_low")).otherwise(F.col("_high"))
+        found[f"_{side}"] = F.max(F.when(inside & plain, value_there))
+        found[f"_{side}_open"] = F.max(F.when(inside & ~plain, F.struct("_block", spot.alias("_spot"))))
+    groups = placed.groupBy(*keys).agg(
+        *[c.alias(n) for n, c in found.items()], F.max("_total").alias("_count"),
+        *[F.max(n).alias(n) for n in latest],
+    )
+    open_spots = groups.select(
+        *keys, F.explode(F.array_compact(F.array("_lower_open", "_upper_open"))).alias("_open")
+    ).select(*keys, "_open.*").distinct()
+    filled = _at_spots(rows.select(*keys, "_x"), open_spots, keys)
+    counted = [F.col("_count").alias(count)] if count else []
+    return groups.join(filled, keys, "left").select(
+        *keys, *latest, *counted, ((_side("lower") + _side("upper")) / 2).alias(out)
+    )
+
+
+def _side(side: str) -> Column:
+    """Value of one middle rank: known from its block, or read from the rows of the block."""
+    spot = F.col(f"_{side}_open")
+    read = F.filter("_read", lambda r: (r["_block"] == spot["_block"]) & (r["_spot"] == spot["_spot"]))
+    return F.coalesce(F.col(f"_{side}"), F.get(read, F.lit(0))["_value"])
+
+
+def _at_spots(rows: DataFrame, spots: DataFrame, keys: list[str]) -> DataFrame:
+    """``_read``: at most two (block, spot, value) per group, for spots counted within a block."""
+    cell = [*keys, "_block"]
+    blocks = spots.select(*cell).distinct()
+    inside = rows.filter(F.col("_x").isNotNull()).withColumn("_block", value_block(F.col("_x")))
+    counts = inside.join(blocks, cell, "left_semi").groupBy(*cell, "_x").agg(F.count(F.lit(1)).alias("_rows"))
+    upto = F.sum("_rows").over(Window.partitionBy(*cell).orderBy("_x"))
+    met = counts.withColumn("_upto", upto).join(spots, cell)
+    hit = met.filter((F.col("_spot") <= F.col("_upto")) & (F.col("_spot") > F.col("_upto") - F.col("_rows")))
+    return hit.groupBy(*keys).agg(
+        F.collect_list(F.struct("_block", "_spot", F.col("_x").alias("_value"))).alias("_read")
     )
-    kept = [c for c in digest.columns if c not in ("_n", "_m")]
-    small = digest.filter(F.col("_n") <= digest_rows).select(*kept, F.col("_m").alias(out))
-    # Both branches read the same aggregate, so its exchange is computed once.
-    hot = digest.filter((F.col("_n") > digest_rows) & F.col("_m").isNotNull()).select(*kept)
-    rows = grouped.filter(x.isNotNull()).select(*keys, x.alias("_x"))
-    rows = rows.join(F.broadcast(hot.select(*keys)), keys, "left_semi")
-    large = middle_values(rows, keys, "_x", out)
-    if len(kept) > len(keys):
-        large = large.join(hot, keys)
-    return small.unionByName(large.select(*kept, out))
 
 
 def _all_known(keys: list[str]) -> Column:
@@ -58,8 +84,22 @@ def _all_known(keys: list[str]) -> Column:
 
 
 def value_block(x: Column) -> Column:
-    """Order-preserving coarse block of a double, about 0.1 % wide; at most 1.5 M distinct."""
-    return F.floor(F.signum(x) * F.log1p(F.abs(x)) * 1024).cast("long")
+    """Order-preserving block of a double: 64 steps in each power of two, at any magnitude.
+
+    Linear between powers of two, so rounding of the logarithm cannot break the order. Zero, the
+    infinities and NaN (the greatest) have blocks of their own; NULL has none.
+    """
+    size = F.abs(x)
+    power = F.floor(F.log2(size))
+    steps = power * 64 + F.floor((size / F.pow(F.lit(2.0), power) - 1) * 64) + 1100 * 64
+    side = F.when(x < 0, -1).otherwise(1)
+    return (
+        F.when(F.isnan(x), F.lit(10**6))
+        .when(size == F.lit(float("inf")), side * 10**5)
+        .when(x == 0, F.lit(0))
+        .when(x.isNotNull(), side * steps)
+        .cast("long")
+    )
 
 
 def value_positions(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -99,19 +139,6 @@ def _within_blocks(cells: DataFrame, blocks: DataFrame, keys: list[str]) -> Data
     )
 
 
-def middle_values(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """Median by position: the one or two values that cover the middle ranks."""
-    lower = F.floor((F.col("_total") + 1) / 2)
-    upper = F.floor(F.col("_total") / 2) + 1
-    covers = (F.col("_before") < upper) & (F.col("_before") + F.col("_rows") >= lower)
-    return (
-        value_positions(df, keys, value)
-        .filter(covers)
-        .groupBy(*keys)
-        .agg(((F.min("_value") + F.max("_value")) / 2).alias(out))
-    )
-
-
 def average_ranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """Rank of each distinct value, ties averaged: (keys, value, rank)."""
     return value_positions(df, keys, value).select(

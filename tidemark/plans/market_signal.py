@@ -27,7 +27,6 @@ def market_signal(
     rules: DataFrame | None = None,
     requested: DataFrame | None = None,
     lag: DataFrame | None = None,
-    digest_rows: int = B.DIGEST_ROWS,
 ) -> DataFrame:
     """Four features and their composite per (series, day).
 
@@ -38,7 +37,7 @@ def market_signal(
     keys = [B.SERIES, B.DAY]
     prices = B.usable_rows(prices, expected)
     arrivals = B.usable_rows(arrivals, expected)
-    daily = B.with_reporting_ratio(B.daily_prices(prices, digest_rows), expected)
+    daily = B.with_reporting_ratio(B.daily_prices(prices), expected)
     priced = rolling.price_acceleration(rolling.price_momentum(daily))
     joined = priced.join(rolling.arrival_momentum(B.arrival_totals(arrivals)), keys, "full")
     if requested is not None:
