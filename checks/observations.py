@@ -127,8 +127,8 @@ def market_lookup(t: Tables) -> DataFrame:
 @check(
     f"""WITH {MAPPED}
 SELECT market_id, CAST(as_of_date AS VARCHAR) AS as_of_date, quality_grade, price_type, value, source_file FROM kept
-WHERE NOT EXISTS (SELECT 1 FROM stored0 s WHERE s.market_id = kept.market_id AND s.as_of_date = kept.as_of_date
-  AND s.price_type = kept.price_type AND s.quality_grade IS NOT DISTINCT FROM kept.quality_grade)""".replace(
+ANTI JOIN stored0 s ON s.market_id = kept.market_id AND s.as_of_date = kept.as_of_date
+  AND s.price_type = kept.price_type AND coalesce(s.quality_grade, '~') = coalesce(kept.quality_grade, '~')""".replace(
         "kept_loads AS",
         "stored0 AS (SELECT * FROM drafts WHERE as_of_date < DATE '1996-01-01'), kept_loads AS",
     )
@@ -479,4 +479,4 @@ def keyed_upsert(t: Tables) -> DataFrame:
     old = t.weather().select(*keys).distinct().withColumn("version", F.lit("old"))
     cut = F.lit(dt.date(1998, 1, 1))
     new = old.filter(F.col("as_of_date") >= cut).withColumn("version", F.lit("new"))
-    return D.upsert(old, new, keys)
+    return D.upsert(old, new, keys, ["version"])

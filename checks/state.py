@@ -136,13 +136,15 @@ def policy_rows(t: Tables) -> DataFrame:
     """WITH p AS (
   SELECT o_orderkey AS event_id, o_custkey % 4 AS kind, CAST(o_orderdate AS DATE) AS d, CASE WHEN o_custkey % 3 <> 0 THEN o_orderstatus ELSE '' END AS s FROM orders)
 SELECT event_id FROM p WHERE event_id % 2 = 0
-  AND NOT EXISTS (SELECT 1 FROM p q WHERE q.event_id % 2 = 1 AND q.kind = p.kind AND q.d = p.d AND q.s = p.s)"""
+  AND NOT EXISTS (SELECT 1 FROM p q WHERE q.event_id % 2 = 1 AND q.kind = p.kind AND q.d = p.d AND q.s = p.s)
+QUALIFY row_number() OVER (PARTITION BY kind, d, s ORDER BY event_id) = 1"""
 )
 def new_policy_events(t: Tables) -> DataFrame:
     """Even orders are incoming events, odd ones are stored."""
     rows = policy_rows(t)
     stored = rows.filter("event_id % 2 = 1")
-    return seeds.new_policy_events(rows.filter("event_id % 2 = 0"), stored).select("event_id")
+    fresh = rows.filter("event_id % 2 = 0")
+    return seeds.new_policy_events(fresh, stored, ["event_id"]).select("event_id")
 
 
 def registry_rows(t: Tables) -> DataFrame:
@@ -197,7 +199,7 @@ SELECT 'r' || s_suppkey AS registry_id, s_suppkey = last AS is_active,
 def registry_activation(t: Tables) -> DataFrame:
     """Every commodity activates its first valid version, then its last."""
     empty = registry_rows(t).limit(0)
-    registry = X.add_versions(empty, registry_rows(t))
+    registry = X.add_versions(empty, registry_rows(t), ["registry_id"])
     number = F.col("version").cast("int")
     targets = lambda pick: registry.groupBy("commodity_id").agg(
         pick("registry_id", number).alias("target_id")
@@ -215,7 +217,7 @@ SELECT 'n' || n_nationkey AS commodity_id, CASE WHEN k IS NULL THEN '' ELSE 'Mar
 FROM nation LEFT JOIN good ON s_nationkey = n_nationkey"""
 )
 def active_required_agents(t: Tables) -> DataFrame:
-    registry = X.add_versions(registry_rows(t).limit(0), registry_rows(t))
+    registry = X.add_versions(registry_rows(t).limit(0), registry_rows(t), ["registry_id"])
     last = registry.groupBy("commodity_id").agg(
         F.max_by("registry_id", F.col("version").cast("int")).alias("target_id")
     )
@@ -303,7 +305,8 @@ def expected_markets(t: Tables) -> DataFrame:
     """WITH m AS (
   SELECT o_orderkey, o_custkey, o_orderkey % 9 = 0 AS negative, o_orderkey % 8 = 0 AS bad_horizon FROM orders WHERE o_orderkey % 2 = 0)
 SELECT o_orderkey FROM m WHERE NOT negative AND NOT bad_horizon
-  AND NOT EXISTS (SELECT 1 FROM orders s WHERE s.o_orderkey % 2 = 1 AND s.o_custkey = m.o_custkey)"""
+  AND NOT EXISTS (SELECT 1 FROM orders s WHERE s.o_orderkey % 2 = 1 AND s.o_custkey = m.o_custkey)
+QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1"""
 )
 def registered_models(t: Tables) -> DataFrame:
     """Even orders are incoming models, odd ones registered; the customer is the version."""
@@ -323,7 +326,8 @@ def registered_models(t: Tables) -> DataFrame:
         ).alias("metrics"),
     )
     stored = rows.filter("o_orderkey % 2 = 1")
-    return X.register_models(stored, rows.filter("o_orderkey % 2 = 0")).select("o_orderkey")
+    incoming = rows.filter("o_orderkey % 2 = 0")
+    return X.register_models(stored, incoming, ["o_orderkey"]).select("o_orderkey")
 
 
 @check(

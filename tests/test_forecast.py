@@ -185,11 +185,29 @@ def test_training_matrix_and_names(spark):
     matrix, names = P.training_matrix(df)
     assert names == ["spot_price_level", "b", "c"]
     assert sorted(tuple(r) for r in matrix.collect()) == [(1.0, 2.0, 0.0), (3.0, 0.0, 1.0)]
-    with pytest.raises(ValueError):
-        P.training_matrix(df, max_features=1)
     assert len(P.names_hash(names)) == 64
 
 
+def test_training_vectors_have_no_limit(spark):
+    long = "n" * 128
+    first = {f"f{i:05d}": str(i) for i in range(20_000)} | {long + "a": "1", long + "b": "2", "word": "x"}
+    df = spark.createDataFrame([(1, 1.0, first), (2, 3.0, {"f00002": "9", "spot_price_level": "5"}), (3, 4.0, {})],
+                               "k int, spot_price_level double, features map<string,string>")
+    vectors, index = P.training_vectors(df, ["k"])
+    names = {r["index"]: r["name"] for r in index.collect()}
+    assert [names[i] for i in range(len(names))] == ["spot_price_level", *sorted(n for n in first if n != "word")]
+    got = {r["k"]: r for r in vectors.collect()}
+    assert {names[i]: v for i, v in zip(got[1]["indices"], got[1]["values"])} == {n: float(v) for n, v in first.items() if n != "word"}
+    assert ([names[i] for i in got[2]["indices"]], got[2]["values"], got[3]["indices"]) == (["f00002"], [9.0], [])
+
+
+def test_feature_names_are_whole(spark):
+    long = "n" * 128
+    sets = spark.createDataFrame([("c", dt.date(2026, 1, 1), "r", {long + "a": "1", long + "b": "2"})],
+                                 "commodity_id string, as_of_date date, registry_id string, feature_values map<string,string>")
+    assert {r["name"] for r in P.feature_vectors(sets).collect()} == {long + "a", long + "b"}
+
+
 def test_replay_is_stable_across_shuffle_settings(spark):
     prices = X.rising_prices(spark, 60)
     produce = lambda: B.price_basket(B.usable_rows(prices))

@@ -1,11 +1,14 @@
 import datetime as dt
 import json
+import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark import schemas
-from tidemark.operators import mapping
+from tidemark.operators import dedupe as D
+from tidemark.operators import mapping, versions
 from tidemark.plans import ingest
 from tidemark.sources import files, seeds, tables
 from tidemark.streaming.file_ingest import market_stream
@@ -160,27 +163,55 @@ def test_seeds_and_policy(spark, tmp_path):
     assert [r["state"] for r in seeds.expected_states(found["market"]).collect()] == ["T"]
     path = str(tmp_path / "dim" / "market")
     for _ in range(2):
-        tables.upsert_table(spark, path, found["market"], ["market_id"])
+        tables.upsert_table(spark, path, found["market"], ["market_id"], ["market_id"])
     assert spark.read.parquet(path).count() == 2
     policy = {"commodity_id": "cotton", "observations": [
         {"policy_type": "export_ban", "source": "pib_manual", "published_date": "2026-01-01",
          "effective_date": "2026-01-02", "impact_direction": "bearish", "confidence": "0.9"}]}
     (tmp_path / "policy.json").write_text(json.dumps(policy))
     events = seeds.policy_events(spark, str(tmp_path / "policy.json"))
-    assert seeds.new_policy_events(events, events.limit(0)).count() == 1
-    assert seeds.new_policy_events(events, events.withColumn("summary", F.lit(""))).count() == 0
+    assert seeds.new_policy_events(events.unionAll(events), events.limit(0), ["effective_date"]).count() == 1
+    assert seeds.new_policy_events(events, events.withColumn("summary", F.lit("")), ["effective_date"]).count() == 0
 
 
 def test_month_upsert_keeps_other_months(spark, tmp_path):
     path = str(tmp_path / "q")
     make = lambda rows: spark.createDataFrame(rows, "k string, as_of_date date, score double")
     jan, feb = dt.date(2026, 1, 5), dt.date(2026, 2, 5)
-    tables.upsert_months(spark, path, make([("a", jan, 1.0), ("a", feb, 1.0)]), ["k", "as_of_date"])
-    tables.upsert_months(spark, path, make([("a", feb, 2.0), ("b", feb, 3.0)]), ["k", "as_of_date"])
+    tables.upsert_months(spark, path, make([("a", jan, 1.0), ("a", feb, 0.5), ("a", feb, 1.0)]), ["k", "as_of_date"], ["score"])
+    tables.upsert_months(spark, path, make([("a", feb, 2.0), ("b", feb, 1.0), ("b", feb, 3.0)]), ["k", "as_of_date"], ["score"])
     got = {(r["k"], r["as_of_date"]): r["score"] for r in spark.read.parquet(path).collect()}
     assert got == {("a", jan): 1.0, ("a", feb): 2.0, ("b", feb): 3.0}
 
 
+def test_upsert_survives_a_crash(spark, tmp_path):
+    path = str(tmp_path / "t")
+    make = lambda rows: spark.createDataFrame(rows, "k string, v int")
+    tables.upsert_table(spark, path, make([("a", 1), ("b", 1)]), ["k"], ["v"])
+    # The merge is whole, the move emptied the table and stopped.
+    make([("a", 1), ("b", 2)]).write.parquet(f"{path}__merge")
+    shutil.rmtree(path)
+    tables.upsert_table(spark, path, make([("c", 3), ("c", 2)]), ["k"], ["v"])
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("a", 1), ("b", 2), ("c", 3)]
+    # The merge itself stopped: what it left is no table.
+    make([("z", 9)]).write.parquet(f"{path}__merge")
+    os.remove(f"{path}__merge/_SUCCESS")
+    tables.upsert_table(spark, path, make([("d", 4)]), ["k"], ["v"])
+    assert sorted(r["k"] for r in spark.read.parquet(path).collect()) == ["a", "b", "c", "d"]
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part-0.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        tables.upsert_table(spark, str(tmp_path / "bad"), make([("d", 4)]), ["k"], ["v"])
+
+
+def test_repeated_keys_of_a_batch_count_once(spark):
+    rows = [("c", "r", v, dt.date(2024, 1, 1), dt.date(2024, 6, 30), "h", i) for i, v in enumerate("aabba")]
+    models = spark.createDataFrame(rows, "commodity_id string, registry_id string, model_version string, "
+                                   "training_window_start date, training_window_end date, feature_set_hash string, i int")
+    fresh = D.new_rows(models, models.limit(0), versions.MODEL_KEY, ["i"])
+    assert sorted((r["model_version"], r["i"]) for r in fresh.collect()) == [("a", 0), ("b", 2)]
+
+
 def test_range_scan_prunes_months(spark, tmp_path):
     rows = spark.range(60).select(
         F.date_add(F.lit(dt.date(2026, 1, 1)), F.col("id").cast("int")).alias("as_of_date"), "id")

@@ -53,6 +53,9 @@ def new_rows(
     return first if stored is None else without_stored(first, stored, keys)
 
 
-def upsert(existing: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
-    """Existing rows whose key is not updated, plus the updates."""
-    return without_stored(existing, updates, keys).unionByName(updates)
+def upsert(
+    existing: DataFrame, updates: DataFrame, keys: list[str], order: list[str]
+) -> DataFrame:
+    """Existing rows whose key is not updated, plus the last update of each key by ``order``."""
+    last = latest_per_key(updates, keys, order)
+    return without_stored(existing, last, keys).unionByName(last)

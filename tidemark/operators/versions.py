@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.canonical import row_digest
-from tidemark.operators.dedupe import without_stored
+from tidemark.operators.dedupe import new_rows
 from tidemark.operators.validation import MODEL_REGISTRY, constraints, registry_rules
 
 MODEL_KEY = [
@@ -15,10 +15,13 @@ MODEL_KEY = [
 ]
 
 
-def add_versions(registry: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Valid new versions appended as inactive; known (commodity, version) pairs are left alone."""
+def add_versions(registry: DataFrame, incoming: DataFrame, order: list[str]) -> DataFrame:
+    """Valid new versions appended as inactive; known (commodity, version) pairs are left alone.
+
+    Of a pair that the batch repeats, the first row by ``order`` counts.
+    """
     good, _ = constraints(incoming, registry_rules())
-    fresh = without_stored(good, registry, ["commodity_id", "version"])
+    fresh = new_rows(good, registry, ["commodity_id", "version"], order)
     return registry.unionByName(fresh.withColumn("is_active", F.lit(False)))
 
 
@@ -60,10 +63,10 @@ def required_agents(registry: DataFrame, commodities: DataFrame) -> DataFrame:
     )
 
 
-def register_models(registry: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Valid incoming models whose unique key is new; the rows to append."""
+def register_models(registry: DataFrame, incoming: DataFrame, order: list[str]) -> DataFrame:
+    """Valid incoming models whose unique key is new, the first of each by ``order``: rows to append."""
     good, _ = constraints(incoming, MODEL_REGISTRY())
-    return without_stored(good, registry, MODEL_KEY)
+    return new_rows(good, registry, MODEL_KEY, order)
 
 
 def resolve_model(registry: DataFrame, **key: object) -> DataFrame:

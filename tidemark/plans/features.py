@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import fixed
 from tidemark.functions import canonical as J
 from tidemark.functions.scores import number_or_null
 from tidemark.operators.dedupe import latest_per_key
+from tidemark.session import cut_lineage
 
 KEY = ["commodity_id", "as_of_date", "registry_id"]
 ASSEMBLY_VERSION = "1"
-NAME_LIMIT = 128
 SPOT = "spot_price_level"
 
 # Neutral stand-in when no futures row exists.
@@ -126,10 +126,8 @@ def feature_json() -> Column:
 
 
 def feature_vectors(features: DataFrame) -> DataFrame:
-    """Long form: one (day, name, value) row per feature, names cut to the stored width."""
-    return features.select(*KEY, F.explode("feature_values").alias("name", "value")).withColumn(
-        "name", F.substring("name", 1, NAME_LIMIT)
-    )
+    """Long form: one (day, name, value) row per feature."""
+    return features.select(*KEY, F.explode("feature_values").alias("name", "value"))
 
 
 def feature_names(rows: DataFrame, features: str = "features") -> DataFrame:
@@ -145,17 +143,49 @@ def names_hash(names: list[str]) -> str:
     return hashlib.sha256(",".join(names).encode()).hexdigest()
 
 
-def training_matrix(
-    rows: DataFrame, features: str = "features", max_features: int = 10_000
-) -> tuple[DataFrame, list[str]]:
+def training_vectors(
+    rows: DataFrame, keys: list[str], features: str = "features"
+) -> tuple[DataFrame, DataFrame]:
+    """Sparse numeric rows and their names, for any number of names.
+
+    The first frame has ``keys``, the spot price, and ``indices`` and ``values`` of the features
+    that have a number, in order; the second has ``name`` and ``index``, 0 for the spot price and
+    the other names sorted behind it. ``keys`` identify a row. No name reaches the driver.
+    """
+    named = feature_names(rows, features).filter(F.col("name") != SPOT)
+    parts = cut_lineage(
+        named.repartitionByRange("name").sortWithinPartitions("name").select(
+            "name", F.spark_partition_id().alias("_part"),
+            F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"),
+        )
+    )
+    # One row per partition of the sorted names.
+    starts = parts.groupBy("_part").count().select(
+        "_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count") + 1).alias("_start")
+    )
+    index = parts.join(starts, "_part").select("name", (F.col("_start") + F.col("_at")).alias("index"))
+    cells = rows.select(*keys, F.explode(features).alias("name", "value")).select(
+        *keys, "name", number_or_null(F.col("value")).alias("value")
+    )
+    found = cells.filter(F.col("value").isNotNull()).join(index, "name").groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("index", "value"))).alias("_cells")
+    )
+    kept = rows.select(*keys, F.col(SPOT).cast("double").alias(SPOT)).join(found, keys, "left")
+    nothing = F.expr("cast(array() as array<struct<index:bigint,value:double>>)")
+    filled = kept.withColumn("_cells", F.coalesce("_cells", nothing))
+    spot = rows.sparkSession.range(1).select(F.lit(SPOT).alias("name"), F.lit(0).cast("long").alias("index"))
+    return filled.select(
+        *keys, SPOT, F.col("_cells.index").alias("indices"), F.col("_cells.value").alias("values")
+    ), spot.unionByName(index)
+
+
+def training_matrix(rows: DataFrame, features: str = "features") -> tuple[DataFrame, list[str]]:
     """Wide numeric matrix: spot first, then sorted feature names, missing as 0.
 
-    Only the distinct names come to the driver, as columns must be known to plan; their number is
-    checked because it grows with the feature vocabulary, not with the rows.
+    Columns must be known to plan, so the distinct names come to the driver; they grow with the
+    vocabulary, not with the rows. :func:`training_vectors` serves vocabularies of any size.
     """
-    names = [r["name"] for r in feature_names(rows, features).limit(max_features + 1).collect()]
-    if len(names) > max_features:
-        raise ValueError(f"more than {max_features} feature names")
+    names = [r["name"] for r in feature_names(rows, features).collect()]
     ordered = sorted(n for n in names if n != SPOT)
     keep = [c for c in rows.columns if c not in (features, SPOT)]
     cells = [

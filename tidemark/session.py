@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,11 +35,14 @@ def build_session(name: str = "tidemark", master: str | None = None, **conf: str
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names; survives lost executors.
 
-    ``spark.checkpoint.dir`` is read from the session. Only where nothing is configured (tests,
-    a laptop) is a temporary folder used.
+    ``spark.checkpoint.dir`` is read from the session. A folder of one machine would lose data with
+    that machine, so on a cluster the setting must be there; a local session, which is one machine,
+    falls back to a temporary folder.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-ckpt-"))
     return df.checkpoint(eager=True)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import fixed, schemas
-from tidemark.operators.dedupe import POLICY_KEY, without_stored
+from tidemark.operators.dedupe import POLICY_KEY, new_rows
 from tidemark.operators.mapping import observation_id
 
 
@@ -79,10 +79,13 @@ def policy_events(spark: SparkSession, path: str) -> DataFrame:
     ).withColumn("observation_id", observation_id(POLICY_KEY))
 
 
-def new_policy_events(events: DataFrame, stored: DataFrame) -> DataFrame:
-    """Events whose business key is not stored; a missing summary equals an empty one."""
+def new_policy_events(events: DataFrame, stored: DataFrame, order: list[str]) -> DataFrame:
+    """First event by ``order`` of each business key that is not stored.
+
+    A missing summary equals an empty one.
+    """
     keyed = lambda df: df.withColumn("summary", F.coalesce("summary", F.lit("")))
     key = F.coalesce("summary", F.lit(""))
     fresh = events.withColumn("_summary", F.col("summary")).withColumn("summary", key)
-    kept = without_stored(fresh, keyed(stored), POLICY_KEY)
+    kept = new_rows(fresh, keyed(stored), POLICY_KEY, order)
     return kept.withColumn("summary", F.col("_summary")).drop("_summary").select(*events.columns)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,13 +21,15 @@ def append_facts(rows: DataFrame, path: str, day: str = "as_of_date") -> None:
 
 
 def read_facts(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
-    """The table, or None when nothing was written yet (an empty frame if a schema is given)."""
-    try:
-        # Months look like numbers to partition inference; the declared schema keeps them text.
-        reader = spark.read.schema(f"{schema}, {MONTH} string") if schema else spark.read
-        return reader.parquet(path).drop(MONTH) if schema is None else reader.parquet(path)
-    except AnalysisException:
+    """The table, or None when nothing was written yet (an empty frame if a schema is given).
+
+    Only a missing or empty folder counts as no table; any other trouble is raised.
+    """
+    if _stored(spark, path) is None:
         return spark.createDataFrame([], f"{schema}, {MONTH} string") if schema else None
+    # Months look like numbers to partition inference; the declared schema keeps them text.
+    reader = spark.read.schema(f"{schema}, {MONTH} string") if schema else spark.read
+    return reader.parquet(path).drop(MONTH) if schema is None else reader.parquet(path)
 
 
 def in_months(start: dt.date, end: dt.date) -> Column:
@@ -67,41 +68,88 @@ def latest_snapshot(table: DataFrame, keys: list[str], order: list[str]) -> Data
 
 
 def upsert_months(
-    spark: SparkSession, path: str, updates: DataFrame, keys: list[str], day: str = "as_of_date"
+    spark: SparkSession, path: str, updates: DataFrame, keys: list[str], order: list[str],
+    day: str = "as_of_date",
 ) -> None:
     """Insert or replace by key, rewriting only the months that the updates touch.
 
-    The day is part of the key, so a key never moves between months. The merged rows are written
-    to a side folder first, as a job cannot overwrite what it reads, then moved in by dynamic
-    partition overwrite.
+    The day is part of the key, so a key never moves between months. Of updates that repeat a key
+    the last by ``order`` counts. The merged months are written to a side folder first, as a job
+    cannot overwrite what it reads, then moved in by dynamic partition overwrite. If that breaks
+    off, the whole side folder is still there and the next call moves it in before anything else.
     """
+    side = f"{path}__merge"
+    _finish(spark, side, path, by_month=True)
     staged = updates.withColumn(MONTH, as_of_month(F.col(day)))
-    stored = _try_read(spark, path)
-    if stored is not None:
+    stored = _stored(spark, path)
+    if stored is None:
+        merged = latest_per_key(staged, keys, order)
+    else:
         months = staged.select(MONTH).distinct()
         touched = stored.withColumn(MONTH, F.col(MONTH).cast("string")).join(
             months, MONTH, "left_semi"
         )
-        staged = upsert(touched.select(*staged.columns), staged, keys)
-    side = f"{path}__merge"
-    staged.write.mode("overwrite").partitionBy(MONTH).parquet(side)
-    merged = spark.read.schema(staged.schema).parquet(side)
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        MONTH
-    ).parquet(path)
+        merged = upsert(touched.select(*staged.columns), staged, keys, order)
+    # Static overwrite leaves the mark of a whole write; dynamic does not.
+    writer = merged.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    writer.partitionBy(MONTH).parquet(side)
+    _finish(spark, side, path, by_month=True)
 
 
-def upsert_table(spark: SparkSession, path: str, updates: DataFrame, keys: list[str]) -> None:
-    """Keyed upsert of a small unpartitioned table (dimensions, metrics)."""
-    stored = _try_read(spark, path)
-    merged = updates if stored is None else upsert(stored.select(*updates.columns), updates, keys)
+def upsert_table(
+    spark: SparkSession, path: str, updates: DataFrame, keys: list[str], order: list[str]
+) -> None:
+    """Keyed upsert of an unpartitioned table (dimensions, metrics).
+
+    The same two steps: a whole side folder, then its move; a move that broke off is finished
+    by the next call.
+    """
     side = f"{path}__merge"
+    _finish(spark, side, path)
+    stored = _stored(spark, path)
+    if stored is None:
+        merged = latest_per_key(updates, keys, order)
+    else:
+        merged = upsert(stored.select(*updates.columns), updates, keys, order)
     merged.write.mode("overwrite").parquet(side)
-    spark.read.schema(merged.schema).parquet(side).write.mode("overwrite").parquet(path)
+    _finish(spark, side, path)
+
 
+def _path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
-def _try_read(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+
+def _written(spark: SparkSession, path: str) -> bool:
+    """A job that wrote the folder ended well: its mark is there."""
+    files, at = _path(spark, f"{path}/_SUCCESS")
+    return files.exists(at)
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table, or None if its folder is not there or has no data; other errors are raised."""
+    files, at = _path(spark, path)
+    if not files.exists(at) or not any(
+        not s.getPath().getName().startswith(("_", ".")) for s in files.listStatus(at)
+    ):
         return None
+    return spark.read.parquet(path)
+
+
+def _finish(spark: SparkSession, side: str, path: str, by_month: bool = False) -> None:
+    """Move a whole side folder into the table; one without its mark is a broken write and stays out.
+
+    The side folder goes only after the table was written, so this may be repeated at any point.
+    """
+    if not _written(spark, side):
+        return
+    rows = _stored(spark, side)
+    if rows is not None:
+        if by_month:
+            rows = rows.withColumn(MONTH, F.col(MONTH).cast("string"))
+        writer = rows.write.mode("overwrite")
+        if by_month:
+            writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(MONTH)
+        writer.parquet(path)
+    files, at = _path(spark, side)
+    files.delete(at, True)
