@@ -236,29 +236,51 @@ def model_handoff(t: Tables) -> DataFrame:
     )
 
 
-def thirty_days(t: Tables) -> DataFrame:
-    """Matrix of the 30-day rows: spot, month and weekday of the day."""
-    rows = dataset(t).filter("horizon_days = 30")
-    return rows.select(
+def dated_matrix(t: Tables) -> DataFrame:
+    """Matrix of all horizons: spot, month and weekday of the day."""
+    return dataset(t).select(
         "series_id", "as_of_date", "horizon_days", "spot_price_level", "target_price_level",
         F.month("as_of_date").cast("double").alias("month"),
         F.dayofweek("as_of_date").cast("double").alias("weekday"),
     )
 
 
-@check()
+@check(
+    f"""WITH {TARGETS},
+dated AS (SELECT *, month(as_of_date)::DOUBLE AS u, (dayofweek(as_of_date) + 1)::DOUBLE AS v FROM numbered),
+moments AS (
+  SELECT f.series_id, f.horizon_days, f.fold_index, f.train_end, f.test_end, avg(d.spot) AS ms, avg(d.u) AS mu, avg(d.v) AS mv, avg(d.target) AS mt,
+    covar_pop(d.spot, d.spot) AS ss, covar_pop(d.spot, d.u) AS su, covar_pop(d.spot, d.v) AS sv, covar_pop(d.u, d.u) AS uu, covar_pop(d.u, d.v) AS uv,
+    covar_pop(d.v, d.v) AS vv, covar_pop(d.spot, d.target) AS st, covar_pop(d.u, d.target) AS ut, covar_pop(d.v, d.target) AS vt
+  FROM folds f JOIN dated d ON d.series_id = f.series_id AND d.horizon_days = f.horizon_days AND d.idx < f.train_end GROUP BY ALL),
+fits AS (
+  SELECT *, ss * (uu * vv - uv * uv) - su * (su * vv - uv * sv) + sv * (su * uv - uu * sv) AS det FROM moments),
+solved AS (
+  SELECT *, (st * (uu * vv - uv * uv) - su * (ut * vv - uv * vt) + sv * (ut * uv - uu * vt)) / det AS bs,
+    (ss * (ut * vv - uv * vt) - st * (su * vv - uv * sv) + sv * (su * vt - ut * sv)) / det AS bu,
+    (ss * (uu * vt - ut * uv) - su * (su * vt - ut * sv) + st * (su * uv - uu * sv)) / det AS bv FROM fits),
+guesses AS (
+  SELECT d.series_id, d.horizon_days, s.fold_index, d.target AS y, mt + bs * (d.spot - ms) + bu * (d.u - mu) + bv * (d.v - mv) AS p
+  FROM solved s JOIN dated d ON d.series_id = s.series_id AND d.horizon_days = s.horizon_days AND d.idx >= s.train_end AND d.idx < s.test_end)
+SELECT series_id, horizon_days, 'ols' AS model_name, round(avg(abs(p - y)), 2) AS mae, round(sqrt(avg((p - y) * (p - y))), 2) AS rmse,
+  count(*) AS n_samples, count(DISTINCT fold_index) AS fold_count FROM guesses GROUP BY ALL"""
+)
 def grouped_fit_evaluation(t: Tables) -> DataFrame:
-    """User-supplied least squares on every series' folds, one task per series."""
-    guesses = M.grouped_predictions(
-        thirty_days(t), ["spot_price_level", "month", "weekday"], M.least_squares, "ols"
+    """Least squares on spot, month and weekday over every series' folds, all horizons."""
+    matrix = dated_matrix(t)
+    guesses = M.least_squares_predictions(
+        matrix, ["spot_price_level", "month", "weekday"], M.fold_bounds(matrix), "ols"
+    )
+    return M.evaluation(guesses).select(
+        "series_id", "horizon_days", "model_name", F.round("mae", 2).alias("mae"),
+        F.round("rmse", 2).alias("rmse"), "n_samples", "fold_count",
     )
-    return M.evaluation(guesses)
 
 
 @check()
 def forest_importance(t: Tables) -> DataFrame:
     """Forest importances under lineage prefixes with their position."""
-    matrix = thirty_days(t).select(
+    matrix = dated_matrix(t).select(
         "target_price_level", F.col("spot_price_level").alias("market.spot"),
         F.col("month").alias("weather.month"), F.col("weekday").alias("futures.weekday"),
     )

@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,7 +66,7 @@ def test_grouped_and_forest_models(rows, tmp_path):
         "series_id", "as_of_date", "horizon_days", "spot_price_level", "target_price_level",
         F.lit(1.0).alias("constant"))
     names = ["spot_price_level", "constant"]
-    own = M.grouped_predictions(matrix, names, M.least_squares, "ols")
+    own = M.least_squares_predictions(matrix, names, M.fold_bounds(matrix), "ols")
     assert M.evaluation(own).first()["rmse"] == pytest.approx(0, abs=1e-5)
     fitted = M.fit_full(matrix, names, fixed.LINEAR, str(tmp_path / "m"))
     assert M.saved_features(matrix.sparkSession, str(tmp_path / "m")) == names
@@ -74,6 +75,24 @@ def test_grouped_and_forest_models(rows, tmp_path):
     assert reason == "saved_artifact"
 
 
+def test_least_squares_against_numpy(spark):
+    rng = random.Random(8)
+    data = [("s", d, 30, rng.uniform(50, 90), rng.uniform(0, 1), 5.0) for d in X.days(130)]
+    data = [(*r, 2 * r[4], 3 * r[3] - 7 * r[4] + rng.gauss(0, 2)) for r in data]
+    df = spark.createDataFrame(data, "series_id string, as_of_date date, horizon_days int, spot_price_level double, "
+                               "u double, constant double, twin double, target_price_level double")
+    names = ["spot_price_level", "u", "constant", "twin"]
+    got = M.least_squares_predictions(df, names, M.fold_bounds(df), "ols").collect()
+    rows = sorted(data, key=lambda r: r[1])
+    want = {}
+    for end in (60, 80, 100):
+        x = np.array([[1, r[3], r[4]] for r in rows])
+        y = np.array([r[7] for r in rows])
+        beta = np.linalg.lstsq(x[:end], y[:end], rcond=None)[0]
+        want |= {rows[i][1]: x[i] @ beta for i in range(end, end + 20)}
+    assert {r["as_of_date"]: pytest.approx(r["prediction"], rel=1e-9) for r in got} == want
+
+
 def test_forest_lands_near_the_published_scores(rows):
     matrix = rows.filter("horizon_days = 30").select(
         "series_id", "as_of_date", "horizon_days", "spot_price_level", "target_price_level")

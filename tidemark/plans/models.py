@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
-import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
@@ -26,10 +22,15 @@ def fold_bounds(rows: DataFrame, **settings: int) -> DataFrame:
 
 
 def test_rows(rows: DataFrame, folds: DataFrame) -> DataFrame:
-    """Every row with the fold it is tested in; tests of consecutive folds may overlap by step."""
-    bounds = folds.select(*GROUP, "fold_index", "train_end", "test_end")
-    inside = (F.col("row_index") >= F.col("train_end")) & (F.col("row_index") < F.col("test_end"))
-    return numbered(rows).join(bounds, GROUP).filter(inside)
+    """Every row with the fold it is tested in; tests of consecutive folds may overlap by step.
+
+    A fold names the positions that it tests, so the join has as many rows as there are tests.
+    """
+    places = folds.select(
+        *GROUP, "fold_index", "train_end", "test_end",
+        F.explode(F.sequence("train_end", F.col("test_end") - 1)).alias("row_index"),
+    )
+    return numbered(rows).join(places, [*GROUP, "row_index"])
 
 
 def naive_predictions(rows: DataFrame, folds: DataFrame) -> DataFrame:
@@ -92,64 +93,63 @@ def spot_line_predictions(rows: DataFrame, folds: DataFrame) -> DataFrame:
     return _predictions(tested, fixed.LINEAR, guess)
 
 
-def grouped_predictions(
-    matrix: DataFrame,
-    features: list[str],
-    fit_predict: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray],
-    name: str,
-    min_train: int = fixed.MIN_TRAIN_ROWS,
-    test_size: int = fixed.TEST_ROWS,
-    step: int | None = None,
+def least_squares_predictions(
+    matrix: DataFrame, features: list[str], folds: DataFrame, name: str
 ) -> DataFrame:
-    """Out-of-sample predictions of a user callback ``(x_train, y_train, x_test) -> y_pred``.
+    """Least squares of the target on ``features``, fitted on every fold's expanding train rows.
 
-    One task holds one series' matrix (at most one row per calendar day) and walks its folds;
-    series run in parallel. The fold bounds come from :func:`rolling_origin`, joined as columns.
+    One running pass per series sums the products of the features; the normal equations of every
+    fold follow from the sums at its train end and are solved by elimination, column by column, in
+    the plan. A feature that the train rows don't vary, or that others explain, gets no weight.
     """
-    folds = fold_bounds(matrix, min_train=min_train, test_size=test_size, step=step)
-    ends = folds.groupBy(*GROUP).agg(
-        F.array_sort(F.collect_list(F.struct("fold_index", "train_end", "test_end"))).alias("_folds")
+    k = len(features)
+    values = [F.col(f"`{f}`").cast("double") for f in features] + [F.col(TARGET).cast("double")]
+    running = Window.partitionBy(*GROUP).orderBy("row_index").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
-    rows = matrix.select(*GROUP, DAY, TARGET, *[F.col(f"`{f}`") for f in features])
-    joined = rows.join(ends, GROUP)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(DAY)
-        x = group[features].to_numpy(dtype=np.float64)
-        y = group[TARGET].to_numpy(dtype=np.float64)
-        parts = []
-        for fold in group["_folds"].iloc[0]:
-            index, train, test = (int(fold[k]) for k in ("fold_index", "train_end", "test_end"))
-            block = group.iloc[train:test]
-            parts.append(
-                pd.DataFrame(
-                    {
-                        SERIES: block[SERIES].to_numpy(),
-                        "horizon_days": block["horizon_days"].to_numpy(),
-                        "model_name": name,
-                        "fold_index": index,
-                        DAY: block[DAY].to_numpy(),
-                        "y": y[train:test],
-                        "prediction": fit_predict(x[:train], y[:train], x[train:test]),
-                    }
-                )
-            )
-        return pd.concat(parts, ignore_index=True)
-
-    kinds = dict(matrix.dtypes)
-    schema = (
-        f"{SERIES} {kinds[SERIES]}, horizon_days {kinds['horizon_days']}, model_name string, "
-        f"fold_index int, {DAY} date, y double, prediction double"
+    indexed = numbered(matrix)
+    # Values are taken from the series' first row, which keeps the sums small.
+    centred = indexed.select(
+        *GROUP, "row_index",
+        *[F.first(v).over(running).alias(f"o{i}") for i, v in enumerate(values)],
+        *[(v - F.first(v).over(running)).alias(f"x{i}") for i, v in enumerate(values)],
     )
-    return joined.groupBy(*GROUP).applyInPandas(run, schema)
-
-
-def least_squares(x: np.ndarray, y: np.ndarray, x_new: np.ndarray) -> np.ndarray:
-    """Ordinary least squares with intercept; centring keeps constant columns harmless."""
-    mx, my = x.mean(axis=0), y.mean()
-    scale = np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
-    beta = np.linalg.lstsq((x - mx) / scale, y - my, rcond=None)[0]
-    return my + (x_new - mx) / scale @ beta
+    pairs = [(i, j) for i in range(k) for j in range(i, k + 1)]
+    sums = centred.select(
+        *GROUP, (F.col("row_index") + 1).alias("train_end"), *[f"o{i}" for i in range(k + 1)],
+        *[F.sum(f"x{i}").over(running).alias(f"s{i}") for i in range(k + 1)],
+        *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).over(running).alias(f"p{i}_{j}") for i, j in pairs],
+    )
+    ends = folds.select(*GROUP, "train_end").distinct()
+    n = F.col("train_end")
+    offsets = [f"o{i}" for i in range(k + 1)]
+    means = [f"m{i}" for i in range(k + 1)]
+    solved = sums.join(ends, [*GROUP, "train_end"], "left_semi").select(
+        *GROUP, "train_end", *offsets,
+        *[(F.col(f"s{i}") / n).alias(f"m{i}") for i in range(k + 1)],
+        *[
+            (F.col(f"p{min(i, j)}_{max(i, j)}") - F.col(f"s{i}") * F.col(f"s{j}") / n).alias(f"a{i}_{j}")
+            for i in range(k) for j in range(k + 1)
+        ],
+        *[F.col(f"p{i}_{i}").alias(f"d{i}") for i in range(k)],
+    )
+    scales = [f"d{i}" for i in range(k)]
+    for pivot in range(k):
+        top = F.col(f"a{pivot}_{pivot}")
+        usable = top > 1e-10 * F.greatest(F.col(f"d{pivot}"), F.lit(1e-300))
+        cells = []
+        for i in range(k):
+            for j in range(k + 1):
+                own, row = F.col(f"a{i}_{j}"), F.col(f"a{pivot}_{j}")
+                value = row / top if i == pivot else own - F.col(f"a{i}_{pivot}") * row / top
+                cells.append(F.when(usable, value).otherwise(F.lit(0.0) if i == pivot else own).alias(f"a{i}_{j}"))
+        solved = solved.select(*GROUP, "train_end", *offsets, *means, *scales, *cells)
+    fits = solved.select(*GROUP, "train_end", *offsets, *means, *[F.col(f"a{i}_{k}").alias(f"b{i}") for i in range(k)])
+    tested = test_rows(matrix, folds).join(fits, [*GROUP, "train_end"])
+    guess = F.col(f"o{k}") + F.col(f"m{k}")
+    for i, value in enumerate(values[:-1]):
+        guess = guess + F.col(f"b{i}") * (value - F.col(f"o{i}") - F.col(f"m{i}"))
+    return _predictions(tested, name, guess)
 
 
 def forest(features: list[str], label: str = TARGET) -> tuple[VectorAssembler, RandomForestRegressor]:
