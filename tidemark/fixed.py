@@ -146,4 +146,3 @@ WEIGHT_SUM_TOLERANCE = 0.001
 PERSONAS = ("farmer", "trader")
 LIQUIDITY_NEEDS = ("low", "medium", "high")
 ACTIONS = ("SELL", "HOLD", "PARTIAL_SELL", "PARTIAL_HOLD")
-FORECAST_STATUSES = ("complete", "failed", "partial")

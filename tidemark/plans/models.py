@@ -204,7 +204,7 @@ def forest_predictions(matrix: DataFrame, features: list[str], **settings: int)
             "prediction", "_guess"), fixed.FOREST, F.col("_guess"))
         out = part if out is None else out.unionByName(part)
     if out is None:
-        raise ValueError("rolling evaluation produced no out-of-sample predictions")
+        raise ValueError("no fold has rows to test on")
     return out
 
 

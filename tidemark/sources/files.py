@@ -32,8 +32,8 @@ def raw_market_records(envelopes: DataFrame) -> DataFrame:
     text = F.trim(F.get_json_object("body", "$.records"))
     # Elements stay JSON text first, so one odd element cannot null its neighbours.
     elements = F.from_json(text, "array<string>")
-    error = F.when(text.isNull(), "missing 'records' array").when(
-        ~text.startswith("["), "'records' must be a list"
+    error = F.when(text.isNull(), "document without records").when(
+        ~text.startswith("["), "records are not a list"
     )
     exploded = envelopes.withColumn("envelope_error", error).select(
         "source_file",
@@ -104,7 +104,7 @@ def futures_file(spark: SparkSession, path: str, default_day: Column | None = No
     """Contracts of one file layout; sort with :func:`futures_order` at the sink."""
     raw = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
     if not raw.columns:
-        raise SourceError("CSV missing header row")
+        raise SourceError("the file has no header line")
     return parse_futures(canonical_futures(raw), default_day)
 
 
