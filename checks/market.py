@@ -280,9 +280,4 @@ SELECT series_id, CAST(as_of_date AS VARCHAR) AS as_of_date,
 )
 def source_references(t: Tables) -> DataFrame:
     rows = B.usable_rows(t.prices(), t.markets(), price_type=fixed.MODAL)
-    refs = B.source_refs(rows, [rows])
-    return refs.groupBy("series_id", "as_of_date").agg(
-        F.count(F.lit(1)).alias("ref_count"),
-        F.min("observation_id").alias("first_ref"),
-        F.max("observation_id").alias("last_ref"),
-    )
+    return B.reference_counts(rows, B.source_refs(rows, [rows]))

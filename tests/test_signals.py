@@ -166,6 +166,17 @@ def test_hot_group_is_spread_over_tasks(spark):
     assert low == high == 1_000_000
 
 
+def test_references_of_a_window(spark):
+    day = lambda k: dt.date(2026, 1, 1) + dt.timedelta(days=k)
+    rows = [("s", day(k), f"o{k:02d}") for k in (0, 0, 1, 5, 40)] + [("s", day(1), "o99"), ("t", day(1), "x")]
+    table = spark.createDataFrame(rows, "series_id string, as_of_date date, observation_id string")
+    asked = spark.createDataFrame([("s", day(5)), ("s", day(31)), ("u", day(1))], "series_id string, as_of_date date")
+    refs = B.source_refs(asked, [table, table])
+    assert sorted(r["observation_id"] for r in refs.collect()) == ["o00", "o01", "o05", "o99"]
+    got = sorted(tuple(r) for r in B.reference_counts(asked, refs).collect())
+    assert got == [("s", day(5), 4, "o00", "o99"), ("s", day(31), 1, "o05", "o05"), ("u", day(1), 0, None, None)]
+
+
 def test_average_ranks_with_ties(spark):
     df = spark.createDataFrame([("g", v) for v in (5.0, 1.0, 5.0, 2.0)], "g string, v double")
     got = {r["v"]: r["rank"] for r in ranks.average_ranks(df, ["g"], "v", "rank").collect()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import fixed
@@ -74,22 +74,40 @@ def with_reporting_ratio(daily: DataFrame, expected: DataFrame) -> DataFrame:
 def source_refs(
     requested: DataFrame, tables: list[DataFrame], window_days: int = fixed.MARKET_WINDOW_DAYS
 ) -> DataFrame:
-    """Observations behind each requested (series, day), one row per reference.
+    """Observations behind the requested (series, day) rows, each once, under its own day.
 
-    Kept long: a day of a hot series may rest on more ids than one array can hold. Every
-    observation is sent to the days whose window it falls in, a row-local expansion.
+    A requested day rests on the references of the ``window_days`` up to it; a reader takes that
+    range. Only days are expanded to their windows, never observations.
     """
     ids = None
     for table in tables:
-        part = table.select(SERIES, F.col(DAY).alias("_day"), "observation_id")
+        part = table.select(SERIES, DAY, "observation_id")
         ids = part if ids is None else ids.unionByName(part)
-    spread = ids.select(
-        SERIES,
-        F.explode(F.sequence("_day", F.date_add("_day", window_days - 1))).alias(DAY),
-        "observation_id",
+    covered = requested.select(SERIES, DAY).distinct().select(
+        SERIES, F.explode(F.sequence(F.date_sub(DAY, window_days - 1), F.col(DAY))).alias(DAY)
+    ).distinct()
+    return ids.join(covered, [SERIES, DAY], "left_semi").distinct()
+
+
+def reference_counts(
+    requested: DataFrame, refs: DataFrame, window_days: int = fixed.MARKET_WINDOW_DAYS
+) -> DataFrame:
+    """Number, first and last id of the references of each requested day's window.
+
+    References are counted per day first; the frame runs over days.
+    """
+    daily = refs.groupBy(SERIES, DAY).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("observation_id").alias("_first"),
+        F.max("observation_id").alias("_last"),
     )
-    days = requested.select(SERIES, DAY).distinct()
-    return spread.join(days, [SERIES, DAY], "left_semi").distinct()
+    days = requested.select(SERIES, DAY).distinct().withColumn("_asked", F.lit(True))
+    frame = Window.partitionBy(SERIES).orderBy(F.unix_date(DAY)).rangeBetween(1 - window_days, 0)
+    return days.join(daily, [SERIES, DAY], "full").select(
+        SERIES, DAY, "_asked",
+        F.coalesce(F.sum("_n").over(frame), F.lit(0)).alias("ref_count"),
+        F.min("_first").over(frame).alias("first_ref"),
+        F.max("_last").over(frame).alias("last_ref"),
+    ).filter("_asked").drop("_asked")
 
 
 def prefer_status(rows: DataFrame, keys: list[str], ranks: dict[str, int]) -> DataFrame:
