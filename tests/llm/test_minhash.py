@@ -1,11 +1,13 @@
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemark.llm import minhash, shingles
 from tidemark.llm.components import components
-from tidemark.llm.frequencies import inverse_frequencies
+from tidemark.llm.frequencies import SLOTS
 
 
 def corpus():
@@ -61,7 +63,7 @@ def test_classes_equal_all_pairs(spark):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, class_id string").repartition(4)
     got = minhash.near_duplicates(docs).select("doc.doc_id", "class_id", "links").collect()
-    want = by_hand(rows, inverse_frequencies(docs, minhash._keys))
+    want = by_hand(rows, minhash.shingle_weights(docs))
     classes = lambda out: sorted(((r[0], r[1]) for r in out), key=key)
     assert classes(got) == classes(want)
     assert len({r[1] for r in want}) < len(want) - 30
@@ -104,13 +106,40 @@ def test_components(spark):
     assert sorted(map(tuple, got)) == [(i, 0) for i in range(21)] + [(30, 30), (31, 30), (32, 30)]
 
 
-def test_open_pairs_find_links_beside_the_head(spark):
-    texts = {b"a": 0.0, b"b": 0.15, b"c": 0.3, b"d": 0.9}
-    members = spark.createDataFrame([(bytearray(t), 0, 1, bytearray(b"a")) for t in texts], "id binary, band int, key bigint, head binary")
-    scored = spark.createDataFrame([(bytearray(b"a"), bytearray(t), 1 - f) for t, f in texts.items() if f], "a binary, b binary, similarity double")
-    labels = spark.createDataFrame([(bytearray(b"a"), bytearray(b"a")), (bytearray(b"b"), bytearray(b"a"))], "node binary, label binary")
-    pairs = minhash._open_pairs(members, scored, labels).select(F.decode("a", "utf-8"), F.decode("b", "utf-8")).collect()
-    assert [tuple(p) for p in pairs] == [("b", "c")]
+def test_blocks_find_links_beside_the_head(spark):
+    random.seed(3)
+    words = [f"w{i}" for i in range(100)]
+    texts = {b"a": words, b"b": [*words[:96], *"pqrs"], b"c": [*words[10:96], *"pqrstuvwxyzklm"], b"d": [*"abcdefghij"]}
+    idf = SimpleNamespace(value=np.ones(SLOTS, dtype=np.float32))
+    sets = {k: minhash.weighted(" ".join(t), idf.value) for k, t in texts.items()}
+    far = {k: 1 - minhash.similarity(sets[b"a"], s) for k, s in sets.items()}
+    assert far[b"b"] < 0.2 < far[b"c"] and minhash.similarity(sets[b"b"], sets[b"c"]) > 0.8
+    binary = lambda t: bytearray(t)
+    members = spark.createDataFrame([(binary(t), 0, 1, binary(b"a")) for t in texts], "id binary, band int, key bigint, head binary")
+    scored = spark.createDataFrame([(binary(b"a"), binary(t), 1 - f) for t, f in far.items() if f], "a binary, b binary, similarity double")
+    labels = spark.createDataFrame([(binary(b"a"), binary(b"a")), (binary(b"b"), binary(b"a"))], "node binary, label binary")
+    rows = [r.asDict() for r in minhash._open_blocks(members, scored, labels).collect()]
+    assert {bytes(r["id"]) for r in rows if r["ours"]} == {b"c", b"d"}
+    group = pa.Table.from_pylist([
+        {"id": bytes(r["id"]), "label": bytes(r["label"]), "ours": r["ours"], "text": " ".join(texts[bytes(r["id"])])} for r in rows
+    ])
+    assert minhash._compare(group, idf).to_pylist() == [{"a": b"b", "b": b"c"}]
+
+
+def test_fuzzy_group_becomes_the_classes_of_all_pairs(spark):
+    random.seed(13)
+    base = [f"w{random.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(260):
+        copy = list(base)
+        for _ in range(random.randint(1, 6)):
+            copy[random.randrange(150)] = f"x{random.randrange(10**6)}"
+        rows.append((i, " ".join(copy), "s"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, s string")
+    got = minhash.near_duplicates(docs).select("doc.doc_id", "class_id").collect()
+    want = by_hand(rows, minhash.shingle_weights(docs))
+    assert sorted(map(tuple, got)) == sorted(w[:2] for w in want)
+    assert len({w[1] for w in want}) > 1
 
 
 def test_empty_table(spark):

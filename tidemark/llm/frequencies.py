@@ -32,8 +32,8 @@ def _count(batches: Iterator[pa.RecordBatch], keys: Callable) -> Iterator[pa.Rec
     )
 
 
-def inverse_frequencies(docs: DataFrame, keys: Callable[[str | None], np.ndarray]) -> np.ndarray:
-    """Weight of each slot: log((1 + documents) / (1 + documents with a key in it)) + 1.
+def inverse_frequencies(docs: DataFrame, keys: Callable[[str | None], np.ndarray]) -> tuple[np.ndarray, float]:
+    """Of each slot log((1 + documents) / (1 + documents with a key in it)), and that of no document.
 
     ``keys`` gives the 64-bit hashes of a text. All documents count. Each task sums its own slots
     first, and the result has ``SLOTS`` numbers however many documents there are.
@@ -44,4 +44,4 @@ def inverse_frequencies(docs: DataFrame, keys: Callable[[str | None], np.ndarray
     held = np.zeros(SLOTS)
     real = rows[rows["slot"] >= 0]
     held[real["slot"].to_numpy()] = real["n"].to_numpy()
-    return (np.log((1 + total) / (1 + held)) + 1).astype(np.float32)
+    return np.log((1 + total) / (1 + held)), float(np.log(1 + total))

@@ -1,8 +1,10 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
-A document is the weighted set of its five-word shingles, weight = occurrences x inverse document
-frequency. Frequencies are counted over all documents in a table of hash slots of fixed size, as
-with hashed features. Each of ``BANDS`` x ``ROWS`` samples picks one shingle of a document so that
+A document is the weighted set of its five-word shingles, weight = occurrences x (1 + ``RARITY`` x
+inverse document frequency, scaled to at most 1). The part that is the same for all keeps the
+similarity of copies close to the unweighted one: without it, the shingles of a text that has
+thousands of copies would weigh less than the few words in which two copies differ. Frequencies
+are counted over all documents in a table of hash slots of fixed size, as with hashed features. Each of ``BANDS`` x ``ROWS`` samples picks one shingle of a document so that
 two documents pick the same one with the probability of their weighted Jaccard similarity. Equal
 bands make candidates, and every link is verified on the whole shingle sets.
 """
@@ -24,7 +26,10 @@ from tidemark.llm.frequencies import inverse_frequencies, slots
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
+RARITY = 0.5
 BANDS, ROWS = 12, 3
+#: Texts of one side of a block that is compared at once.
+CHUNK = 128
 #: Draws that each sample's shingles choose from, as a power of two.
 DRAW_BITS = 13
 #: Shingles x samples that are worked on at once.
@@ -36,6 +41,11 @@ def _keys(text: str | None) -> np.ndarray:
     return S.shingles(text, SHINGLE_WORDS)[0]
 
 
+def shingle_weights(base: DataFrame) -> np.ndarray:
+    rarity, most = inverse_frequencies(base, _keys)
+    return (1 + RARITY * rarity / max(most, 1.0)).astype(np.float32)
+
+
 def weighted(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys, counts = S.shingles(text, SHINGLE_WORDS)
     return keys, counts * idf[slots(keys)]
@@ -141,13 +151,11 @@ def _with_text(docs: DataFrame) -> DataFrame:
 def classes_of(base: DataFrame) -> DataFrame:
     """Of each text with words (``id``): ``class_id``, ``links``, and whether it ``leads`` its class.
 
-    Candidates of a band's bucket are compared with the bucket's smallest text first. Distances
-    (1 - similarity) obey the triangle inequality, so of the other pairs of a bucket only those
-    whose distances to that text allow a link, and whose ends are not yet in one class, are
-    compared too. No link is lost to a cap.
+    Candidates of a band's bucket are compared with the bucket's head first. What the head leaves
+    open is compared in blocks (``_open_blocks``). No class is lost to a cap.
     """
     spark = base.sparkSession
-    idf = spark.sparkContext.broadcast(inverse_frequencies(base, _keys))
+    idf = spark.sparkContext.broadcast(shingle_weights(base))
     signed = staged(
         base.select("doc_id", "id", "text").mapInArrow(
             lambda batches: _sign(batches, idf), "doc_id bigint, id binary, bands array<bigint>"
@@ -157,8 +165,13 @@ def classes_of(base: DataFrame) -> DataFrame:
     # Equal texts are one text from here on.
     one = signed.where("bands is not null").select("id", F.posexplode("bands").alias("band", "key"))
     entries = one.dropDuplicates(["id", "band", "key"])
-    heads = entries.groupBy("band", "key").agg(F.min("id").alias("head"), F.max("id").alias("tail")).where("head <> tail")
-    members = staged(entries.join(heads.select("band", "key", "head"), ["band", "key"]), "buckets")
+    # Head of a bucket: the text that meets most others in all its buckets, so likely the original.
+    sizes = entries.groupBy("band", "key").count().where("count > 1")
+    sized = staged(entries.join(sizes, ["band", "key"]), "buckets")
+    known = sized.groupBy("id").agg(F.sum("count").alias("met"))
+    rank = F.struct("met", "id")
+    heads = sized.join(known, "id").groupBy("band", "key").agg(F.max(rank).alias("lead"))
+    members = sized.join(heads.select("band", "key", F.col("lead.id").alias("head")), ["band", "key"])
     stars = members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     wanted = members.select("id").distinct()
     texts = staged(
@@ -168,10 +181,11 @@ def classes_of(base: DataFrame) -> DataFrame:
     near = scored.where(F.col("similarity") >= SIMILARITY)
     labels = components(near)
     links = near.select("a", "b")
-    rest = staged(_open_pairs(members, scored, labels), "open-pairs")
-    if not rest.isEmpty():
-        more = staged(_scores(rest, texts, idf), "open-scores").where(F.col("similarity") >= SIMILARITY)
-        links = links.unionByName(more.select("a", "b")).distinct()
+    blocks = staged(_open_blocks(members, scored, labels), "open-blocks")
+    if not blocks.isEmpty():
+        whole = blocks.join(texts, "id").groupBy("band", "key", "left", "right")
+        more = staged(whole.applyInArrow(lambda group: _compare(group, idf), "a binary, b binary"), "open-links")
+        links = links.unionByName(more).distinct()
         labels = components(links)
     counts = (
         links.select(F.col("a").alias("id")).unionAll(links.select(F.col("b").alias("id"))).groupBy("id").count()
@@ -195,7 +209,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Rows of one class are linked by weighted Jaccard similarities of at least ``SIMILARITY``
     (directly or through others) or have equal texts. ``class_id`` is the smallest doc_id of the
-    class; ``links`` counts the verified links of the row's text to other texts. A row without
+    class; ``links`` counts the links of the row's text that were verified to join the class. A row without
     words (null, empty, white space) is a class of its own under its doc_id. A null doc_id counts
     as larger than any other; a class of nulls has a null id. An empty table gives no row.
     """
@@ -208,32 +222,66 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def _open_pairs(members: DataFrame, scored: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of one bucket that may be links between different classes.
+def _open_blocks(members: DataFrame, scored: DataFrame, labels: DataFrame) -> DataFrame:
+    """Blocks of texts that may be linked although they are not in one class yet.
 
     With distances x and y to the bucket's head, a link needs |x - y| <= 1 - ``SIMILARITY``. Texts
-    linked to the head are of its class already, so one end of a pair is not, and lies within two
-    such steps of the head if the other end is linked to it.
+    linked to the head are of its class already, so one end of an open link is an outsider. Each
+    bucket's outsiders and the members in their reach are dealt to chunks of about ``CHUNK``, and
+    every chunk of outsiders meets every chunk of members as one block. The rows are blocks'
+    members, not pairs, and no task holds more than one block.
     """
     known = members.join(
         scored.select(F.col("a").alias("head"), F.col("b").alias("id"), (1 - F.col("similarity")).alias("far")),
         ["head", "id"],
     )
-    known = known.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn(
-        "label", F.coalesce("label", "id")
+    known = known.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select(
+        "band", "key", "id", "far", F.coalesce("label", "id").alias("label")
     )
     out = known.where(F.col("far") > REACH)
-    # Only buckets with an outsider have open pairs.
-    spots = out.groupBy("band", "key").agg(F.min("far").alias("nearest"))
+    spots = out.groupBy("band", "key").agg(F.min("far").alias("nearest"), F.count("*").alias("n_out"))
     inner = known.join(spots, ["band", "key"]).where(F.col("far") >= F.col("nearest") - REACH)
-    left = out.select("band", "key", F.col("id").alias("a"), F.col("far").alias("far_a"), F.col("label").alias("label_a"))
-    right = inner.select("band", "key", F.col("id").alias("b"), F.col("far").alias("far_b"), F.col("label").alias("label_b"))
-    pairs = left.join(right, ["band", "key"]).where(
-        (F.col("label_a") != F.col("label_b"))
-        & (F.abs(F.col("far_a") - F.col("far_b")) <= REACH)
-        & ((F.col("far_b") <= REACH) | (F.col("a") < F.col("b")))
-    )
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # A bucket whose open members are of one class has nothing left to link.
+    mixed = inner.groupBy("band", "key").agg(
+        F.count("*").alias("n_in"), F.min("label").alias("one"), F.max("label").alias("other")
+    ).where("one <> other")
+    chunks = lambda n: F.ceil(F.col(n) / CHUNK).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("id"), chunks(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), chunks(n) - 1))
+    keyed = inner.join(mixed.select("band", "key", "n_in"), ["band", "key"])
+    ours = keyed.where(F.col("far") > REACH).withColumn("left", own("n_out")).withColumn("right", every("n_in"))
+    theirs = keyed.withColumn("right", own("n_in")).withColumn("left", every("n_out"))
+    columns = ["band", "key", "left", "right", "id", "label"]
+    return ours.select(*columns, F.lit(True).alias("ours")).unionByName(theirs.select(*columns, F.lit(False).alias("ours")))
+
+
+def _compare(group: pa.Table, idf) -> pa.Table:
+    """Linked pairs of a block: each text of one side against all of the other at once."""
+    rows = group.select(["id", "label", "ours", "text"]).to_pylist()
+    theirs = [r for r in rows if not r["ours"]]
+    sets = [weighted(r["text"], idf.value) for r in theirs]
+    keys = np.concatenate([k for k, _ in sets]) if sets else np.zeros(0, np.uint64)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    weights = np.concatenate([w for _, w in sets])[order] if sets else np.zeros(0)
+    owner = np.repeat(np.arange(len(sets)), [len(k) for k, _ in sets])[order]
+    totals = np.array([w.sum() for _, w in sets])
+    names = np.array([r["id"] for r in theirs], dtype=object)
+    labels = np.array([r["label"] for r in theirs], dtype=object)
+    found = set()
+    for r in rows:
+        if not r["ours"] or not sets:
+            continue
+        own_keys, own_weights = weighted(r["text"], idf.value)
+        low, high = np.searchsorted(keys, own_keys), np.searchsorted(keys, own_keys, "right")
+        runs = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs) + np.arange(runs.sum())
+        shared = np.bincount(owner[at], np.minimum(np.repeat(own_weights, runs), weights[at]), len(sets))
+        near = shared >= SIMILARITY * (own_weights.sum() + totals - shared)
+        for k in np.flatnonzero(near & (labels != r["label"])):
+            found.add((min(r["id"], names[k]), max(r["id"], names[k])))
+    pairs = sorted(found)
+    return pa.table([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
