@@ -3,7 +3,7 @@
 Benchmark items are dealt to blocks of bounded size. Each block gets a latent space: a randomised
 SVD of the TF-IDF vectors of its passages, with document frequencies counted over the whole
 corpus. Every window of every document is compared with every item by cosine; the windows that
-reach ``COSINE`` are candidates. A longest common subsequence of words, each word weighing its inverse
+reach the item's limit (``limits``) are candidates. A longest common subsequence of words, each word weighing its inverse
 document frequency, then decides, together with an answer check for paraphrases.
 """
 
@@ -22,7 +22,9 @@ from tidemark.llm.common import packed, staged
 from tidemark.llm.frequencies import inverse_frequencies, slots
 
 WINDOW, STRIDE = 48, 16
-COSINE = 0.25
+#: Part of an item that a window must hold to be a candidate. A window that holds a part f of an
+#: item of n words, and nothing else of it, has a cosine of f x root(n / window).
+PART = 0.4
 #: Items of fewer words say too little to be looked for.
 MIN_ITEM_WORDS = 8
 #: Mean items of a block, its rank, and blocks whose spaces are sent to the tasks at once.
@@ -39,7 +41,10 @@ FOUND = "doc_id bigint, id binary, item_row bigint, cosine double, region array<
 
 @dataclass(frozen=True)
 class Space:
-    """Latent space of a block: basis row of each slot, and the items' unit vectors in it."""
+    """Latent space of a block: basis row of each slot, and the items' unit vectors in it.
+
+    The unit vectors are divided by their items' limits, so a product of one or more is a candidate.
+    """
 
     slots: np.ndarray
     basis: np.ndarray
@@ -61,7 +66,7 @@ def _fit(group: pa.Table, idf) -> pa.Table:
     for k, (_, w) in enumerate(rows):
         s = slots(w)
         np.add.at(a[k], np.searchsorted(used, s), idf.value[s])
-    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12)
     rng = np.random.default_rng(8)
     y = a.T @ rng.standard_normal((len(rows), min(RANK, len(rows), len(used))))
     for _ in range(POWER_STEPS):
@@ -85,9 +90,16 @@ def _space(row) -> Space:
     used, items = np.frombuffer(row["slots"], "<i8"), np.frombuffer(row["items"], "<i8")
     basis = np.frombuffer(row["basis"], "<f4").reshape(len(used), -1)
     latent = np.frombuffer(row["latent"], "<f4").reshape(len(items), -1)
+    lengths = np.frombuffer(row["lengths"], "<i8")
+    latent = latent / limits(lengths)[:, None]
     # The most that one word of a slot adds to the product with any item.
     best = np.maximum((basis @ latent.T).max(axis=1), 0)
-    return Space(used, basis, best, items, np.frombuffer(row["lengths"], "<i8"), latent)
+    return Space(used, basis, best, items, lengths, latent)
+
+
+def limits(lengths: np.ndarray) -> np.ndarray:
+    """Cosine from which a window is a candidate for an item of so many words."""
+    return (PART * np.sqrt(np.minimum(lengths, WINDOW) / WINDOW)).astype(np.float32)
 
 
 def _windows(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +140,7 @@ def search(text: str | None, idf: np.ndarray, spaces: list[Space]) -> Iterator[t
         bounds = np.zeros(len(words) + 1)
         bounds[known + 1] = weights[known] * space.best[row[known]]
         bounds = np.cumsum(bounds)
-        open_windows = np.flatnonzero(bounds[ends] - bounds[starts] >= (COSINE - 1e-6) * norms)
+        open_windows = np.flatnonzero((bounds[ends] - bounds[starts] >= (1 - 1e-6) * norms) & (norms > 0))
         if not len(open_windows):
             continue
         a = np.searchsorted(known, starts[open_windows])
@@ -137,11 +149,12 @@ def search(text: str | None, idf: np.ndarray, spaces: list[Space]) -> Iterator[t
         for k in range(len(open_windows)):
             own = known[a[k] : b[k]]
             vectors[k] = weights[own].astype(np.float32) @ space.basis[row[own]]
-        cosines = (vectors @ space.latent.T) / norms[open_windows][:, None]
-        for item in np.flatnonzero(cosines.max(axis=0) >= COSINE):
-            hits = np.flatnonzero(cosines[:, item] >= COSINE)
+        scores = (vectors @ space.latent.T) / norms[open_windows][:, None]
+        for item in np.flatnonzero(scores.max(axis=0) >= 1):
+            hits = np.flatnonzero(scores[:, item] >= 1)
+            cosine = float(scores[hits, item].max() * limits(space.lengths[item]))
             for low, high in _places(open_windows[hits], starts, ends, int(space.lengths[item]), len(words)):
-                yield int(space.items[item]), float(cosines[hits, item].max()), words[low:high]
+                yield int(space.items[item]), cosine, words[low:high]
 
 
 def _search_all(batches: Iterator[pa.RecordBatch], idf, spaces) -> Iterator[pa.RecordBatch]:
@@ -183,8 +196,8 @@ def _judge(batches: Iterator[pa.RecordBatch], idf) -> Iterator[pa.RecordBatch]:
             words = np.array(region.as_py(), dtype=np.int64).view(np.uint64)
             weights = idf.value[slots(item)].astype(np.float64)
             tail = slice(max(len(item) - ANSWER_WORDS, 0), None)
-            shares.append(common_weight(item, words, weights) / weights.sum())
-            answers.append(common_weight(item[tail], words, weights[tail]) / weights[tail].sum())
+            shares.append(common_weight(item, words, weights) / max(weights.sum(), 1e-12))
+            answers.append(common_weight(item[tail], words, weights[tail]) / max(weights[tail].sum(), 1e-12))
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(c) for c in ("doc_id", "id", "item_id", "cosine")), pa.array(shares, pa.float64()), pa.array(answers, pa.float64())],
             names=["doc_id", "id", "item_id", "cosine", "share", "answer"],
@@ -212,7 +225,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out_schema = "doc_id bigint, id binary, item_id bigint, cosine double, share double, answer double"
     if n == 0:
         return spark.createDataFrame([], out_schema)
-    idf = spark.sparkContext.broadcast(inverse_frequencies(base, _keys))
+    rarity, _ = inverse_frequencies(base, _keys)
+    idf = spark.sparkContext.broadcast(rarity.astype(np.float32))
     n_blocks = -(-n // BLOCK_ITEMS)
     dealt = items.withColumn("block", F.pmod(F.xxhash64("item_row"), F.lit(n_blocks)).cast("int"))
     found = None
