@@ -1,4 +1,4 @@
-"""Connected components by label spreading with pointer jumping."""
+"""Connected components by hooking to the smallest neighbour and contracting."""
 
 from __future__ import annotations
 
@@ -11,25 +11,37 @@ from tidemark.llm.common import staged
 def components(edges: DataFrame) -> DataFrame:
     """``node``, ``label`` of every node in ``edges`` (``a``, ``b``): the smallest node it reaches.
 
-    Each round a node takes the smallest label among its neighbours' and then its label's label;
-    the distance covered grows with each jump. Rounds are cut in the shared folder, and only a
-    count reaches the driver. Neighbours are reduced to a minimum with map-side combining.
+    In each round every node points to its smallest neighbour if that is smaller, the pointers are
+    followed to their ends, and the edges are drawn anew between the ends. Edges within one
+    component vanish, so later rounds are small; the number of rounds grows with the logarithm of
+    the nodes. Self-loops are no edges. Only emptiness reaches the driver; the rounds
+    lie in the shared folder.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = staged(both.where("a <> b").distinct(), "links")
-    labels = staged(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+    ordered = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = staged(ordered.distinct(), "links")
+    found = None
     while True:
-        near = (
-            both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        )
-        stepped = labels.join(near, labels["node"] == near["a"]).select(
-            "node", F.col("label").alias("old"), F.least("label", "near").alias("mid")
-        )
-        # Jump: the label's own label is at least as small.
-        own = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
-        moved = staged(
-            stepped.join(own, "mid").select("node", "old", F.least("mid", "far").alias("label")), "labels"
-        )
-        labels = moved.select("node", "label")
-        if moved.where("label <> old").isEmpty():
-            return labels
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        step = both.groupBy("a").agg(F.min("b").alias("m"))
+        step = _ends(staged(step.select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "hooks"))
+        if found is None:
+            found = step
+        else:
+            onward = step.select(F.col("node").alias("label"), F.col("label").alias("end"))
+            found = staged(found.join(onward, "label", "left").select("node", F.coalesce("end", "label").alias("label")), "labels")
+        here = step.select(F.col("node").alias("a"), F.col("label").alias("x"))
+        there = step.select(F.col("node").alias("b"), F.col("label").alias("y"))
+        drawn = links.join(here, "a").join(there, "b").where("x <> y")
+        links = staged(drawn.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        if links.isEmpty():
+            return found
+
+
+def _ends(step: DataFrame) -> DataFrame:
+    """Follow ``label`` until it points to itself; the distance doubles each time."""
+    while True:
+        up = step.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        moved = staged(step.join(up, "label").select("node", "label", "far"), "hooks")
+        step = moved.select("node", F.col("far").alias("label"))
+        if moved.where("far <> label").isEmpty():
+            return step
