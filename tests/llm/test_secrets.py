@@ -6,11 +6,6 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import secrets
 
-KEYWORD = "password|passwd|secret|token|api_?key"
-ASSIGN = re.compile(
-    rf"""((?i:{KEYWORD}))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII
-)
-
 
 def by_hand(text):
     """Spans per rule by Python's own matching over the whole text."""

@@ -27,7 +27,6 @@ ARCHIVE_BYTES = 8 << 20
 READ_BYTES = 16 * 1024
 MIN_REVISIT_BYTES = 0
 DATE = "2020-01-01T00:00:00Z"
-EMPTY_DIGEST = "sha1:" + base64.b32encode(hashlib.sha1(b"").digest()).decode()
 
 RECORDS = (
     "record_id string, origin_id string, segment int, total bigint, type string, url string, page_id bigint, "
