@@ -11,7 +11,6 @@ from checks.market import ARRIVAL_SQL, MOMENTUM_SQL, basket
 from checks.signals import ORDER
 from checks.weather import FEATURES_SQL
 from tidemark.adapters import Tables
-from tidemark.operators import basket as B
 from tidemark.operators import folds as W
 from tidemark.operators.forward import first_on_or_after, horizon_targets
 from tidemark.plans import datasets as D

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import fixed
-from tidemark.operators.basket import DAY, SERIES
+from tidemark.operators.basket import DAY
 from tidemark.operators.folds import GROUP, numbered, rolling_origin
 from tidemark.plans.kpi import regression_metrics
 from tidemark.session import cut_lineage
