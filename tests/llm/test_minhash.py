@@ -3,6 +3,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+
 from tidemark.llm import minhash, shingles
 from tidemark.llm.components import components
 from tidemark.llm.frequencies import SLOTS
