@@ -51,16 +51,17 @@ def plan_records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFr
         F.max("page_id").alias("lead_page"), F.sum("n").alias("n"),
         F.max_by("n", F.coalesce("page_id", F.lit(-(2**63)))).alias("n_lead"),
     ).where("n > 1")
-    marked = rows.join(again, "sha", "left").withColumn(
-        "leads", F.col("n").isNotNull() & F.col("page_id").eqNullSafe(F.col("lead_page"))
-    )
+    # Written first, so that Spark knows its size: while it is small no payload is shuffled for it.
+    again = staged(again, "repeated-payloads")
+    leads = F.col("n").isNotNull() & F.col("page_id").eqNullSafe(F.col("lead_page"))
+    marked = rows.join(again, "sha", "left").withColumn("leads", leads)
     columns = ["page_id", "url", "sha", "payload", "lead_page", "revisit", "single"]
     single = (F.length("payload") >= min_bytes) & (F.col("n").isNull() | F.col("leads"))
     plain = marked.where(~F.col("leads") | (F.col("n_lead") == 1)).select(
         "*", (F.col("n").isNotNull() & ~F.col("leads")).alias("revisit"), single.alias("single")
     )
     # Rows repeated with the leading id: equal rows meet as one row and a count, and one is the response.
-    tied = marked.where(F.col("leads") & (F.col("n_lead") > 1)).groupBy("sha", "page_id", "url", "lead_page").agg(
+    tied = rows.join(again.where("n_lead > 1"), "sha").where(leads).groupBy("sha", "page_id", "url", "lead_page").agg(
         F.first("payload").alias("payload"), F.count("*").alias("copies")
     )
     order = Window.partitionBy("sha").orderBy("url")
