@@ -70,6 +70,30 @@ def test_search_meets_brute_force(spark):
     assert len(have & want) >= 0.99 * len(want) and len(want) > 30
 
 
+def test_items_that_many_documents_leak_are_found(spark):
+    """However many documents hold an item, each of them is found."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(4000)]
+    items = [(k, rng.choices(words, k=rng.randint(14, 44))) for k in range(10)]
+    bench = spark.createDataFrame([(k, " ".join(b)) for k, b in items], "item_id bigint, text string")
+    for every in (3, 1):
+        docs, want = [], set()
+        for k in range(150):
+            body = rng.choices(words, k=rng.choice([60, 200]))
+            if k % every == 0:
+                for item, copy in items:
+                    at = rng.randint(0, len(body))
+                    body[at:at] = [*rng.choices(words, k=48), *copy, *rng.choices(words, k=48)]
+                    want.add((k, item))
+            docs.append((k, " ".join(body)))
+        # An insertion may split an earlier item; only whole ones count.
+        texts = dict(docs)
+        want = {(d, i) for d, i in want if " ".join(items[i][1]) in texts[d]}
+        got = D.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), bench)
+        got = set(map(tuple, got.select("doc_id", "item_id").collect()))
+        assert len(want) > 300 / every and want <= got
+
+
 def test_common_subsequence():
     random.seed(1)
     for _ in range(50):

@@ -2,9 +2,10 @@
 
 Benchmark items are dealt to blocks of bounded size. Each block gets a latent space: a randomised
 SVD of the TF-IDF vectors of its passages, with document frequencies counted over the whole
-corpus. Every window of every document is compared with every item by cosine; the windows that
-reach the item's limit (``limits``) are candidates. A longest common subsequence of words, each word weighing its inverse
-document frequency, then decides, together with an answer check for paraphrases.
+corpus. Every window of every document is compared with every item; windows that hold a part of the
+item's own weight, whatever else they hold, or reach the item's cosine (``limits``) are candidates. A
+longest common subsequence of words, each word weighing one more than its inverse document
+frequency, then decides, together with an answer check for paraphrases.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from tidemark.llm.common import packed, staged
 from tidemark.llm.frequencies import inverse_frequencies, slots
 
 WINDOW, STRIDE = 48, 16
-#: Part of an item that a window must hold to be a candidate. A window that holds a part f of an
-#: item of n words, and nothing else of it, has a cosine of f x root(n / window).
+#: Part of an item's squared weight that a window must hold to be a candidate. Where all words weigh
+#: the same, a window that holds a part f of an item of n words has a cosine of f x root(n / window).
 PART = 0.4
 #: Items of fewer words say too little to be looked for.
 MIN_ITEM_WORDS = 8
@@ -35,7 +36,7 @@ COPY = 0.8
 #: A paraphrase keeps this share, and this share of the item's last words, its answer.
 PARAPHRASE, ANSWER_WORDS, ANSWER = 0.5, 8, 0.75
 
-SPACE = "block int, slots binary, basis binary, items binary, lengths binary, latent binary"
+SPACE = "block int, slots binary, basis binary, items binary, lengths binary, norms binary, latent binary"
 FOUND = "doc_id bigint, id binary, item_row bigint, cosine double, region array<bigint>"
 
 
@@ -43,14 +44,19 @@ FOUND = "doc_id bigint, id binary, item_row bigint, cosine double, region array<
 class Space:
     """Latent space of a block: basis row of each slot, and the items' unit vectors in it.
 
-    The unit vectors are divided by their items' limits, so a product of one or more is a candidate.
+    A window is a candidate if its product with an item's unit vector reaches ``parts``, or
+    ``limits`` times the window's norm. ``held`` and ``near`` are the most that one word of a slot
+    adds to the two quotients with any item.
     """
 
     slots: np.ndarray
     basis: np.ndarray
-    best: np.ndarray
+    held: np.ndarray
+    near: np.ndarray
     items: np.ndarray
     lengths: np.ndarray
+    parts: np.ndarray
+    limits: np.ndarray
     latent: np.ndarray
 
 
@@ -66,7 +72,8 @@ def _fit(group: pa.Table, idf) -> pa.Table:
     for k, (_, w) in enumerate(rows):
         s = slots(w)
         np.add.at(a[k], np.searchsorted(used, s), idf.value[s])
-    a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12)
+    norms = np.maximum(np.linalg.norm(a, axis=1), 1e-12)
+    a /= norms[:, None]
     rng = np.random.default_rng(8)
     y = a.T @ rng.standard_normal((len(rows), min(RANK, len(rows), len(used))))
     for _ in range(POWER_STEPS):
@@ -78,7 +85,7 @@ def _fit(group: pa.Table, idf) -> pa.Table:
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
     cells = [
         used.astype("<i8"), basis.astype("<f4"), np.array([r for r, _ in rows], "<i8"),
-        np.array([len(w) for _, w in rows], "<i8"), latent.astype("<f4"),
+        np.array([len(w) for _, w in rows], "<i8"), norms.astype("<f4"), latent.astype("<f4"),
     ]
     return pa.table(
         [pa.array([group.column("block")[0].as_py()], pa.int32()), *(pa.array([c.tobytes()]) for c in cells)],
@@ -91,10 +98,10 @@ def _space(row) -> Space:
     basis = np.frombuffer(row["basis"], "<f4").reshape(len(used), -1)
     latent = np.frombuffer(row["latent"], "<f4").reshape(len(items), -1)
     lengths = np.frombuffer(row["lengths"], "<i8")
-    latent = latent / limits(lengths)[:, None]
-    # The most that one word of a slot adds to the product with any item.
-    best = np.maximum((basis @ latent.T).max(axis=1), 0)
-    return Space(used, basis, best, items, lengths, latent)
+    parts, least = PART * np.frombuffer(row["norms"], "<f4"), limits(lengths)
+    adds = basis @ latent.T
+    held, near = (np.maximum((adds / x).max(axis=1), 0) for x in (parts, least))
+    return Space(used, basis, held, near, items, lengths, parts, least, latent)
 
 
 def limits(lengths: np.ndarray) -> np.ndarray:
@@ -124,7 +131,7 @@ def search(text: str | None, idf: np.ndarray, spaces: list[Space]) -> Iterator[t
     """(item, best cosine, words of the stretch) for the stretches of a text that resemble an item.
 
     The norm of a window is that of its words' weights. A window is projected only if the most that
-    its words can add up to reaches the threshold; this bound is exact.
+    its words can add up to reaches a threshold; these bounds are exact.
     """
     words = _keys(text)
     if not len(words):
@@ -137,10 +144,13 @@ def search(text: str | None, idf: np.ndarray, spaces: list[Space]) -> Iterator[t
     for space in spaces:
         row = np.minimum(np.searchsorted(space.slots, at), len(space.slots) - 1)
         known = np.flatnonzero(space.slots[row] == at)
-        bounds = np.zeros(len(words) + 1)
-        bounds[known + 1] = weights[known] * space.best[row[known]]
-        bounds = np.cumsum(bounds)
-        open_windows = np.flatnonzero((bounds[ends] - bounds[starts] >= (1 - 1e-6) * norms) & (norms > 0))
+        held, near = np.zeros(len(words) + 1), np.zeros(len(words) + 1)
+        held[known + 1] = weights[known] * space.held[row[known]]
+        near[known + 1] = weights[known] * space.near[row[known]]
+        held, near = np.cumsum(held), np.cumsum(near)
+        open_windows = np.flatnonzero(
+            (held[ends] - held[starts] >= 1 - 1e-6) | (near[ends] - near[starts] >= (1 - 1e-6) * norms)
+        )
         if not len(open_windows):
             continue
         a = np.searchsorted(known, starts[open_windows])
@@ -149,10 +159,11 @@ def search(text: str | None, idf: np.ndarray, spaces: list[Space]) -> Iterator[t
         for k in range(len(open_windows)):
             own = known[a[k] : b[k]]
             vectors[k] = weights[own].astype(np.float32) @ space.basis[row[own]]
-        scores = (vectors @ space.latent.T) / norms[open_windows][:, None]
-        for item in np.flatnonzero(scores.max(axis=0) >= 1):
-            hits = np.flatnonzero(scores[:, item] >= 1)
-            cosine = float(scores[hits, item].max() * limits(space.lengths[item]))
+        products, norm = vectors @ space.latent.T, norms[open_windows]
+        found = products >= np.minimum(space.parts, space.limits * norm[:, None])
+        for item in np.flatnonzero(found.any(axis=0)):
+            hits = np.flatnonzero(found[:, item])
+            cosine = float((products[hits, item] / norm[hits]).max())
             for low, high in _places(open_windows[hits], starts, ends, int(space.lengths[item]), len(words)):
                 yield int(space.items[item]), cosine, words[low:high]
 
@@ -195,9 +206,15 @@ def _judge(batches: Iterator[pa.RecordBatch], idf) -> Iterator[pa.RecordBatch]:
             item = _keys(text.as_py())
             words = np.array(region.as_py(), dtype=np.int64).view(np.uint64)
             weights = idf.value[slots(item)].astype(np.float64)
-            tail = slice(max(len(item) - ANSWER_WORDS, 0), None)
-            shares.append(common_weight(item, words, weights) / max(weights.sum(), 1e-12))
-            answers.append(common_weight(item[tail], words, weights[tail]) / max(weights[tail].sum(), 1e-12))
+            # What the stretch holds in any order bounds the share; below PARAPHRASE there is no leak.
+            held, tail = np.isin(item, words), np.arange(len(item)) >= len(item) - ANSWER_WORDS
+            if weights[held].sum() < (PARAPHRASE - 1e-6) * weights.sum():
+                shares.append(0.0)
+                answers.append(0.0)
+                continue
+            own = held & tail
+            shares.append(common_weight(item[held], words, weights[held]) / weights.sum())
+            answers.append(common_weight(item[own], words, weights[own]) / weights[tail].sum())
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(c) for c in ("doc_id", "id", "item_id", "cosine")), pa.array(shares, pa.float64()), pa.array(answers, pa.float64())],
             names=["doc_id", "id", "item_id", "cosine", "share", "answer"],
@@ -226,7 +243,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if n == 0:
         return spark.createDataFrame([], out_schema)
     rarity, _ = inverse_frequencies(base, _keys)
-    idf = spark.sparkContext.broadcast(rarity.astype(np.float32))
+    # One more for every word: an item that many documents leak must not lose its weight.
+    idf = spark.sparkContext.broadcast((rarity + 1).astype(np.float32))
     n_blocks = -(-n // BLOCK_ITEMS)
     dealt = items.withColumn("block", F.pmod(F.xxhash64("item_row"), F.lit(n_blocks)).cast("int"))
     found = None
