@@ -94,6 +94,24 @@ def test_items_that_many_documents_leak_are_found(spark):
         assert len(want) > 300 / every and want <= got
 
 
+def test_long_items_are_found_and_judged_whole(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(6000)]
+    items = {n: rng.choices(words, k=n) for n in (300, 400, 600, 1000)}
+    docs, want = [], set()
+    for n, copy in items.items():
+        for k in range(6):
+            body = rng.choices(words, k=500)
+            body[100 * k : 100 * k] = copy
+            docs.append((len(docs), " ".join(body)))
+            want.add((len(docs) - 1, n))
+        docs.append((len(docs), " ".join(copy[: n // 3])))  # a third of an item is no leak
+    bench = spark.createDataFrame([(n, " ".join(c)) for n, c in items.items()], "item_id bigint, text string")
+    found = D.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want
+    assert all(r.share > 0.999 and r.answer > 0.999 for r in found)
+
+
 def test_common_subsequence():
     random.seed(1)
     for _ in range(50):

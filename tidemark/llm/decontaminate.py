@@ -1,11 +1,12 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark items are dealt to blocks of bounded size. Each block gets a latent space: a randomised
+Benchmark items are cut into passages of a window at most, dealt to blocks of bounded size. Each block gets a latent space: a randomised
 SVD of the TF-IDF vectors of its passages, with document frequencies counted over the whole
-corpus. Every window of every document is compared with every item; windows that hold a part of the
-item's own weight, whatever else they hold, or reach the item's cosine (``limits``) are candidates. A
-longest common subsequence of words, each word weighing one more than its inverse document
-frequency, then decides, together with an answer check for paraphrases.
+corpus. Every window of every document is compared with every passage; windows that hold a part of its
+own weight, whatever else they hold, or reach its cosine (``limits``) are candidates. The windows of
+an item's passages are joined, and a longest common subsequence of words, each word weighing one
+more than its inverse document frequency, then decides on the whole item, together with an answer
+check for paraphrases.
 """
 
 from __future__ import annotations
@@ -23,12 +24,12 @@ from tidemark.llm.common import packed, staged
 from tidemark.llm.frequencies import inverse_frequencies, slots
 
 WINDOW, STRIDE = 48, 16
-#: Part of an item's squared weight that a window must hold to be a candidate. Where all words weigh
-#: the same, a window that holds a part f of an item of n words has a cosine of f x root(n / window).
+#: Part of a passage's squared weight that a window must hold to be a candidate. Where all words weigh
+#: the same, a window that holds a part f of a passage of n words has a cosine of f x root(n / window).
 PART = 0.4
 #: Items of fewer words say too little to be looked for.
 MIN_ITEM_WORDS = 8
-#: Mean items of a block, its rank, and blocks whose spaces are sent to the tasks at once.
+#: Mean passages of a block, its rank, and blocks whose spaces are sent to the tasks at once.
 BLOCK_ITEMS, RANK, BLOCKS_AT_ONCE = 192, 256, 8
 POWER_STEPS = 2
 #: A near copy keeps this share of the item's words in order, weighted by rarity.
@@ -42,11 +43,12 @@ FOUND = "doc_id bigint, id binary, item_row bigint, cosine double, region array<
 
 @dataclass(frozen=True)
 class Space:
-    """Latent space of a block: basis row of each slot, and the items' unit vectors in it.
+    """Latent space of a block: basis row of each slot, and the passages' unit vectors in it.
 
-    A window is a candidate if its product with an item's unit vector reaches ``parts``, or
-    ``limits`` times the window's norm. ``held`` and ``near`` are the most that one word of a slot
-    adds to the two quotients with any item.
+    ``items`` and ``lengths`` are those of the passages' whole items. A window is a candidate if its
+    product with a passage's unit vector reaches ``parts``, or ``limits`` times the window's norm.
+    ``held`` and ``near`` are the most that one word of a slot adds to the two quotients with any
+    passage.
     """
 
     slots: np.ndarray
@@ -65,8 +67,16 @@ def _keys(text: str | None) -> np.ndarray:
 
 
 def _fit(group: pa.Table, idf) -> pa.Table:
-    """Randomised SVD of a block's TF-IDF matrix (items x slots of its words)."""
-    rows = [(r["item_row"], _keys(r["text"])) for r in group.sort_by("item_row").to_pylist()]
+    """Randomised SVD of a block's TF-IDF matrix (passages x slots of its words).
+
+    A row is passage ``part`` of ``parts`` of its item's text, the whole text without these columns.
+    """
+    order = [(c, "ascending") for c in ("item_row", "part") if c in group.column_names]
+    rows, lengths = [], []
+    for r in group.sort_by(order).to_pylist():
+        words = _keys(r["text"])
+        rows.append((r["item_row"], np.array_split(words, r.get("parts", 1))[r.get("part", 0)]))
+        lengths.append((len(rows[-1][1]), len(words)))
     used = np.unique(np.concatenate([slots(w) for _, w in rows]))
     a = np.zeros((len(rows), len(used)), dtype=np.float64)
     for k, (_, w) in enumerate(rows):
@@ -85,7 +95,7 @@ def _fit(group: pa.Table, idf) -> pa.Table:
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
     cells = [
         used.astype("<i8"), basis.astype("<f4"), np.array([r for r, _ in rows], "<i8"),
-        np.array([len(w) for _, w in rows], "<i8"), norms.astype("<f4"), latent.astype("<f4"),
+        np.array(lengths, "<i8"), norms.astype("<f4"), latent.astype("<f4"),
     ]
     return pa.table(
         [pa.array([group.column("block")[0].as_py()], pa.int32()), *(pa.array([c.tobytes()]) for c in cells)],
@@ -97,15 +107,15 @@ def _space(row) -> Space:
     used, items = np.frombuffer(row["slots"], "<i8"), np.frombuffer(row["items"], "<i8")
     basis = np.frombuffer(row["basis"], "<f4").reshape(len(used), -1)
     latent = np.frombuffer(row["latent"], "<f4").reshape(len(items), -1)
-    lengths = np.frombuffer(row["lengths"], "<i8")
-    parts, least = PART * np.frombuffer(row["norms"], "<f4"), limits(lengths)
+    own, lengths = np.frombuffer(row["lengths"], "<i8").reshape(-1, 2).T
+    parts, least = PART * np.frombuffer(row["norms"], "<f4"), limits(own)
     adds = basis @ latent.T
     held, near = (np.maximum((adds / x).max(axis=1), 0) for x in (parts, least))
     return Space(used, basis, held, near, items, lengths, parts, least, latent)
 
 
 def limits(lengths: np.ndarray) -> np.ndarray:
-    """Cosine from which a window is a candidate for an item of so many words."""
+    """Cosine from which a window is a candidate for a passage of so many words."""
     return (PART * np.sqrt(np.minimum(lengths, WINDOW) / WINDOW)).astype(np.float32)
 
 
@@ -141,6 +151,7 @@ def search(text: str | None, idf: np.ndarray, spaces: list[Space]) -> Iterator[t
     starts, ends = _windows(len(words))
     squares = np.concatenate([[0.0], np.cumsum(weights**2)])
     norms = np.sqrt(squares[ends] - squares[starts])
+    near_items: dict[int, list] = {}  # length, best cosine and windows of each item found
     for space in spaces:
         row = np.minimum(np.searchsorted(space.slots, at), len(space.slots) - 1)
         known = np.flatnonzero(space.slots[row] == at)
@@ -161,11 +172,14 @@ def search(text: str | None, idf: np.ndarray, spaces: list[Space]) -> Iterator[t
             vectors[k] = weights[own].astype(np.float32) @ space.basis[row[own]]
         products, norm = vectors @ space.latent.T, norms[open_windows]
         found = products >= np.minimum(space.parts, space.limits * norm[:, None])
-        for item in np.flatnonzero(found.any(axis=0)):
-            hits = np.flatnonzero(found[:, item])
-            cosine = float((products[hits, item] / norm[hits]).max())
-            for low, high in _places(open_windows[hits], starts, ends, int(space.lengths[item]), len(words)):
-                yield int(space.items[item]), cosine, words[low:high]
+        for k in np.flatnonzero(found.any(axis=0)):
+            hits = np.flatnonzero(found[:, k])
+            own = near_items.setdefault(int(space.items[k]), [int(space.lengths[k]), 0.0, []])
+            own[1] = max(own[1], float((products[hits, k] / norm[hits]).max()))
+            own[2].append(open_windows[hits])
+    for item, (length, cosine, hits) in near_items.items():
+        for low, high in _places(np.unique(np.concatenate(hits)), starts, ends, length, len(words)):
+            yield item, cosine, words[low:high]
 
 
 def _search_all(batches: Iterator[pa.RecordBatch], idf, spaces) -> Iterator[pa.RecordBatch]:
@@ -238,7 +252,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     words = F.size(F.array_remove(F.split("text", r"[^\p{Alnum}\x{80}-\x{10FFFF}]+"), ""))
     items = benchmark.select("item_id", "text").where(words >= MIN_ITEM_WORDS).distinct()
     items = staged(items.withColumn("item_row", F.monotonically_increasing_id()), "items")
-    n = items.count()
+    parts = items.withColumn("parts", F.ceil(words / WINDOW).cast("int"))
+    parts = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    n = parts.count()
     out_schema = "doc_id bigint, id binary, item_id bigint, cosine double, share double, answer double"
     if n == 0:
         return spark.createDataFrame([], out_schema)
@@ -246,7 +262,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # One more for every word: an item that many documents leak must not lose its weight.
     idf = spark.sparkContext.broadcast((rarity + 1).astype(np.float32))
     n_blocks = -(-n // BLOCK_ITEMS)
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_row"), F.lit(n_blocks)).cast("int"))
+    dealt = parts.withColumn("block", F.pmod(F.xxhash64("item_row", "part"), F.lit(n_blocks)).cast("int"))
     found = None
     for low in range(0, n_blocks, BLOCKS_AT_ONCE):
         some = dealt.where(F.col("block").between(low, low + BLOCKS_AT_ONCE - 1))
