@@ -105,6 +105,35 @@ def dataset_with_snapshots(t: Tables) -> DataFrame:
     )
 
 
+@check(
+    f"""WITH {TARGETS}, {Q.SIGNALS}, agents AS (
+  SELECT commodity_id, as_of_date, count(DISTINCT agent_type) AS agents FROM signals GROUP BY ALL),
+mapped AS (
+  SELECT *, CASE WHEN series_id = 'PROMO' THEN 'c4' ELSE 'c' || CAST(length(series_id) % 5 AS VARCHAR) END AS commodity_id FROM dataset)
+SELECT d.series_id, d.commodity_id, CAST(d.as_of_date AS VARCHAR) AS as_of_date, d.horizon_days, coalesce(2 * agents, 0) AS feature_count
+FROM mapped d LEFT JOIN agents a ON a.commodity_id = d.commodity_id
+  AND a.as_of_date = DATE '2024-01-01' + CAST((d.as_of_date - DATE '1970-01-01') % 30 AS INTEGER)"""
+)
+def dataset_with_all_snapshots(t: Tables) -> DataFrame:
+    """Snapshots of every commodity on the series mapped to it; ``c4`` has none."""
+    snap = N.snapshots(t.signals(), ORDER).select(
+        "commodity_id", F.col("as_of_date").alias("_day"), "registry_id", "snapshot_hash", "snapshot_id", "signals",
+        F.lit(0).alias("created_at"),
+    )
+    by_length = F.concat(F.lit("c"), (F.length("series_id") % 5).cast("string"))
+    commodity = F.when(F.col("series_id") == "PROMO", "c4").otherwise(by_length)
+    rows = dataset(t)
+    days = rows.select("series_id", "as_of_date").distinct().withColumn(
+        "_day",
+        F.date_add(F.lit("2024-01-01").cast("date"), F.unix_date("as_of_date") % 30),
+    )
+    placed = days.withColumn("commodity_id", commodity).join(snap, ["commodity_id", "_day"]).drop("_day", "commodity_id")
+    return D.attach_snapshots(rows, placed).select(
+        "series_id", commodity.alias("commodity_id"), "as_of_date", "horizon_days",
+        F.coalesce(F.size("features"), F.lit(0)).alias("feature_count"),
+    )
+
+
 @check(
     f"""WITH {Q.BASKET}, asked AS (
   SELECT series_id, as_of_date, unnest([7, 30])::BIGINT AS horizon_days FROM basket)
@@ -356,6 +385,20 @@ def forecast_quality_rows(t: Tables) -> DataFrame:
     return rows.select("series_id", "horizon_days", "sample_count", "mae")
 
 
+@check(
+    f"""WITH {Q.PAIRS}
+SELECT series_id, horizon_days, count(*) AS sample_count, round(avg(abs(predicted - actual)), 4) AS mae,
+  round(sqrt(avg((predicted - actual) * (predicted - actual))), 4) AS rmse,
+  round(avg(CASE WHEN abs(actual) >= 1e-6 THEN abs((predicted - actual) / actual) * 100.0::DOUBLE END), 4) AS mape,
+  round(avg(CASE WHEN band_low IS NOT NULL AND band_high IS NOT NULL THEN CAST(actual BETWEEN band_low AND band_high AS DOUBLE) END), 4) AS coverage
+FROM pairs GROUP BY ALL"""
+)
+def forecast_quality_all_horizons(t: Tables) -> DataFrame:
+    """Horizon 120 is asked for and has no pairs, so it gives no row."""
+    kpis = K.horizon_kpis(t.pairs(), horizons=(30, 60, 90, 120), keys=["series_id"])
+    return K.quality_rows(kpis, {"assessment_source": F.lit("pairs")}).drop("assessment_source")
+
+
 PANEL = Q.BASKET + f""", {MOMENTUM_SQL}, bounds AS (
   SELECT series_id, min(as_of_date) AS a, max(as_of_date) AS z FROM basket GROUP BY ALL),
 fwd AS (

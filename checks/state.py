@@ -348,3 +348,23 @@ def importance_panel(t: Tables) -> DataFrame:
     return panel.select(
         "commodity_id", "as_of_date", "horizon_days", F.size("feature_values").alias("feature_count")
     )
+
+
+@check(
+    f"""WITH {LATEST}, days AS (SELECT commodity_id, as_of_date, count(*) FILTER (agent_type IN ('Market', 'Weather', 'Futures')) AS n,
+    count(*) FILTER (agent_type = 'Futures') AS f FROM latest GROUP BY ALL)
+SELECT commodity_id, CAST(as_of_date AS VARCHAR) AS as_of_date, horizon_days, CASE WHEN f = 1 THEN 5 * n ELSE 5 * n + 13 END AS feature_count
+FROM days CROSS JOIN (SELECT unnest([30, 60])::BIGINT AS horizon_days) h"""
+)
+def importance_panel_all_commodities(t: Tables) -> DataFrame:
+    """Every commodity, and one without feature sets, which gives no row."""
+    now = assembled(t).withColumn("created_at", F.lit(2))
+    nothing = F.create_map().cast("map<string,string>")
+    older = now.withColumn("created_at", F.lit(1)).withColumn("feature_values", nothing)
+    keys = now.select(*P.KEY)
+    keys = keys.unionByName(keys.withColumn("commodity_id", F.lit("unknown")))
+    rows = keys.withColumn("horizon_days", F.explode(F.array(F.lit(30), F.lit(60))))
+    panel = P.importance_panel(rows, older.unionByName(now))
+    return panel.select(
+        "commodity_id", "as_of_date", "horizon_days", F.size("feature_values").alias("feature_count")
+    )

@@ -253,3 +253,15 @@ def test_sql_belongs_to_registered_queries():
 
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
     assert all(callable(run) for run in catalog.QUERIES.values())
+
+
+def test_queries_over_every_commodity_and_horizon(spark):
+    from checks import catalog
+
+    run = lambda name: catalog.QUERIES[name](spark, "/root/testdata/sf0.01").collect()
+    attached = {}
+    for r in run("dataset_with_all_snapshots"):
+        attached[r.commodity_id] = max(attached.get(r.commodity_id, 0), r.feature_count)
+    assert {c for c, n in attached.items() if n > 0} == {"c0", "c1", "c2", "c3"} and attached["c4"] == 0
+    assert {r.commodity_id for r in run("importance_panel_all_commodities")} == {"c0", "c1", "c2", "c3"}
+    assert {r.horizon_days for r in run("forecast_quality_all_horizons")} == {30, 60, 90}
