@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, classifier, decontaminate, line_dedup, minhash, packing, quality_rules, secrets, token_counts, warc
+from tidemark.llm import chat, classifier, decontaminate, line_dedup, minhash, mixing, packing, quality_rules, secrets, token_counts, warc
 from tidemark.llm.common import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,3 +166,39 @@ def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
     judged = classifier.classify(docs, table(spark, folder, "labels"))
     return judged.withColumn("perplexity", F.round("perplexity", 6))
+
+
+@query(
+    """WITH sized AS (
+  SELECT doc_id, source, md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
+    CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+src AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS w
+  FROM sized GROUP BY source),
+ordered AS (
+  SELECT *, 2.0::DOUBLE * source_size AS most, 2.0::DOUBLE * source_size / w AS lim,
+    CAST(sum(source_size) OVER () AS DOUBLE) AS all_size, CAST(sum(w) OVER () AS DOUBLE) AS all_w,
+    coalesce(CAST(sum(2 * source_size) OVER (ORDER BY 2.0::DOUBLE * source_size / w, source NULLS LAST
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE), 0) AS before_most,
+    coalesce(sum(w) OVER (ORDER BY 2.0::DOUBLE * source_size / w, source NULLS LAST
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_w FROM src),
+levels AS (SELECT *, (1.5::DOUBLE * all_size - before_most) / (all_w - before_w) AS level FROM ordered),
+top AS (SELECT max(level) AS level FROM levels WHERE level <= lim),
+wanted AS (
+  SELECT source, source_size, CASE WHEN top.level IS NULL THEN most ELSE least(most, top.level * w) END AS target
+  FROM levels, top),
+placed AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS budget,
+    CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.size
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+  FROM sized d JOIN wanted t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE
+  (budget // source_size) * size + greatest(0, least(size, budget % source_size - before)) END AS taken
+FROM placed"""
+)
+def op11_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """How many words of every document the mix takes."""
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    mixed = mixing.mix(docs, carry=["doc_id"])
+    return mixed.select("doc.doc_id", "size", "source_size", "target", "taken")
