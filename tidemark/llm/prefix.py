@@ -23,7 +23,7 @@ def _sums(batches: Iterator[pa.RecordBatch], values: list[str]) -> Iterator[pa.R
     for batch in batches:
         if not batch.num_rows:
             continue
-        part = batch.column("part").to_numpy()
+        part = batch.column("sum_part").to_numpy()
         starts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
         runs = np.diff(np.append(starts, len(part)))
         for name in values:
@@ -48,20 +48,20 @@ def running_sums(rows: DataFrame, part: Column, order: list[Column], values: lis
     and part moves.
     """
     names = rows.columns
-    keyed = rows.select("*", part.cast("long").alias("part"), *(c.alias(f"order_{k}") for k, c in enumerate(order)))
-    by = ["part", *(f"order_{k}" for k in range(len(order)))]
+    keyed = rows.select("*", part.cast("long").alias("sum_part"), *(c.alias(f"order_{k}") for k, c in enumerate(order)))
+    by = ["sum_part", *(f"order_{k}" for k in range(len(order)))]
     dealt = keyed.repartitionByRange(*by).sortWithinPartitions(*by)
-    dealt = dealt.select(*names, "part", F.spark_partition_id().alias("task"))
+    dealt = dealt.select(*names, "sum_part", F.spark_partition_id().alias("sum_task"))
     schema = T.StructType([*dealt.schema, *(T.StructField(f"before_{v}", rows.schema[v].dataType) for v in values)])
     summed = staged(dealt.mapInArrow(lambda batches: _sums(batches, values), schema), "running")
-    totals = summed.groupBy("part", "task").agg(*(F.sum(v).alias(v) for v in values))
-    earlier = Window.partitionBy("part").orderBy("task")
+    totals = summed.groupBy("sum_part", "sum_task").agg(*(F.sum(v).alias(v) for v in values))
+    earlier = Window.partitionBy("sum_part").orderBy("sum_task")
     offsets = totals.select(
-        F.col("part").alias("p"), F.col("task").alias("t"), F.row_number().over(earlier).alias("nth"),
+        "sum_part", "sum_task", F.row_number().over(earlier).alias("nth"),
         *(F.sum(v).over(earlier.rowsBetween(Window.unboundedPreceding, -1)).alias(f"offset_{v}") for v in values),
     ).where("nth > 1")
     # At most one row a task: what the first part of the task has in earlier tasks.
-    whole = summed.join(F.broadcast(offsets), (F.col("part") == F.col("p")) & (F.col("task") == F.col("t")), "left")
+    whole = summed.join(F.broadcast(offsets), ["sum_part", "sum_task"], "left")
     return whole.select(
         *names,
         *((F.col(f"before_{v}") + F.coalesce(F.col(f"offset_{v}"), F.lit(0))).alias(f"before_{v}") for v in values),
