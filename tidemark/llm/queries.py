@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, classifier, decontaminate, line_dedup, minhash, mixing, packing, quality_rules, secrets, token_counts, warc
+from tidemark.llm import chat, classifier, decontaminate, line_dedup, minhash, mixing, packing, phrases, quality_rules, repair, secrets, token_counts, warc
 from tidemark.llm.common import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,3 +202,41 @@ def op11_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
     mixed = mixing.mix(docs, carry=["doc_id"])
     return mixed.select("doc.doc_id", "size", "source_size", "target", "taken")
+
+
+@query()
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults of every damaged conversation, and its cheapest repair."""
+    talks = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.whole_reports(repair.report(repair.repair(repair.damaged(talks))), talks)
+
+
+@query(
+    """WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p
+  FROM documents),
+word AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM piece),
+spot AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM word),
+gram AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM spot, range(1, 6) t(k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, k, phrase, count(*) AS n FROM gram GROUP BY ALL HAVING count(*) >= 100),
+tot AS (SELECT lang, count(*) AS n FROM gram WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cut AS (SELECT *, unnest(range(1, k)) AS c FROM cand),
+valued AS (
+  SELECT t.lang, t.phrase, t.a, t.c, x.n AS l, y.n AS r, tot.n,
+    (1000::HUGEINT * t.a * tot.n) // (x.n::HUGEINT * y.n) AS score
+  FROM cut t JOIN f x ON x.lang = t.lang AND x.phrase = array_to_string(t.w[1:t.c], ' ')
+  JOIN f y ON y.lang = t.lang AND y.phrase = array_to_string(t.w[t.c + 1:], ' ') JOIN tot ON tot.lang = t.lang),
+lowest AS (SELECT * FROM valued QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+part AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS around
+  FROM cand, range(2, 5) s(m), range(1, 5) t(i) WHERE m < k AND i + m - 1 <= k GROUP BY ALL),
+kept AS (SELECT v.* FROM lowest v LEFT JOIN part p USING (lang, phrase) WHERE p.around IS NULL OR 100 * p.around < 100 * v.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+FROM ranked WHERE rank <= 2000"""
+)
+def op13_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """Best phrases of every language."""
+    return phrases.collocations(table(spark, folder, "documents").select("lang", "text"))
