@@ -10,7 +10,7 @@ from tidemark import schemas
 from tidemark.operators import dedupe as D
 from tidemark.operators import mapping, versions
 from tidemark.plans import ingest
-from tidemark.sources import files, seeds, tables
+from tidemark.sources import commits, files, seeds, tables
 from tidemark.streaming.file_ingest import market_stream
 
 
@@ -76,7 +76,7 @@ def test_ingest_is_idempotent(spark, tmp_path):
     assert (first["arrivals_inserted"], first["arrivals_skipped"]) == (2, 1)
     assert first["anchor"] == dt.date(2026, 2, 6)
     assert again["prices_inserted"] == 0 and again["arrivals_inserted"] == 0
-    stored = tables.read_facts(spark, f"{store}/price_observation", schemas.PRICE_OBSERVATION)
+    stored = commits.read(spark, store, ingest.PRICES, schemas.PRICE_OBSERVATION)
     assert stored.count() == 6
     window = ingest.backfill_market(
         spark, parsed, places(spark), str(tmp_path / "other"), dt.date(2026, 2, 6), dt.date(2026, 2, 6))
@@ -89,7 +89,7 @@ def test_file_stream_appends_once(spark, tmp_path):
     market_stream(spark, str(tmp_path / "in"), places(spark), store, check).awaitTermination()
     land(tmp_path / "in", "b.json", [record(), record(arrival_date="07/02/2026")])
     market_stream(spark, str(tmp_path / "in"), places(spark), store, check).awaitTermination()
-    stored = tables.read_facts(spark, f"{store}/price_observation", schemas.PRICE_OBSERVATION)
+    stored = commits.read(spark, store, ingest.PRICES, schemas.PRICE_OBSERVATION)
     assert stored.count() == 6
 
 
@@ -123,7 +123,7 @@ def test_weather_grid_drops_fill(spark, tmp_path):
     assert ingest.ingest_weather(spark, points, store) == {
         "drafts": 1, "rejected": 0, "inserted": 1, "skipped": 0}
     assert ingest.ingest_weather(spark, points, store)["inserted"] == 0
-    row = tables.read_facts(spark, f"{store}/weather_observation", schemas.WEATHER_OBSERVATION).first()
+    row = commits.read(spark, store, ingest.WEATHER, schemas.WEATHER_OBSERVATION).first()
     assert row["region_id"] == "reg_tg_khammam" and float(row["rainfall_mm"]) == 1.2346
     assert float(row["temperature_mean_c"]) == 25.11
 

@@ -35,27 +35,49 @@ def daily_source(rows: DataFrame, entity: str, anomalies: list[DataFrame] | None
     )
 
 
+def calendar_anchors(series: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Every day from ``start`` to ``end`` (columns of ``series`` or literals) of each series."""
+    return series.select(SERIES, F.explode(F.sequence(start, end)).alias(DAY))
+
+
+def touched_anchors(
+    changed: DataFrame, through: Column, window_days: int = fixed.QUALITY_WINDOW_DAYS
+) -> DataFrame:
+    """The (series, day) up to ``through`` whose window holds one of the changed (series, day)."""
+    last = F.least(F.date_add(DAY, window_days - 1), through)
+    days = changed.select(SERIES, DAY).distinct().filter(F.col(DAY) <= through)
+    return days.select(SERIES, F.explode(F.sequence(F.col(DAY), last)).alias(DAY)).distinct()
+
+
 def source_metrics(
     daily: DataFrame, expected: DataFrame, window_days: int = fixed.QUALITY_WINDOW_DAYS,
-    now: Column | None = None,
+    now: Column | None = None, anchors: DataFrame | None = None,
 ) -> DataFrame:
-    """Quality metrics of the window ending on each (series, day) of ``daily``.
+    """Quality metrics of the window ending on each (series, day) of ``daily`` or ``anchors``.
 
     Every metric is a frame over daily counts: latest reporting day, days with data, latest source
-    time and unusable rows. ``now`` defaults to the end of the day itself.
+    time and unusable rows. ``now`` defaults to the end of the day itself. Anchors are questions
+    merged with the days on one timeline, so a silent day gets its row and nothing is multiplied:
+    frames by value see the day's counts from either row.
     """
     total = expected.agg(F.count_distinct(*expected.columns)).scalar()
     frame = days_back(window_days - 1)
+    asked = F.lit(True) if anchors is None else F.lit(False)
+    line = daily.select(SERIES, DAY, "_reporting", "_seen", "_bad_rows", asked.alias("_asked"))
+    if anchors is not None:
+        questions = anchors.select(SERIES, DAY, F.lit(True).alias("_asked"))
+        line = line.unionByName(questions, allowMissingColumns=True)
     has = F.col("_reporting") > 0
     cell = F.when(has, F.struct("_reporting", F.col(DAY).alias("_day")))
-    staged = daily.select(
+    staged = line.select(
         SERIES,
         DAY,
+        "_asked",
         F.last(cell, ignorenulls=True).over(frame).alias("_latest"),
         F.count(cell).over(frame).alias("days_with_data"),
         F.max("_seen").over(frame).alias("latest_observed_at"),
-        F.sum("_bad_rows").over(frame).alias("anomaly_count"),
-    ).withColumn("expected", total)
+        F.coalesce(F.sum("_bad_rows").over(frame), F.lit(0)).alias("anomaly_count"),
+    ).filter("_asked").withColumn("expected", total)
     clock = now if now is not None else F.date_add(DAY, 1).cast("timestamp")
     whole = F.lit(window_days)
     reporting = F.coalesce("_latest._reporting", F.lit(0))
@@ -187,3 +209,54 @@ def signal_quality(
         "mean_confidence",
         "confidence_by_agent",
     )
+
+
+def snapshot_rows(
+    market: DataFrame, registries: DataFrame, weather: DataFrame | None = None,
+    window_days: int = fixed.QUALITY_WINDOW_DAYS,
+) -> DataFrame:
+    """Stored quality snapshots: one row per (commodity, day, registry).
+
+    ``market`` and ``weather`` are source metrics, the latter by day alone; ``registries`` holds the
+    active (commodity_id, registry_id), and commodities without one get no snapshot.
+    """
+    base = scored(market)
+    overall, health = F.col("score"), [F.col("health").alias(fixed.MARKET_SOURCE)]
+    details = [_detail("markets", window_days).alias(f"{fixed.MARKET_SOURCE}_detail")]
+    if weather is not None:
+        other = scored(weather)
+        own = {c: f"_w_{c}" for c in other.columns if c not in (SERIES, DAY)}
+        base = base.join(other.drop(SERIES).withColumnsRenamed(own), DAY, "left")
+        overall = Q.blended_score(
+            F.col("score"), F.col("_w_score"), F.coalesce("_w_reporting", F.lit(0))
+        )
+        health.append(F.col("_w_health").alias("weather"))
+        details.append(_detail("regions", window_days, "_w_").alias("weather_detail"))
+    # A health that was not measured is left out of the document by to_json.
+    named = base.withColumn("source_health", F.to_json(F.struct(*health, *details)))
+    active = registries.select(F.col("commodity_id").alias(SERIES), "registry_id").distinct()
+    return named.withColumn("_overall", overall).join(active, SERIES).select(
+        F.col(SERIES).alias("commodity_id"),
+        DAY,
+        "registry_id",
+        "source_health",
+        F.col("_overall").alias("overall_quality_score"),
+        F.round("lag_hours", 2).alias("lag_hours"),
+        F.lit(False).alias("futures_feed_ok"),
+        Q.score_penalty(F.col("_overall")).alias("confidence_penalty_factor"),
+    )
+
+
+def _detail(entities: str, window_days: int, mark: str = "") -> Column:
+    col = lambda name: F.col(mark + name)
+    there = F.struct(
+        col("expected").alias(f"{entities}_expected"),
+        col("reporting").alias(f"{entities}_reporting"),
+        F.round(col("coverage"), 4).alias("coverage_ratio"),
+        F.lit(window_days).alias("window_days"),
+        col("days_with_data").alias("days_with_data"),
+        F.round(col("completeness"), 4).alias("completeness_ratio"),
+        col("latest_day").alias("latest_as_of_date"),
+        col("anomaly_count").alias("anomaly_count"),
+    )
+    return F.when(col("expected").isNotNull(), there)

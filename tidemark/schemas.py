@@ -38,6 +38,11 @@ POLICY_OBSERVATION = (
     "confidence decimal(5,4), summary string, provenance map<string,string>, "
     "validation_status string"
 )
+QUALITY_SNAPSHOT = (
+    "commodity_id string, as_of_date date, registry_id string, source_health string, "
+    "overall_quality_score double, lag_hours double, futures_feed_ok boolean, "
+    "confidence_penalty_factor double, written bigint"
+)
 REGISTRY = (
     "registry_id string, commodity_id string, version string, effective_from date, "
     "effective_to date, is_active boolean, required_agents array<string>, "

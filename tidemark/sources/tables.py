@@ -120,6 +120,12 @@ def _path(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder with all it holds, if it is there."""
+    files, at = _path(spark, path)
+    files.delete(at, True)
+
+
 def _written(spark: SparkSession, path: str) -> bool:
     """A job that wrote the folder ended well: its mark is there."""
     files, at = _path(spark, f"{path}/_SUCCESS")

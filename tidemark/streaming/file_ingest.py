@@ -15,9 +15,9 @@ def market_stream(
 ) -> StreamingQuery:
     """Run the batch ingest on every micro-batch of new documents until none are left.
 
-    Deduplication is against the stored keys inside ``foreachBatch``: a replayed batch finds its
-    own rows stored and appends nothing, so no unbounded streaming state is kept and late
-    documents are ordinary appends.
+    Deduplication is against the stored keys inside ``foreachBatch``, so no unbounded streaming
+    state is kept and late documents are ordinary appends. A micro-batch is committed once under
+    its number: a replayed one is known by it and appends nothing.
     """
     documents = (
         spark.readStream.format("text")
@@ -26,8 +26,9 @@ def market_stream(
         .select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("body"))
     )
 
-    def handle(batch: DataFrame, _: int) -> None:
-        ingest_market(spark, parse_market(raw_market_records(batch)), markets, folder)
+    def handle(batch: DataFrame, number: int) -> None:
+        parsed = parse_market(raw_market_records(batch))
+        ingest_market(spark, parsed, markets, folder, writer=f"stream:{checkpoint}", number=number)
 
     return (
         documents.writeStream.foreachBatch(handle)
