@@ -55,6 +55,27 @@ scored AS (
     {Q.text_round(QUALITY_RAW)} AS score FROM metrics)"""
 
 
+def dense_quality_sql(spine: str, days: str, expected: str) -> str:
+    """Quality of every (series, day) of ``spine`` from ``days`` (reporting, seen, bad), silent days included."""
+    return f"""timeline AS (
+  SELECT s.series_id, s.as_of_date, d.reporting, d.seen, coalesce(d.bad, 0) AS bad
+  FROM {spine} s LEFT JOIN {days} d ON d.series_id = s.series_id AND d.as_of_date = s.as_of_date),
+framed AS (
+  SELECT series_id, as_of_date, ({expected}) AS expected,
+    coalesce(last_value(CASE WHEN reporting > 0 THEN reporting END IGNORE NULLS) OVER w, 0) AS reporting,
+    count(CASE WHEN reporting > 0 THEN 1 END) OVER w AS days_with_data, max(seen) OVER w AS latest_observed_at,
+    CAST(sum(bad) OVER w AS BIGINT) AS anomaly_count
+  FROM timeline WINDOW w AS (PARTITION BY series_id ORDER BY as_of_date RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW)),
+metrics AS (
+  SELECT *, least(1.0::DOUBLE, reporting / expected::DOUBLE) AS coverage, least(1.0::DOUBLE, days_with_data / 30.0::DOUBLE) AS completeness,
+    CASE WHEN latest_observed_at IS NOT NULL THEN greatest(0.0::DOUBLE, (epoch_us(CAST(as_of_date + 1 AS TIMESTAMP)) - epoch_us(latest_observed_at)) / 3600000000.0::DOUBLE) END AS lag_hours,
+    greatest(days_with_data * greatest(reporting, 1), 1) AS proxy_rows FROM framed),
+scored AS (
+  SELECT *, CASE WHEN reporting = 0 THEN 'missing' WHEN lag_hours > 48 THEN 'stale'
+      WHEN coverage < 0.5 OR completeness < 0.25 THEN 'stale' ELSE 'fresh' END AS health,
+    {Q.text_round(QUALITY_RAW.replace('lag_hours', 'coalesce(lag_hours, 0)'))} AS score FROM metrics)"""
+
+
 MARKET_QUALITY = f"""WITH {Q.PRICES}, {Q.ARRIVALS}, """ + quality_sql(
     "market_id", "prices", "SELECT count(*) FROM supplier",
     "+ (SELECT count(*) FROM arrivals a WHERE a.series_id = d.series_id AND a.as_of_date = d.as_of_date AND a.validation_status = 'received')",
@@ -80,6 +101,34 @@ def market_source_metrics(t: Tables) -> DataFrame:
     )
 
 
+@check(
+    f"""WITH {Q.PRICES}, {Q.ARRIVALS},
+loads AS (SELECT series_id, as_of_date, count(*) FILTER (validation_status = 'received') AS bad FROM arrivals GROUP BY ALL),
+quotes AS (
+  SELECT series_id, as_of_date, count(DISTINCT market_id) AS reporting, max(observed_at) AS seen,
+    count(*) FILTER (validation_status = 'received') AS bad FROM prices GROUP BY ALL),
+days AS (SELECT q.* EXCLUDE (bad), q.bad + l.bad AS bad FROM quotes q JOIN loads l USING (series_id, as_of_date)),
+span AS (SELECT series_id, min(as_of_date) AS lo, (SELECT max(as_of_date) + 30 FROM prices) AS hi FROM prices GROUP BY ALL),
+spine AS (SELECT series_id, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS as_of_date FROM span),
+""" + dense_quality_sql("spine", "days", "SELECT count(*) FROM supplier") + """
+SELECT series_id, CAST(as_of_date AS VARCHAR) AS as_of_date, health, days_with_data, reporting, anomaly_count,
+  round(completeness, 4) AS completeness, round(lag_hours, 2) AS lag_hours, score FROM scored"""
+)
+def silent_day_quality(t: Tables) -> DataFrame:
+    """Quality of every calendar day of a series, until 30 days behind the last day of all."""
+    prices = t.prices()
+    last = prices.agg(F.date_add(F.max("as_of_date"), 30).alias("_end")).scalar()
+    spans = prices.groupBy("series_id").agg(F.min("as_of_date").alias("_start")).withColumn("_end", last)
+    metrics = P.source_metrics(
+        P.daily_source(prices, "market_id", [t.arrivals()]), t.markets(),
+        anchors=P.calendar_anchors(spans, F.col("_start"), F.col("_end")),
+    )
+    return P.scored(metrics).select(
+        "series_id", "as_of_date", "health", "days_with_data", "reporting", "anomaly_count",
+        F.round("completeness", 4).alias("completeness"), F.round("lag_hours", 2).alias("lag_hours"), "score",
+    )
+
+
 @check(
     f"""WITH {Q.WEATHER}, """ + quality_sql("region_id", "weather", "SELECT count(DISTINCT region_id) FROM weather") + """
 SELECT CAST(as_of_date AS VARCHAR) AS as_of_date, expected, reporting, days_with_data, anomaly_count,
