@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Value blocks in each power of two.
+STEPS = 1024
+#: Distinct values that a cell takes along.
+CARRIED = 16
+#: Block of the rows without a value.
+NO_VALUE = -(10**8)
+
+
 def exact_median(
     df: DataFrame, keys: list[str], value: str, out: str,
     latest: dict[str, str] | None = None, count: str | None = None,
@@ -13,67 +21,75 @@ def exact_median(
 
     ``latest`` maps new columns to columns to maximise, ``count`` names a column for the values.
 
-    One map-side-combined pass counts the rows of each (group, value block) and keeps their least
-    and greatest value; a block is a narrow range of values, so a group of any size is a bounded
-    number of small rows. The blocks that cover the middle ranks answer by themselves when they
-    hold one value, or no more than two rows. Only rows of the other middle blocks are read
-    again, as value counts spread over (group, block). There is one way for all groups.
+    Equal values of a group are counted in the map tasks first. A cell holds the distinct values of
+    a (group, value block); a block is a narrow range of values, so cells stay small and those of
+    one group lie in many tasks. The row counts of its cells tell which of them hold the middle
+    ranks of a group. Small cells take their values along and answer by themselves; only the values
+    of large ones stay behind and are asked for by (group, block). Spark makes the cells once and
+    reuses their exchange, so the source is read once. There is one way for all groups.
 
     Rows with a NULL key belong to no group; NULL values count for ``latest`` only.
     """
     latest = latest or {}
-    x = F.col(value).cast("double")
-    rows = df.filter(_all_known(keys)).select(*keys, x.alias("_x"), *[F.col(c).alias(n) for n, c in latest.items()])
-    block = value_block(F.col("_x")).alias("_block")
-    cells = rows.groupBy(*keys, block).agg(
-        F.count("_x").alias("_rows"), F.min("_x").alias("_low"), F.max("_x").alias("_high"),
-        *[F.max(n).alias(n) for n in latest],
+    cells = _cells(df, keys, value, latest)
+    small = F.size("_points") <= CARRIED
+    narrow = cells.select(
+        *keys, "_block", _rows("_points").alias("_rows"), F.when(small, F.col("_points")).alias("_points"),
+        *[F.array_max(F.col("_points")[n]).alias(n) for n in latest],
     )
-    in_order = Window.partitionBy(*keys).orderBy("_block")
-    placed = cells.withColumn("_before", F.sum("_rows").over(in_order) - F.col("_rows")).withColumn(
-        "_total", F.sum("_rows").over(Window.partitionBy(*keys))
+    whole, in_order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_block")
+    placed = narrow.select(
+        "*", (F.sum("_rows").over(in_order) - F.col("_rows")).alias("_before"), F.sum("_rows").over(whole).alias("_total")
     )
-    found = {}
-    plain = (F.col("_rows") <= 2) | (F.col("_low") == F.col("_high"))
-    for side, rank in (("lower", F.floor((F.col("_total") + 1) / 2)), ("upper", F.floor(F.col("_total") / 2) + 1)):
-        spot = rank - F.col("_before")
-        inside = (spot >= 1) & (spot <= F.col("_rows"))
-        value_there = F.when(spot == 1, F.col("_low")).otherwise(F.col("_high"))
-        found[f"_{side}"] = F.max(F.when(inside & plain, value_there))
-        found[f"_{side}_open"] = F.max(F.when(inside & ~plain, F.struct("_block", spot.alias("_spot"))))
-    groups = placed.groupBy(*keys).agg(
-        *[c.alias(n) for n, c in found.items()], F.max("_total").alias("_count"),
-        *[F.max(n).alias(n) for n in latest],
+    spots = placed.select(
+        *placed.columns,
+        (F.floor((F.col("_total") + 1) / 2) - F.col("_before")).alias("_lower"),
+        (F.floor(F.col("_total") / 2) + 1 - F.col("_before")).alias("_upper"),
     )
-    open_spots = groups.select(
-        *keys, F.explode(F.array_compact(F.array("_lower_open", "_upper_open"))).alias("_open")
-    ).select(*keys, "_open.*").distinct()
-    filled = _at_spots(rows.select(*keys, "_x"), open_spots, keys)
-    counted = [F.col("_count").alias(count)] if count else []
-    return groups.join(filled, keys, "left").select(
-        *keys, *latest, *counted, ((_side("lower") + _side("upper")) / 2).alias(out)
+    here = lambda spot: (F.col(spot) >= 1) & (F.col(spot) <= F.col("_rows"))
+    spots = spots if latest or count else spots.filter(here("_lower") | here("_upper") | (F.col("_total") == 0))
+    large = cells.filter(~small).select(*keys, "_block", F.col("_points").alias("_left_behind"))
+    # Cells that cannot be asked keep their rows apart from any block, so the join drops nothing.
+    asked = F.when(F.col("_points").isNull() & (here("_lower") | here("_upper")), F.col("_block"))
+    met = spots.withColumn("_block", asked).join(large, [*keys, "_block"], "left")
+    points = F.coalesce("_points", "_left_behind")
+    counted = [F.max("_total").alias(count)] if count else []
+    found = met.select(
+        *keys, *latest, "_total",
+        F.when(here("_lower"), _value_at(points, "_lower")).alias("_low"),
+        F.when(here("_upper"), _value_at(points, "_upper")).alias("_high"),
+    )
+    return found.groupBy(*keys).agg(
+        *[F.max(n).alias(n) for n in latest], *counted, ((F.max("_low") + F.max("_high")) / 2).alias(out)
+    )
+
+
+def _cells(df: DataFrame, keys: list[str], value: str, latest: dict[str, str]) -> DataFrame:
+    """``_points``: the distinct values of each (group, block) in order, with their rows."""
+    x = F.col(value).cast("double")
+    rows = df.filter(_all_known(keys)).select(*keys, x.alias("_x"), *[F.col(c).alias(n) for n, c in latest.items()])
+    points = rows.groupBy(*keys, "_x").agg(F.count("_x").alias("_n"), *[F.max(n).alias(n) for n in latest])
+    block = F.coalesce(value_block(F.col("_x")), F.lit(NO_VALUE).cast("long"))
+    return points.groupBy(*keys, block.alias("_block")).agg(
+        F.sort_array(F.collect_list(F.struct("_x", "_n", *latest))).alias("_points")
+    )
+
+
+def _rows(points: str) -> Column:
+    one = F.get(points, F.lit(0))["_n"]
+    return F.when(F.size(points) == 1, one).otherwise(
+        F.aggregate(points, F.lit(0).cast("long"), lambda total, p: total + p["_n"])
     )
 
 
-def _side(side: str) -> Column:
-    """Value of one middle rank: known from its block, or read from the rows of the block."""
-    spot = F.col(f"_{side}_open")
-    read = F.filter("_read", lambda r: (r["_block"] == spot["_block"]) & (r["_spot"] == spot["_spot"]))
-    return F.coalesce(F.col(f"_{side}"), F.get(read, F.lit(0))["_value"])
-
-
-def _at_spots(rows: DataFrame, spots: DataFrame, keys: list[str]) -> DataFrame:
-    """``_read``: at most two (block, spot, value) per group, for spots counted within a block."""
-    cell = [*keys, "_block"]
-    blocks = spots.select(*cell).distinct()
-    inside = rows.filter(F.col("_x").isNotNull()).withColumn("_block", value_block(F.col("_x")))
-    counts = inside.join(blocks, cell, "left_semi").groupBy(*cell, "_x").agg(F.count(F.lit(1)).alias("_rows"))
-    upto = F.sum("_rows").over(Window.partitionBy(*cell).orderBy("_x"))
-    met = counts.withColumn("_upto", upto).join(spots, cell)
-    hit = met.filter((F.col("_spot") <= F.col("_upto")) & (F.col("_spot") > F.col("_upto") - F.col("_rows")))
-    return hit.groupBy(*keys).agg(
-        F.collect_list(F.struct("_block", "_spot", F.col("_x").alias("_value"))).alias("_read")
+def _value_at(points: Column, spot: str) -> Column:
+    """Value of the ``spot``-th row (from 1) of a cell: the last one that begins before it."""
+    start = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(None).cast("double").alias("x"))
+    step = lambda at, p: F.struct(
+        (at["upto"] + p["_n"]).alias("upto"), F.when(at["upto"] < F.col(spot), p["_x"]).otherwise(at["x"]).alias("x")
     )
+    one = F.get(points, F.lit(0))["_x"]
+    return F.when(F.size(points) == 1, one).otherwise(F.aggregate(points, start, step)["x"])
 
 
 def _all_known(keys: list[str]) -> Column:
@@ -84,18 +100,18 @@ def _all_known(keys: list[str]) -> Column:
 
 
 def value_block(x: Column) -> Column:
-    """Order-preserving block of a double: 64 steps in each power of two, at any magnitude.
+    """Order-preserving block of a double: ``STEPS`` in each power of two, at any magnitude.
 
     Linear between powers of two, so rounding of the logarithm cannot break the order. Zero, the
     infinities and NaN (the greatest) have blocks of their own; NULL has none.
     """
     size = F.abs(x)
     power = F.floor(F.log2(size))
-    steps = power * 64 + F.floor((size / F.pow(F.lit(2.0), power) - 1) * 64) + 1100 * 64
+    steps = power * STEPS + F.floor((size / F.pow(F.lit(2.0), power) - 1) * STEPS) + 1100 * STEPS
     side = F.when(x < 0, -1).otherwise(1)
     return (
-        F.when(F.isnan(x), F.lit(10**6))
-        .when(size == F.lit(float("inf")), side * 10**5)
+        F.when(F.isnan(x), F.lit(10**7 + 1))
+        .when(size == F.lit(float("inf")), side * 10**7)
         .when(x == 0, F.lit(0))
         .when(x.isNotNull(), side * steps)
         .cast("long")
