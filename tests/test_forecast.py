@@ -265,3 +265,18 @@ def test_queries_over_every_commodity_and_horizon(spark):
     assert {c for c, n in attached.items() if n > 0} == {"c0", "c1", "c2", "c3"} and attached["c4"] == 0
     assert {r.commodity_id for r in run("importance_panel_all_commodities")} == {"c0", "c1", "c2", "c3"}
     assert {r.horizon_days for r in run("forecast_quality_all_horizons")} == {30, 60, 90}
+
+
+@pytest.mark.parametrize(("lengths", "min_train", "test_size", "step"), [
+    ((1, 2, 7, 30, 61), 10, 5, None), ((40, 12, 3), 8, 6, 2), ((50,), 9, 4, 7)])
+def test_both_baselines_equal_the_joined_ones(spark, lengths, min_train, test_size, step):
+    rng = random.Random(7)
+    start = dt.date(2024, 1, 1)
+    rows = [(f"s{n}", h, start + dt.timedelta(days=2 * i), 100 + rng.random() * 20, 90 + rng.random() * 30)
+            for n in lengths for h in (30, 60) for i in range(n)]
+    frame = spark.createDataFrame(rows, "series_id string, horizon_days long, as_of_date date, spot_price_level double, target_price_level double")
+    folds = M.fold_bounds(frame, min_train=min_train, test_size=test_size, step=step)
+    want = M.naive_predictions(frame, folds).unionByName(M.spot_line_predictions(frame, folds))
+    got = M.baseline_predictions(frame, min_train, test_size, step)
+    flat = lambda df: sorted((*r[:5], round(r[5], 8)) for r in df.collect())
+    assert flat(got) == flat(want) and got.count() > 0

@@ -46,9 +46,13 @@ def horizon_kpis(
 
 
 def regression_metrics(
-    rows: DataFrame, keys: list[str], truth: str = "y", guess: str = "prediction"
+    rows: DataFrame, keys: list[str], truth: str = "y", guess: str = "prediction",
+    distinct: dict[str, str] | None = None,
 ) -> DataFrame:
-    """MAE, RMSE and MAPE with the denominator held away from zero."""
+    """MAE, RMSE and MAPE with the denominator held away from zero.
+
+    ``distinct`` maps new columns to columns whose different values are counted beside them.
+    """
     error = F.col(guess) - F.col(truth)
     floor = F.greatest(F.abs(F.col(truth)), F.lit(fixed.MAPE_EPSILON))
     return rows.groupBy(*keys).agg(
@@ -56,6 +60,7 @@ def regression_metrics(
         F.round(F.sqrt(F.avg(error * error)), 6).alias("rmse"),
         F.round(F.avg(F.abs(error) / floor) * 100.0, 6).alias("mape_pct"),
         F.count(F.lit(1)).alias("n_samples"),
+        *[F.count_distinct(c).alias(name) for name, c in (distinct or {}).items()],
     )
 
 

@@ -93,6 +93,57 @@ def spot_line_predictions(rows: DataFrame, folds: DataFrame) -> DataFrame:
     return _predictions(tested, fixed.LINEAR, guess)
 
 
+def baseline_predictions(
+    rows: DataFrame, min_train: int = fixed.MIN_TRAIN_ROWS, test_size: int = fixed.TEST_ROWS,
+    step: int | None = None,
+) -> DataFrame:
+    """Both baselines on every fold of ``rolling_origin``, with one shuffle of the rows.
+
+    Rows are numbered once and the folds that test a row follow from its number. Running sums give
+    the least-squares line at every position. A row is laid out as its sums, at the position behind
+    it, and as its tests, each at the end of its fold's train rows, and one ordered pass hands each
+    test the sums before it. All of it is partitioned by (series, horizon).
+    """
+    stride = step or test_size
+    whole = Window.partitionBy(*GROUP)
+    upto = whole.orderBy(DAY).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    i, n = F.col("row_index"), F.col("n_rows")
+    x0, y0 = F.first(SPOT).over(upto), F.first(TARGET).over(upto)
+    placed = rows.select(
+        *GROUP, DAY, F.col(SPOT).cast("double").alias("_spot"), F.col(TARGET).cast("double").alias("_target"),
+        (F.row_number().over(whole.orderBy(DAY)) - 1).alias("row_index"), F.count(F.lit(1)).over(whole).cast("int").alias("n_rows"),
+        x0.cast("double").alias("_x0"), y0.cast("double").alias("_y0"),
+        (F.col(SPOT) - x0).cast("double").alias("_x"), (F.col(TARGET) - y0).cast("double").alias("_y"),
+    )
+    x, y = F.col("_x"), F.col("_y")
+    sums = {"sx": x, "sy": y, "sxx": x * x, "sxy": x * y}
+    summed = placed.select("*", *[F.sum(c).over(upto).alias(name) for name, c in sums.items()])
+    # Folds k with k * stride + min_train <= i < that + test_size, whole inside the rows.
+    low = F.greatest(F.lit(0), F.ceil((i - (min_train + test_size - 1)) / stride).cast("int"))
+    high = F.floor(F.least(i - min_train, n - (min_train + test_size)) / stride).cast("int")
+    ends = F.when(low <= high, F.transform(F.sequence(low, high), lambda k: F.struct(k.alias("fold"), (k * stride + min_train).alias("at"))))
+    short_end = F.least(F.lit(min_train), n - 1)
+    short = F.when((n >= 2) & (i >= short_end), F.array(F.struct(F.lit(0).alias("fold"), short_end.alias("at"))))
+    tests = F.when(n < min_train + test_size, short).otherwise(ends)
+    own = F.array(F.struct(F.lit(None).cast("int").alias("fold"), (i + 1).alias("at")))
+    line = summed.withColumn("_place", F.explode(F.concat(own, F.coalesce(tests, F.array_except(own, own)))))
+    known = F.when(F.col("_place.fold").isNull(), F.struct(*sums))
+    # Sums stand before the tests of the same position.
+    order = whole.orderBy("_place.at", F.col("_place.fold").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tested = line.withColumn("_fit", F.last(known, ignorenulls=True).over(order)).filter("_place.fold IS NOT NULL")
+    size, fit = F.col("_place.at"), {name: F.col("_fit")[name] for name in sums}
+    spread = size * fit["sxx"] - fit["sx"] * fit["sx"]
+    slope = F.when(spread > 0, (size * fit["sxy"] - fit["sx"] * fit["sy"]) / spread).otherwise(F.lit(0.0))
+    guess = F.col("_y0") + (fit["sy"] - slope * fit["sx"]) / size + slope * (F.col("_spot") - F.col("_x0"))
+    both = F.array(
+        F.struct(F.lit(fixed.NAIVE).alias("model_name"), F.col("_spot").alias("prediction")),
+        F.struct(F.lit(fixed.LINEAR).alias("model_name"), guess.alias("prediction")),
+    )
+    return tested.select(
+        *GROUP, F.col("_place.fold").alias("fold_index"), DAY, F.col("_target").alias("y"), F.inline(both)
+    ).select(*GROUP, "model_name", "fold_index", DAY, "y", "prediction")
+
+
 def least_squares_predictions(
     matrix: DataFrame, features: list[str], folds: DataFrame, name: str
 ) -> DataFrame:
@@ -210,9 +261,8 @@ def forest_predictions(matrix: DataFrame, features: list[str], **settings: int)
 
 def evaluation(predictions: DataFrame, mode: str = "database") -> DataFrame:
     """Pooled metrics per (series, horizon, model) with the number of folds."""
-    keys = [*GROUP, "model_name"]
-    folds = predictions.groupBy(*keys).agg(F.count_distinct("fold_index").alias("fold_count"))
-    return regression_metrics(predictions, keys).join(folds, keys).withColumn("mode", F.lit(mode))
+    metrics = regression_metrics(predictions, [*GROUP, "model_name"], distinct={"fold_count": "fold_index"})
+    return metrics.withColumn("mode", F.lit(mode))
 
 
 def fit_full(matrix: DataFrame, features: list[str], name: str, folder: str):
