@@ -134,13 +134,29 @@ ANTI JOIN stored0 s ON s.market_id = kept.market_id AND s.as_of_date = kept.as_o
     )
 )
 def new_price_rows(t: Tables) -> DataFrame:
-    drafts = M.price_rows(mapped(t), files.ORDER)
-    stored = drafts.filter(F.col("as_of_date") < F.lit(dt.date(1996, 1, 1)))
-    return D.new_rows(drafts, stored, D.PRICE_KEY, files.ORDER).select(
+    return _new_prices(t, 0)
+
+
+def _new_prices(t: Tables, filter_bits: int) -> DataFrame:
+    """First price of every key, minus the keys before 1996, which count as stored."""
+    rows = mapped(t)
+    stored = M.price_rows(rows.filter(F.col("as_of_date") < F.lit(dt.date(1996, 1, 1))), files.ORDER)
+    first = M.first_price_rows(rows, files.ORDER)
+    return D.without_stored(first, stored, D.PRICE_KEY, filter_bits).select(
         "market_id", "as_of_date", "quality_grade", "price_type", "value", "source_file"
     )
 
 
+@check(
+    f"""WITH {MAPPED.replace("drafts AS (", "drafts AS MATERIALIZED (").replace("kept AS (", "kept AS MATERIALIZED (")}
+SELECT k.market_id, CAST(k.as_of_date AS VARCHAR) AS as_of_date, k.quality_grade, k.price_type, k.value, k.source_file
+FROM kept k WHERE k.as_of_date >= DATE '1996-01-01'"""
+)
+def new_price_rows_by_filter(t: Tables) -> DataFrame:
+    """The same rows where the stored side is thinned by a filter of the batch's keys; a key holds its day."""
+    return _new_prices(t, D.FILTER_BITS)
+
+
 @check(
     f"""WITH {MAPPED}
 SELECT market_id, CAST(as_of_date AS VARCHAR) AS as_of_date, CAST(volume AS DOUBLE) AS volume, source_file FROM kept_loads"""

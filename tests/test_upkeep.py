@@ -173,3 +173,34 @@ def test_anchors_without_days(spark):
     asked = spark.createDataFrame([("s", day(0))], "series_id string, as_of_date date")
     rows = quality.scored(quality.source_metrics(none, spark.createDataFrame([("m",)], "market_id string"), anchors=asked)).collect()
     assert [(r.health, r.days_with_data, r.anomaly_count, r.lag_hours) for r in rows] == [("missing", 0, 0, None)]
+
+
+def test_first_prices_of_a_key_equal_the_long_way(spark):
+    import itertools
+
+    from tidemark.operators import dedupe as D
+    from tidemark.operators import mapping as M
+
+    cells = itertools.product(("m1", "m2"), (day(0), day(1)), (None, "A|B"), range(4))
+    rows = [(f"f{i % 3}", i, m, fixed.COMMODITY, g, d, Decimal(10 * i) if i % 3 else None, Decimal(i), None if i % 4 else Decimal(7), None)
+            for i, (m, d, g, _) in enumerate(cells)]
+    schema = ("source_file string, position int, market_id string, commodity_id string, quality_grade string, as_of_date date, "
+              "min_price decimal(18,4), max_price decimal(18,4), modal_price decimal(18,4), arrival_tonnes decimal(18,4)")
+    mapped = spark.createDataFrame(rows, schema)
+    long = D.first_per_key(M.price_rows(mapped, ["source_file", "position"]), D.PRICE_KEY, ["source_file", "position"])
+    wide = M.first_price_rows(mapped, ["source_file", "position"])
+    assert content(wide.select(long.columns), ()) == content(long, ()) and wide.count() == 24
+    stored = long.filter("price_type = 'max' AND quality_grade IS NULL")
+    for bits in (0, 1 << 12, 64):
+        assert D.without_stored(wide, stored, D.PRICE_KEY, bits).count() == 20
+
+
+def test_key_filter_misses_no_key_and_holds_few_others(spark):
+    from tidemark.operators import dedupe as D
+
+    keys = spark.range(0, 3000, 3).selectExpr("id", "IF(id % 2 = 0, NULL, CAST(id AS STRING)) AS s")
+    test = D.key_filter(keys, ["id", "s"], 1 << 16)
+    assert keys.filter(test).count() == 1000
+    assert spark.range(10_000, 60_000).selectExpr("id", "CAST(id AS STRING) AS s").filter(test).count() < 500
+    none = D.key_filter(keys.limit(0), ["id", "s"], 1 << 16)
+    assert keys.filter(none).count() == 0

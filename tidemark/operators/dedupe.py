@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,18 +41,62 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
-def without_stored(batch: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose key is not stored yet. Stored keys are made distinct before the join."""
+def without_stored(
+    batch: DataFrame, stored: DataFrame, keys: list[str], filter_bits: int = 0
+) -> DataFrame:
+    """Rows whose key is not stored yet. Stored keys are made distinct before the join.
+
+    With ``filter_bits`` the stored side is thinned by a ``key_filter`` of the batch first, which
+    costs one more pass over the batch: worth it where the stored side is much the larger one.
+    """
+    if filter_bits:
+        stored = stored.filter(key_filter(batch, keys, filter_bits))
     known = stored.select(*keys).distinct()
     return batch.join(known, null_safe(batch, known, keys), "left_anti")
 
 
+#: Bits in one number of a key filter, and numbers of the filter by default: 2 MB.
+WORD_BITS = 64
+FILTER_BITS = 1 << 24
+
+
+def key_filter(batch: DataFrame, keys: list[str], bits: int = FILTER_BITS) -> Column:
+    """Condition on another table that holds for every key of ``batch`` and for few others.
+
+    A Bloom filter with two hashes in plain columns: bits are set by ``bit_or`` in the map tasks, and
+    at most ``bits`` / 64 numbers reach the driver, however many keys there are; a filter that is
+    too full only lets more rows through. The test stays in generated code, in the scan's stage.
+    """
+    words = bits // WORD_BITS
+    places = F.explode(F.array(*[_place(keys, seed, bits) for seed in (0, 1)])).alias("_at")
+    rows = batch.select(places).groupBy(F.expr(f"_at div {WORD_BITS}").alias("_word")).agg(
+        F.expr(f"bit_or(shiftleft(1L, CAST(pmod(_at, {WORD_BITS}) AS INT)))").alias("_bits")
+    )
+    held = rows.toArrow()
+    table = np.zeros(words, dtype=np.int64)
+    table[held.column("_word").to_numpy()] = held.column("_bits").to_numpy()
+    filled = F.from_json(F.lit(json.dumps(table.tolist())), "array<bigint>")
+    tests = []
+    for seed in (0, 1):
+        at = _place(keys, seed, bits)
+        word = F.get(filled, F.floor(at / WORD_BITS).cast("int"))
+        tests.append(F.getbit(word, F.pmod(at, F.lit(WORD_BITS)).cast("int")) == 1)
+    return tests[0] & tests[1]
+
+
+def _place(keys: list[str], seed: int, bits: int) -> Column:
+    """Bit of a key; NULL parts are told from each other's places by the hash of their text."""
+    parts = [F.coalesce(F.col(k).cast("string"), F.lit("\u0000")) for k in keys]
+    return F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(bits).cast("long"))
+
+
 def new_rows(
-    batch: DataFrame, stored: DataFrame | None, keys: list[str], order: list[str]
+    batch: DataFrame, stored: DataFrame | None, keys: list[str], order: list[str],
+    filter_bits: int = 0,
 ) -> DataFrame:
     """First of each key in the batch, minus the keys already stored."""
     first = first_per_key(batch, keys, order)
-    return first if stored is None else without_stored(first, stored, keys)
+    return first if stored is None else without_stored(first, stored, keys, filter_bits)
 
 
 def upsert(

@@ -61,15 +61,19 @@ def _stored(columns: list[str], rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def market_batch(
     parsed: DataFrame, markets: DataFrame, stored_prices: DataFrame | None = None,
-    stored_arrivals: DataFrame | None = None,
+    stored_arrivals: DataFrame | None = None, filter_bits: int = 0,
 ) -> Batch:
-    """Map, unpivot and deduplicate parsed records against what is stored."""
+    """Map, unpivot and deduplicate parsed records against what is stored.
+
+    ``filter_bits`` thins stored rows by a filter of the batch's keys (``dedupe.key_filter``).
+    """
     mapped = mapping.map_records(parsed, markets)
     prices = mapping.price_rows(mapped, ORDER)
-    # Within one record the price types keep their listed order; the key includes the type.
     arrivals = mapping.arrival_rows(mapped, ORDER)
-    new_prices = dedupe.new_rows(prices, stored_prices, dedupe.PRICE_KEY, ORDER)
-    new_arrivals = dedupe.new_rows(arrivals, stored_arrivals, dedupe.ARRIVAL_KEY, ORDER)
+    new_prices = mapping.first_price_rows(mapped, ORDER)
+    if stored_prices is not None:
+        new_prices = dedupe.without_stored(new_prices, stored_prices, dedupe.PRICE_KEY, filter_bits)
+    new_arrivals = dedupe.new_rows(arrivals, stored_arrivals, dedupe.ARRIVAL_KEY, ORDER, filter_bits)
     return Batch(
         parsed,
         prices,
@@ -128,7 +132,7 @@ def stored_in_range(stored: DataFrame, batch_days: DataFrame) -> DataFrame:
 def ingest_market(
     spark: SparkSession, parsed: DataFrame, markets: DataFrame, folder: str, dry_run: bool = False,
     keep_quality: Quality | None = None, writer: str | None = None, number: int = 0,
-    finished: tuple[str, dt.date, dt.date] | None = None,
+    finished: tuple[str, dt.date, dt.date] | None = None, filter_bits: int = 0,
 ) -> dict:
     """Append new facts under ``folder`` and return the counters with the snapshot anchor day.
 
@@ -137,7 +141,8 @@ def ingest_market(
     anchor and snapshots read what was written. With ``keep_quality`` the quality snapshots whose
     window holds an inserted day are computed anew. All of it is committed as one. A batch
     ``number`` of a ``writer`` that is committed already returns the counters it had; ``finished``
-    names the days of a ledger that the commit finishes.
+    names the days of a ledger that the commit finishes. ``filter_bits`` is worth setting where the
+    stored months are much larger than the batch.
     """
     log = commits.Batch(spark, folder)
     if writer is not None and (known := log.result_of(writer, number)) is not None:
@@ -148,6 +153,7 @@ def ingest_market(
         parsed, markets,
         stored_in_range(log.stored(PRICES, schemas.PRICE_OBSERVATION), days),
         stored_in_range(log.stored(ARRIVALS, schemas.ARRIVAL_OBSERVATION), days),
+        filter_bits,
     )
     new_prices, new_arrivals = batch.new_prices, batch.new_arrivals
     if not dry_run:
