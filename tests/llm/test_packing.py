@@ -8,18 +8,44 @@ from tokenizers import Tokenizer
 from tidemark.llm import packing, tokens
 
 
-def tokenizer():
+def tokenizer(special=True):
     import public_tokenizers
 
     out = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    out.encode_special_tokens = True
+    out.encode_special_tokens = not special
     return out
 
 
-@pytest.mark.parametrize("text", ["", " ", "a  b\n\n c\t\td  ", "it's <|endoftext|> 12  x", "é́ \U0001f600  \n", "x" * 5000])
-def test_ids_equal_those_of_the_tokenizer(text):
-    want = tokenizer().encode(text, add_special_tokens=False).ids
-    assert tokens.encode_array(text).tolist() == want
+TEXTS = [
+    "", " ", "a  b\n\n c\t\td  ", "it's <|endoftext|> 12  x", "e\u0301\u0301 \U0001f600  \n", "x" * 5000,
+    "<|endoftext|>", " <|endoftext|><|endoftext|>  \n", "\x1c\x1d \x1e", "\u3000" * 5000 + "a", "a" + " " * 5000,
+    "a" + " " * 5000 + "b", "a" + "\n" * 4095 + " b" + "\t" * 4097 + "c" + "\xa0" * 9000 + "\n",
+]
+
+
+@pytest.mark.parametrize("special", [True, False])
+@pytest.mark.parametrize("text", TEXTS)
+def test_ids_equal_those_of_the_tokenizer(text, special):
+    want = tokenizer(special).encode(text, add_special_tokens=False).ids
+    assert tokens.encode_array(text, special=special).tolist() == want
+    assert special or tokens.END_OF_TEXT not in want
+
+
+@pytest.mark.parametrize("run", [" ", "\n", " \n"])
+def test_very_long_white_space(run):
+    """A run of five million characters; of one million the tokenizer gives the same ids."""
+    text = "a" + run * (1_000_000 // len(run)) + "b"
+    assert tokens.encode_array(text).tolist() == tokenizer().encode(text, add_special_tokens=False).ids
+    assert len(tokens.encode_array(run * (5_000_000 // len(run)))) >= 2_500_000
+
+
+def test_long_runs_and_markers_are_packed(spark):
+    rows = [(1, " " * 1_000_000), (2, "a<|endoftext|>b"), (3, "x" + " \n" * 500_000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    size = {k: sum(r.length for r in got if r.doc_id == k) for k in (1, 2, 3)}
+    assert size == {1: 1_000_001, 2: 4, 3: 1_000_002}
+    crc = [r.ids_crc32 for r in got if r.doc_id == 2]
+    assert crc == [zlib.crc32(np.array([64, 50256, 65, 0], "<u4").tobytes())]
 
 
 def test_every_piece_has_one_place(spark):

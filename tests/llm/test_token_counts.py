@@ -37,3 +37,9 @@ def test_foreign_files(spark):
 
 def test_empty_table(spark):
     assert token_counts.count_tokens(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_markers_and_long_white_space(spark):
+    rows = [(1, "a<|endoftext|>b"), (2, "x" + " " * 1_000_000), (3, "\n" * 1_000_000)]
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: 9, 2: 1_000_001, 3: 500_000}

@@ -38,7 +38,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], size: int, path: str | None) -> I
     for batch in batches:
         owner, number, start, length, crc = [], [], [], [], []
         for row, text in enumerate(batch.column("text")):
-            ids = np.append(tokens.encode_array(text.as_py(), path), np.uint32(END)).astype("<u4")
+            ids = np.append(tokens.encode_array(text.as_py(), path, special=True), np.uint32(END)).astype("<u4")
             head = len(ids) % size or size
             cuts = [0, *range(head, len(ids), size), len(ids)]
             for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
@@ -60,7 +60,11 @@ def _pieces(batches: Iterator[pa.RecordBatch], size: int, path: str | None) -> I
 
 
 def pieces(docs: DataFrame, size: int = SEQUENCE, vocabulary: str | None = None) -> DataFrame:
-    """Pieces of each document: its ids and an end id, cut into ``size`` tokens, the rest first."""
+    """Pieces of each document: its ids and an end id, cut into ``size`` tokens, the rest first.
+
+    Ids are those of the tokenizer file: an end-of-text marker in a text is one id. Texts of any
+    length are encoded whole, runs of white space of any length too.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(lambda batches: _pieces(batches, size, vocabulary), PIECES)
 
