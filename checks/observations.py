@@ -330,10 +330,13 @@ UNION ALL SELECT 'price_type', price_type, count(*) FROM cats WHERE price_type I
 UNION ALL SELECT 'market_id', market_id, count(*) FROM cats WHERE market_id IS NOT NULL GROUP BY ALL"""
 )
 def anomaly_breakdown(t: Tables) -> DataFrame:
-    both = V.categorise(_checked_prices(t), "price").unionByName(
-        V.categorise(_checked_arrivals(t), "arrival"), allowMissingColumns=True
-    )
-    return V.anomaly_breakdown(both)
+    at = landed(t)
+    dimensions = {"market": ("market_id", at.dimension_markets()), "commodity": ("commodity_id", at.dimension_commodities())}
+    cells = None
+    for rows, rules in ((at.stored_prices(), V.price_rules()), (at.stored_arrivals(), V.arrival_rules())):
+        part = V.anomaly_cells(V.masked(rows, rules, dimensions), rules)
+        cells = part if cells is None else cells.unionByName(part)
+    return V.anomaly_breakdown(cells)
 
 
 @check(

@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from checks import sql as Q
 from checks.base import check
+from checks.forecast import FITS, TARGETS, dataset, results
 from checks.observations import MAPPED, landed
 from checks.signals import dense_quality_sql
 from tidemark import fixed, schemas
 from tidemark.adapters import Landed, Tables
 from tidemark.operators import mapping as M
-from tidemark.plans import ingest
+from tidemark.plans import ingest, models
 from tidemark.session import scratch_folder
-from tidemark.sources import commits
+from tidemark.sources import commits, files, seeds, tables
 
 
 def keep_quality(at: Landed) -> ingest.Quality:
@@ -127,3 +128,65 @@ def weather_ingest(t: Tables) -> DataFrame:
     return commits.read(t.spark, folder, ingest.WEATHER, schemas.WEATHER_OBSERVATION).select(
         "region_id", "as_of_date", *values, "observed_at", "source"
     )
+
+
+@check(f"WITH {FITS} SELECT model_name, horizon_days, round(avg(mae), 2) AS mae, count(*) AS n_rows, sum(n_samples)::BIGINT AS n_samples, "
+       "max(fold_count) AS fold_count, 'database' AS mode FROM results GROUP BY ALL")
+def metrics_documents(t: Tables) -> DataFrame:
+    """Evaluation results written as metrics documents and read back."""
+    path = scratch_folder(t.spark)
+    files.write_metrics(results(t), path)
+    rows = files.metrics_rows(t.spark, path)
+    return rows.groupBy("model_name", "horizon_days", "mode").agg(
+        F.round(F.avg(F.round("mae", 2)), 2).alias("mae"), F.count(F.lit(1)).alias("n_rows"),
+        F.sum("n_samples").alias("n_samples"), F.max("fold_count").alias("fold_count"),
+    )
+
+
+@check(
+    f"""WITH {TARGETS}
+SELECT 'spot' AS feature, round(regr_slope(target, spot), 6) AS slope, round(regr_intercept(target, spot), 2) AS intercept FROM dataset"""
+)
+def saved_line_model(t: Tables) -> DataFrame:
+    """Least squares on all rows, saved with its feature names and read back from its files."""
+    from pyspark.ml import PipelineModel
+
+    folder = scratch_folder(t.spark)
+    matrix = dataset(t).select("series_id", "horizon_days", "as_of_date", "spot_price_level", "target_price_level",
+                               F.col("spot_price_level").alias("spot"))
+    models.fit_full(matrix, ["spot"], fixed.LINEAR, folder)
+    line = PipelineModel.load(f"{folder}/model").stages[-1]
+    names = models.saved_features(t.spark, folder)
+    fitted = list(zip(names, [float(c) for c in line.coefficients], strict=True))
+    return t.spark.createDataFrame(fitted, "feature string, slope double").select(
+        "feature", F.round("slope", 6).alias("slope"), F.round(F.lit(float(line.intercept)), 2).alias("intercept")
+    )
+
+
+@check(
+    """SELECT 'm' || s_suppkey AS market_id, 'n' || s_nationkey AS region_id, n_name AS state, s_name AS market, 2::BIGINT AS loads
+FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 3 <> 0"""
+)
+def seeded_markets(t: Tables) -> DataFrame:
+    """A seed document per nation, read into dimension tables that are upserted twice."""
+    folder = scratch_folder(t.spark)
+    place = F.struct(F.col("n_name").alias("state"), F.col("n_name").alias("district"), F.col("s_name").alias("market"))
+    market = F.struct(
+        F.concat(F.lit("m"), "s_suppkey").alias("market_id"), F.concat(F.lit("n"), "s_nationkey").alias("region_id"),
+        F.lit("mandi").alias("market_type"), F.col("s_name").alias("name"),
+        F.struct(F.when(F.col("s_suppkey") % 3 != 0, place).alias(fixed.MARKET_SOURCE)).alias("source_identifiers"),
+    )
+    rows = t.read("supplier").join(t.read("nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    document = rows.groupBy("s_nationkey").agg(F.to_json(F.struct(
+        F.struct(F.concat(F.lit("c"), F.first("s_nationkey")).alias("commodity_id")).alias("commodity"),
+        F.collect_list(market).alias("markets"),
+    )).alias("value"))
+    document.write.partitionBy("s_nationkey").text(f"{folder}/seed")
+    path = f"{folder}/market"
+    for load in (1, 2):
+        markets = seeds.seed_tables(seeds.seed_document(t.spark, f"{folder}/seed"))["market"].withColumn("loads", F.lit(load))
+        tables.upsert_table(t.spark, path, markets, ["market_id"], ["loads"])
+    stored = t.spark.read.parquet(path)
+    return seeds.expected_markets(stored).join(stored.select("market_id", "loads"), "market_id").select(
+        "market_id", "region_id", "state", "market", "loads"
+    )

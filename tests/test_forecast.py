@@ -280,3 +280,20 @@ def test_both_baselines_equal_the_joined_ones(spark, lengths, min_train, test_si
     got = M.baseline_predictions(frame, min_train, test_size, step)
     flat = lambda df: sorted((*r[:5], round(r[5], 8)) for r in df.collect())
     assert flat(got) == flat(want) and got.count() > 0
+
+
+def test_masks_hold_what_the_issue_arrays_hold(spark):
+    rows = [(i, None if i % 2 else "x", float(i), None if i % 3 else 5) for i in range(12)]
+    df = spark.createDataFrame(rows, "id int, a string, v double, n int")
+    rules = [V.Rule("a", "a missing", V.blank("a")), V.Rule("v", "v high", F.col("v") > 6), V.Rule("n", "n missing", V.blank("n")),
+             V.Rule("z", "never", F.lit(False))]
+    masked = V.masked(df, rules)
+    both = masked.withColumn("issues", V.issues(rules)).withColumn("looked_up", V.mask_issues(F.col("issue_mask"), rules))
+    got = both.collect()
+    assert all(r.issues == r.looked_up for r in got)
+    assert [r.issue_mask for r in sorted(got, key=lambda r: r.id)][:8] == [0, 5, 4, 1, 4, 5, 0, 7]
+    counts = {r["check"]: r["issue_count"] for r in V.issue_counts(masked, rules).collect()}
+    assert counts == {"a": 6, "v": 5, "n": 8, "z": 0}
+    assert {r["issue_count"] for r in V.issue_counts(masked.limit(0), rules).collect()} == {0}
+    with pytest.raises(ValueError):
+        V.rule_mask(rules * 16)

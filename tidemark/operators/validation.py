@@ -127,6 +127,52 @@ def issues(rules: list[Rule], first_only: bool = False) -> Column:
 _ISSUES = "array<struct<check:string,message:string>>"
 
 
+def rule_mask(rules: list[Rule]) -> Column:
+    """The failing rules of a row as one number: rule k is bit k, at most 63 rules.
+
+    Sets of issues are compared, grouped and counted as numbers; texts are looked up where they
+    are shown (``mask_issues``), once per distinct mask if the rows are grouped by it first.
+    """
+    if len(rules) > 63:
+        raise ValueError(f"a mask holds 63 rules, got {len(rules)}")
+    bits = F.lit(0).cast("long")
+    for k, rule in enumerate(rules):
+        bits = bits.bitwiseOR(F.when(rule.fails, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")))
+    return bits
+
+
+def mask_issues(mask: Column, rules: list[Rule]) -> Column:
+    """(check, message) of the bits of a mask, in the order of the rules."""
+    names = F.array(*[F.struct(F.lit(r.check).alias("check"), F.lit(r.message).alias("message")) for r in rules])
+    return F.filter(names, lambda _, k: F.getbit(mask, k) == 1)
+
+
+def masked(
+    df: DataFrame, rules: list[Rule], dimensions: dict[str, tuple[str, DataFrame]] | None = None
+) -> DataFrame:
+    """Rows with their ``issue_mask``."""
+    tagged = with_reference(df, dimensions or {})
+    return tagged.withColumn("issue_mask", rule_mask(rules)).select(*df.columns, "issue_mask")
+
+
+def issue_counts(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``check``, ``message``, ``issue_count`` of every rule, those that never fail with 0.
+
+    Rows are counted by mask in the map tasks; a rule's count is the sum over the masks that have
+    its bit, of which there are few.
+    """
+    by_mask = rows.groupBy("issue_mask").agg(F.count(F.lit(1)).alias("_n"))
+    sums = by_mask.agg(*[
+        F.coalesce(F.sum(F.when(F.getbit("issue_mask", F.lit(k)) == 1, F.col("_n"))), F.lit(0)).alias(f"_{k}")
+        for k in range(len(rules))
+    ])
+    named = [
+        F.struct(F.lit(r.check).alias("check"), F.lit(r.message).alias("message"), F.col(f"_{k}").alias("issue_count"))
+        for k, r in enumerate(rules)
+    ]
+    return sums.select(F.inline(F.array(*named)))
+
+
 def with_reference(df: DataFrame, dimensions: dict[str, tuple[str, DataFrame]]) -> DataFrame:
     """Adds ``_known_<name>`` columns by left joins on distinct dimension ids.
 
@@ -191,42 +237,59 @@ def issue_histogram(checked: DataFrame) -> DataFrame:
 
 def categorise(checked: DataFrame, table: str) -> DataFrame:
     """Distinct anomaly categories of each row, including a status that is not usable yet."""
-    pending = ~F.col("validation_status").isin(*fixed.USABLE_STATUSES)
-    lifecycle = F.when(pending, F.array(F.lit("non_validated_status"))).otherwise(
-        F.array().cast("array<string>")
-    )
-
-    def category(issue: Column) -> Column:
-        name = F.lit("other_validation")
-        for check, owner in CATEGORIES.items():
-            name = F.when(issue.getField("check") == check, owner).otherwise(name)
-        return name
-
-    found = F.array_distinct(F.concat(F.transform("issues", category), lifecycle))
-    clean = F.array(F.lit("clean_data_pending_validation"))
-    categories = F.when(F.size("_found") > 0, F.col("_found")).otherwise(clean)
+    found = F.array_distinct(F.concat(F.transform("issues", _category), _lifecycle()))
     return checked.withColumn("_found", found).select(
         F.lit(table).alias("table_name"),
         "observation_id",
         "market_id",
         "validation_status",
         *[F.col(c) for c in ("price_type", "quality_grade") if c in checked.columns],
-        categories.alias("categories"),
+        _or_clean("_found").alias("categories"),
     )
 
 
+def _category(issue: Column) -> Column:
+    name = F.lit("other_validation")
+    for check, owner in CATEGORIES.items():
+        name = F.when(issue.getField("check") == check, owner).otherwise(name)
+    return name
+
+
+def _lifecycle() -> Column:
+    pending = ~F.col("validation_status").isin(*fixed.USABLE_STATUSES)
+    return F.when(pending, F.array(F.lit("non_validated_status"))).otherwise(F.array().cast("array<string>"))
+
+
+def _or_clean(found: str) -> Column:
+    clean = F.array(F.lit("clean_data_pending_validation"))
+    return F.when(F.size(found) > 0, F.col(found)).otherwise(clean)
+
+
+CELL = ("validation_status", "price_type", "market_id")
+
+
+def anomaly_cells(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Masked rows counted by mask, status, price type and market, then classified.
+
+    Categories are worked out once per counted cell instead of once per row.
+    """
+    cell = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in CELL]
+    counted = rows.select("issue_mask", *cell).groupBy("issue_mask", *CELL).agg(F.count(F.lit(1)).alias("_n"))
+    found = F.array_distinct(F.concat(F.transform(mask_issues(F.col("issue_mask"), rules), _category), _lifecycle()))
+    return counted.withColumn("_found", found).select(*CELL, "_n", _or_clean("_found").alias("categories"))
+
+
 def anomaly_breakdown(classified: DataFrame) -> DataFrame:
-    """Row counts by category, status, price type and market in one grouping-sets pass."""
-    rows = classified.select(
-        F.posexplode("categories").alias("_at", "category"),
-        "validation_status",
-        "price_type",
-        "market_id",
-    )
+    """Row counts by category, status, price type and market in one grouping-sets pass.
+
+    ``classified`` has one row each (``categorise``) or cells with their count (``anomaly_cells``).
+    """
+    many = F.col("_n") if "_n" in classified.columns else F.lit(1).alias("_n")
+    rows = classified.select(F.posexplode("categories").alias("_at", "category"), *CELL, many)
     # One row per combination before the four-fold expansion. A row shows up once per category;
     # the other breakdowns count it at its first category only.
     cells = rows.groupBy("category", "validation_status", "price_type", "market_id").agg(
-        F.count(F.lit(1)).alias("_n"), F.count_if(F.col("_at") == 0).alias("_first")
+        F.sum("_n").alias("_n"), F.sum(F.when(F.col("_at") == 0, F.col("_n")).otherwise(0)).alias("_first")
     )
     sets = cells.groupingSets(
         [[F.col("category")], [F.col("validation_status")], [F.col("price_type")],

@@ -221,8 +221,16 @@ def write_supervised(rows: DataFrame, path: str) -> None:
 
 
 def metrics_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation metrics documents flattened."""
-    return spark.read.schema(schemas.METRICS_ROW).option("multiLine", True).json(path).select(
+    """Evaluation metrics documents flattened: an array, one object, or an object on every line."""
+    body = F.trim("value")
+    lines = F.filter(F.split(body, "\n"), lambda line: F.trim(line) != "")
+    by_line = F.forall(lines, lambda line: F.trim(line).like("{%}"))
+    documents = (
+        F.when(body.startswith("["), F.from_json(body, f"array<struct<{schemas.METRICS_ROW}>>"))
+        .when(by_line, F.transform(lines, lambda line: F.from_json(line, schemas.METRICS_ROW)))
+        .otherwise(F.array(F.from_json(body, schemas.METRICS_ROW)))
+    )
+    return spark.read.text(path, wholetext=True).select(F.inline(documents)).select(
         "model_name",
         "horizon_days",
         "metrics.mae",
