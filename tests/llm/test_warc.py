@@ -73,6 +73,17 @@ def test_lost_segment_is_a_fault(spark, gone, fault):
     assert warc.join_segments(short).first().fault == "length differs from the stated total"
 
 
+def test_files_of_a_lost_attempt_are_not_read(spark):
+    """The same pages written twice into one folder, as a repeated task does it: one set is named."""
+    rows = [(i, "u", "ab"[i % 2] * 50) for i in range(8)]
+    folder = new_folder(spark, "warc-test")
+    warc.write_archives(pages(spark, rows), folder)
+    names = warc.write_archives(pages(spark, rows).repartition(2), folder)
+    have = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_payloads(spark, folder, names).collect()]
+    assert sorted(have, key=key) == sorted(by_hand(rows), key=key)
+    assert warc.read_records(spark, folder).count() == 2 * warc.read_records(spark, folder, names).count()
+
+
 def test_chunk_framing():
     assert warc.unchunked(warc.chunked(b"", 5)) == b""
     assert warc.unchunked(warc.chunked(b"abcdefgh", 3)) == b"abcdefgh"

@@ -141,12 +141,12 @@ def _write(
 ) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    task = TaskContext.get().partitionId()
+    task, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
     names, sizes, held, size, number, seen = [], [], [], 0, 0, 0
 
     def close() -> None:
         nonlocal held, size, number
-        name = f"part-{task:06d}-{number:05d}.warc.gz"
+        name = f"part-{task:06d}-{attempt}-{number:05d}.warc.gz"
         with store.whole_file(folder, name) as out:
             for data in held:
                 out.write(data)
@@ -174,7 +174,8 @@ def write_archives(
 ) -> DataFrame:
     """Write ``pages`` to gzipped archives of about ``most`` bytes; returns their names and sizes.
 
-    Segments of one record may lie in different archives.
+    Segments of one record may lie in different archives. A repeated task writes files of its own; the
+    result names those of the attempt that counted, and only they are the archives.
     """
     namespace = uuid.uuid5(uuid.NAMESPACE_URL, folder)
     rows = plan_records(pages, min_bytes)
@@ -233,9 +234,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(rows, schema=_schema())
 
 
-def read_records(spark: SparkSession, folder: str) -> DataFrame:
-    """Every record of the archives in ``folder``, segments still apart."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
+def read_records(spark: SparkSession, folder: str, names: DataFrame | None = None) -> DataFrame:
+    """Every record of the archives in ``folder``, segments still apart.
+
+    ``names`` is the result of ``write_archives``: only the files that it names are read. Without it
+    all archives of the folder are. Names reach the driver, as those of any files that Spark reads do.
+    """
+    paths = folder if names is None else [f"{folder}/{r.file}" for r in names.select("file").collect()]
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(paths)
     return files.select("content").mapInArrow(_read, RECORDS)
 
 
@@ -300,7 +306,7 @@ def join_segments(records: DataFrame) -> DataFrame:
     return single.unionByName(done)
 
 
-def read_payloads(spark: SparkSession, folder: str) -> DataFrame:
+def read_payloads(spark: SparkSession, folder: str, names: DataFrame | None = None) -> DataFrame:
     """``page_id``, ``url``, ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to``, ``fault``.
 
     Bytes and digest are those of the full payload: of a response, of what was decoded; of a
@@ -308,7 +314,7 @@ def read_payloads(spark: SparkSession, folder: str) -> DataFrame:
     fault, and so is a revisit whose response is not there.
     """
     columns = "record_id string, type string, url string, page_id bigint, digest string, refers_id string, refers_to bigint, bytes bigint, found string, fault string"
-    decoded = staged(join_segments(read_records(spark, folder)).mapInArrow(_digested, columns), "records")
+    decoded = staged(join_segments(read_records(spark, folder, names)).mapInArrow(_digested, columns), "records")
     response = decoded.where("type = 'response'")
     targets = response.select(F.col("record_id").alias("refers_id"), F.col("bytes").alias("b"), F.col("found").alias("d"))
     named = F.regexp_replace("digest", "^sha1:", "")
@@ -339,4 +345,4 @@ def archive_and_read(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> Da
             [], "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, "
             "refers_to bigint, fault string",
         )
-    return read_payloads(spark, folder)
+    return read_payloads(spark, folder, names)
