@@ -203,13 +203,56 @@ WHERE idx < test_end GROUP BY ALL"""
 def fold_members(t: Tables) -> DataFrame:
     rows = dataset(t)
     folds = M.fold_bounds(rows)
-    counts = W.numbered(rows).join(folds.drop("n_rows"), W.GROUP).filter("row_index < test_end")
-    return counts.groupBy(*W.GROUP, "fold_index").agg(
-        F.count_if(F.col("row_index") < F.col("train_end")).alias("train_rows"),
-        F.count_if(F.col("row_index") >= F.col("train_end")).alias("test_rows"),
+    totals = W.fold_totals(rows, folds, {})
+    of = lambda role: F.sum(F.when(F.col("role") == role, F.col("n_rows")))
+    return totals.groupBy(*W.GROUP, "fold_index").agg(
+        of("train").alias("train_rows"), of("test").alias("test_rows")
     )
 
 
+@check(
+    f"""WITH {TARGETS}, cents AS (SELECT *, CAST(round(target * 100) AS BIGINT) AS c FROM numbered),
+sums AS (
+  SELECT a.series_id, a.horizon_days, a.as_of_date, any_value(a.c) AS test_cents, count(b.idx) AS train_rows, sum(b.c)::BIGINT AS train_cents
+  FROM cents a JOIN cents b ON a.series_id = b.series_id AND a.horizon_days = b.horizon_days
+    AND b.as_of_date + CAST(b.horizon_days AS INTEGER) < a.as_of_date GROUP BY ALL)
+SELECT series_id, horizon_days, row_number() OVER (PARTITION BY series_id, horizon_days ORDER BY as_of_date) - 1 AS fold_index,
+  train_rows, train_cents, 1::BIGINT AS test_rows, test_cents FROM sums WHERE train_rows >= 24"""
+)
+def walk_forward_totals(t: Tables) -> DataFrame:
+    """Train and test sums of every walk-forward fold, one fold a day."""
+    rows = dataset(t)
+    cents = F.round(F.col("target_price_level") * 100).cast("long")
+    totals = W.fold_totals(rows, W.walk_forward(rows), {"cents": cents})
+    of = lambda role, name: F.sum(F.when(F.col("role") == role, F.col(name)))
+    return totals.groupBy(*W.GROUP, "fold_index").agg(
+        *[of(role, f).alias(f"{role}_{n}") for role in ("train", "test") for f, n in (("n_rows", "rows"), ("cents", "cents"))]
+    )
+
+
+@check(
+    f"""WITH RECURSIVE {TARGETS}, elig AS (
+  SELECT a.series_id, a.horizon_days, a.as_of_date, a.idx, count(b.idx) AS eligible FROM numbered a JOIN numbered b
+    ON a.series_id = b.series_id AND a.horizon_days = b.horizon_days AND b.as_of_date + CAST(b.horizon_days AS INTEGER) < a.as_of_date GROUP BY ALL),
+ready AS (SELECT * FROM elig WHERE eligible >= 24),
+steps AS (
+  SELECT series_id, horizon_days, min(as_of_date) AS as_of_date FROM ready GROUP BY ALL
+  UNION ALL
+  SELECT series_id, horizon_days, nxt FROM (
+    SELECT s.series_id, s.horizon_days, (SELECT min(r.as_of_date) FROM ready r WHERE r.series_id = s.series_id
+      AND r.horizon_days = s.horizon_days AND r.as_of_date >= s.as_of_date + 45) AS nxt FROM steps s) WHERE nxt IS NOT NULL),
+bounds AS (
+  SELECT series_id, horizon_days, row_number() OVER (PARTITION BY series_id, horizon_days ORDER BY as_of_date) - 1 AS fold_index, idx AS test_index, eligible
+  FROM steps JOIN ready USING (series_id, horizon_days, as_of_date))
+SELECT b.series_id, b.horizon_days, fold_index, CASE WHEN idx = test_index THEN 'test' ELSE 'train' END AS role, CAST(as_of_date AS VARCHAR) AS as_of_date
+FROM bounds b JOIN numbered n ON n.series_id = b.series_id AND n.horizon_days = b.horizon_days
+  AND (idx = test_index OR (idx < eligible AND idx >= eligible - 40))"""
+)
+def sliding_fold_members(t: Tables) -> DataFrame:
+    rows = dataset(t)
+    return W.members(rows, W.walk_forward(rows, W.WalkForward(step_days=45, train_window=40)))
+
+
 FITS = TARGETS + """,
 fits AS (
   SELECT f.series_id, f.horizon_days, f.fold_index, f.train_end, f.test_end,
@@ -302,6 +345,53 @@ def grouped_fit_evaluation(t: Tables) -> DataFrame:
     )
 
 
+@check(
+    f"""WITH {TARGETS},
+bounds AS (
+  SELECT series_id, horizon_days, f AS fold_index, 120 + 100 * f AS train_end, 220 + 100 * f AS test_end FROM (
+    SELECT DISTINCT series_id, horizon_days, unnest(range(0, (n - 220) // 100 + 1)) AS f FROM numbered WHERE n >= 220)
+  UNION ALL SELECT DISTINCT series_id, horizon_days, 0, least(120, n - 1), n FROM numbered WHERE n BETWEEN 2 AND 219),
+cells AS (
+  SELECT series_id, horizon_days, as_of_date, idx, target, CAST(round(target * 10000) AS BIGINT) AS y, feature,
+    CASE feature WHEN 0 THEN spot ELSE month(as_of_date)::DOUBLE END AS x FROM numbered CROSS JOIN (SELECT unnest([0, 1]) AS feature)),
+trained AS (
+  SELECT b.series_id, b.horizon_days, fold_index, feature, x, count(*) AS n, sum(y) AS s FROM bounds b JOIN cells c
+    ON c.series_id = b.series_id AND c.horizon_days = b.horizon_days AND c.idx < b.train_end GROUP BY ALL),
+summed AS (
+  SELECT *, sum(n) OVER up AS nl, sum(s) OVER up AS sl, sum(n) OVER al AS nn, sum(s) OVER al AS ss FROM trained
+  WINDOW up AS (PARTITION BY series_id, horizon_days, fold_index, feature ORDER BY x ROWS UNBOUNDED PRECEDING),
+    al AS (PARTITION BY series_id, horizon_days, fold_index, feature)),
+edges AS (
+  SELECT DISTINCT m.series_id, m.horizon_days, m.fold_index, m.feature, m.x, CAST(nl AS BIGINT) AS nl, CAST(sl AS DOUBLE) AS sl,
+    CAST(nn AS BIGINT) AS nn, CAST(ss AS DOUBLE) AS ss FROM summed m CROSS JOIN (SELECT unnest(range(1, 32)) AS j)
+  WHERE ceil(j / 32.0::DOUBLE * nn) BETWEEN nl - n + 1 AND nl),
+gains AS (
+  SELECT *, nl / nn * (nn - nl) * ((sl / nl - (ss - sl) / (nn - nl)) * (sl / nl - (ss - sl) / (nn - nl))) AS gain FROM edges WHERE nn > nl),
+picks AS (
+  SELECT * FROM gains WHERE gain > 0
+  QUALIFY row_number() OVER (PARTITION BY series_id, horizon_days, fold_index ORDER BY gain DESC, feature, x) = 1),
+roots AS (SELECT DISTINCT series_id, horizon_days, fold_index, CAST(nn AS BIGINT) AS nn, CAST(ss AS DOUBLE) AS ss FROM summed WHERE feature = 0),
+guesses AS (
+  SELECT c.series_id, c.horizon_days, b.fold_index, c.target AS y,
+    CASE WHEN p.x IS NULL THEN r.ss / r.nn WHEN c.x <= p.x THEN p.sl / p.nl ELSE (p.ss - p.sl) / (p.nn - p.nl) END / 10000 AS p
+  FROM bounds b JOIN roots r USING (series_id, horizon_days, fold_index) LEFT JOIN picks p USING (series_id, horizon_days, fold_index)
+  JOIN cells c ON c.series_id = b.series_id AND c.horizon_days = b.horizon_days AND c.idx >= b.train_end AND c.idx < b.test_end
+    AND c.feature = coalesce(p.feature, 0))
+SELECT series_id, horizon_days, round(avg(abs(p - y)), 2) AS mae, round(sqrt(avg((p - y) * (p - y))), 2) AS rmse,
+  count(*) AS n_samples, count(DISTINCT fold_index) AS fold_count FROM guesses GROUP BY ALL"""
+)
+def stump_evaluation(t: Tables) -> DataFrame:
+    """The forest's growth with one tree of depth one on all rows; folds of a hundred days."""
+    spec = M.ForestSpec(trees=1, depth=1, bins=32, bootstrap=False)
+    guesses = M.forest_predictions(
+        dated_matrix(t), ["spot_price_level", "month"], spec, min_train=120, test_size=100
+    )
+    return M.evaluation(guesses).select(
+        "series_id", "horizon_days", F.round("mae", 2).alias("mae"), F.round("rmse", 2).alias("rmse"),
+        "n_samples", "fold_count",
+    )
+
+
 @check()
 def forest_importance(t: Tables) -> DataFrame:
     """Forest importances under lineage prefixes with their position."""

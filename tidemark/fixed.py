@@ -132,6 +132,7 @@ TEST_ROWS = 20
 WALK_FORWARD_MIN_TRAIN = 24
 MAPE_EPSILON = 1e-6
 FOREST_TREES = 50
+FOREST_DEPTH = 20
 MODEL_SEED = 42
 MODEL_VERSION_MARK = "@pi11-"
 NAIVE = "naive_persistence"

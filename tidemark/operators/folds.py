@@ -66,7 +66,7 @@ def walk_forward(rows: DataFrame, spec: WalkForward = WalkForward()) -> DataFram
 
     A row may train for a test day only when its label is realised before it
     (day + horizon < test day). Membership follows from the bounds by row position, so the
-    quadratic train sets are not written out; see :func:`members`.
+    quadratic train sets are not written out; see :func:`members` and :func:`fold_totals`.
     """
     indexed = numbered(rows)
     at = F.unix_date(DAY)
@@ -166,16 +166,78 @@ def _stepped(ready: DataFrame, spec: WalkForward) -> DataFrame:
     return ready.join(kept, [*GROUP, DAY], "left_semi")
 
 
+#: Positions in one block of the interval join.
+SPAN = 64
+
+
+def fold_spans(folds: DataFrame) -> DataFrame:
+    """Every fold as intervals of row positions: (fold_index, role, from_row, to_row), end excluded.
+
+    Takes the bounds of :func:`rolling_origin` and of :func:`walk_forward`.
+    """
+    has = set(folds.columns)
+    first = F.col("train_start") if "train_start" in has else F.lit(0)
+    single = "test_index" in has
+    test = (F.col("test_index"), F.col("test_index") + 1) if single else (F.col("train_end"), F.col("test_end"))
+    span = lambda role, low, high: F.struct(
+        F.lit(role).alias("role"), low.cast("long").alias("from_row"), high.cast("long").alias("to_row")
+    )
+    both = F.array(span("train", first, F.col("train_end")), span("test", *test))
+    return folds.select(*GROUP, "fold_index", F.inline(both))
+
+
+def interval_rows(rows: DataFrame, spans: DataFrame, block: int = SPAN) -> DataFrame:
+    """The rows of each interval [from_row, to_row) of positions, with ``row_index``.
+
+    Positions are cut into blocks; an interval asks for the blocks that it touches, and only the
+    first and the last of them hold rows that the interval leaves out. The work follows the rows
+    that come out, not intervals x rows. An empty interval gives no row.
+    """
+    asked = spans.filter(F.col("from_row") < F.col("to_row")).withColumn(
+        "_block", F.explode(F.expr(f"sequence(from_row div {block}, (to_row - 1) div {block})"))
+    )
+    placed = numbered(rows).withColumn("_block", F.expr(f"row_index div {block}"))
+    at = F.col("row_index")
+    return (
+        asked.join(placed, [*GROUP, "_block"])
+        .filter((at >= F.col("from_row")) & (at < F.col("to_row")))
+        .drop("_block", "from_row", "to_row")
+    )
+
+
 def members(rows: DataFrame, folds: DataFrame) -> DataFrame:
     """Rows of each fold with their role, written out on request (quadratic for expanding folds)."""
-    indexed = numbered(rows)
-    bounds = folds.select(*GROUP, "fold_index", "test_index", "train_start", "train_end")
-    joined = bounds.join(indexed, GROUP)
-    at = F.col("row_index")
-    is_train = (at >= F.col("train_start")) & (at < F.col("train_end"))
-    is_test = at == F.col("test_index")
-    return joined.filter(is_train | is_test).select(
-        *GROUP, "fold_index", F.when(is_test, "test").otherwise("train").alias("role"), DAY
+    return interval_rows(rows.select(*GROUP, DAY), fold_spans(folds)).select(
+        *GROUP, "fold_index", "role", DAY
+    )
+
+
+def fold_totals(rows: DataFrame, folds: DataFrame, measures: dict[str, Column]) -> DataFrame:
+    """Rows and sums of ``measures`` of each fold and role, without writing its members.
+
+    One running pass per group sums the measures up to every position; a fold's sum is the
+    difference at its two ends, so a fold costs two lookups however many rows it has. NULL adds
+    nothing; whole numbers and decimals are exact, sums of doubles are good to rounding. An empty
+    interval gives zeros.
+    """
+    running = Window.partitionBy(*GROUP).orderBy("row_index").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    named = {"n_rows": F.lit(1).cast("long"), **measures}
+    valued = numbered(rows).select(
+        *GROUP, "row_index", *[F.coalesce(c, F.lit(0)).alias(name) for name, c in named.items()]
+    )
+    sums = valued.select(
+        *GROUP, (F.col("row_index") + 1).cast("long").alias("_at"),
+        *[F.sum(name).over(running).alias(name) for name in named],
+    )
+    end = lambda at, sign: F.struct(F.col(at).alias("_at"), F.lit(sign).alias("_sign"))
+    asked = fold_spans(folds).select(
+        *GROUP, "fold_index", "role", F.inline(F.array(end("from_row", -1), end("to_row", 1)))
+    )
+    # No sum stands at position 0: it is zero.
+    return asked.join(sums, [*GROUP, "_at"], "left").groupBy(*GROUP, "fold_index", "role").agg(
+        *[F.sum(F.coalesce(F.col(name) * F.col("_sign"), F.lit(0))).alias(name) for name in named]
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark import fixed
 from tidemark.operators.basket import DAY
 from tidemark.operators.folds import GROUP, numbered, rolling_origin
+from tidemark.plans.forests import ForestSpec, forest_guesses
 from tidemark.plans.kpi import regression_metrics
 from tidemark.session import cut_lineage
 
@@ -203,14 +204,16 @@ def least_squares_predictions(
     return _predictions(tested, name, guess)
 
 
-def forest(features: list[str], label: str = TARGET) -> tuple[VectorAssembler, RandomForestRegressor]:
+def forest(
+    features: list[str], label: str = TARGET, depth: int = fixed.FOREST_DEPTH
+) -> tuple[VectorAssembler, RandomForestRegressor]:
     """Distributed random forest with the fixed size and seed."""
     assembler = VectorAssembler(
         inputCols=features, outputCol="_features", handleInvalid="error"
     )
     model = RandomForestRegressor(
         featuresCol="_features", labelCol=label, numTrees=fixed.FOREST_TREES,
-        seed=fixed.MODEL_SEED, maxDepth=20, featureSubsetStrategy="all",
+        seed=fixed.MODEL_SEED, maxDepth=depth, featureSubsetStrategy="all",
     )
     return assembler, model
 
@@ -232,31 +235,14 @@ def dotless(matrix: DataFrame, features: list[str]) -> tuple[DataFrame, dict[str
     )
 
 
-def forest_predictions(matrix: DataFrame, features: list[str], **settings: int) -> DataFrame:
-    """Out-of-sample forest predictions, one distributed fit per fold over all series.
-
-    Folds are ordered by position, so fold k trains every series on its first rows. The loop is
-    over folds (a setting), never over rows; a fit that needs a checkpoint uses the shared folder.
-    """
-    staged, renamed = dotless(matrix.withColumn("_spot", F.col(SPOT)), features)
-    names = list(renamed)
-    # Every fold reads the same rows again; the shared checkpoint keeps a lost executor cheap.
-    indexed = cut_lineage(numbered(staged))
-    folds = fold_bounds(matrix, **settings)
-    bounds = folds.select(*GROUP, "fold_index", "train_end", "test_end")
-    indices = [r[0] for r in folds.select("fold_index").distinct().orderBy("fold_index").collect()]
-    out = None
-    assembler, model = forest(names)
-    for index in indices:
-        rows = assembler.transform(indexed.join(bounds.filter(F.col("fold_index") == index), GROUP))
-        fitted = model.fit(rows.filter(F.col("row_index") < F.col("train_end")))
-        inside = (F.col("row_index") >= F.col("train_end")) & (F.col("row_index") < F.col("test_end"))
-        part = _predictions(fitted.transform(rows.filter(inside)).withColumnRenamed(
-            "prediction", "_guess"), fixed.FOREST, F.col("_guess"))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise ValueError("no fold has rows to test on")
-    return out
+def forest_predictions(
+    matrix: DataFrame, features: list[str], spec: ForestSpec = ForestSpec(), **settings: int
+) -> DataFrame:
+    """Out-of-sample forest predictions of every fold; all folds of all series grow together."""
+    guesses = forest_guesses(matrix, features, fold_bounds(matrix, **settings), TARGET, spec)
+    return guesses.select(
+        *GROUP, F.lit(fixed.FOREST).alias("model_name"), "fold_index", DAY, "y", "prediction"
+    )
 
 
 def evaluation(predictions: DataFrame, mode: str = "database") -> DataFrame:
