@@ -21,6 +21,8 @@ from tidemark.operators import versions as X
 from tidemark.plans import features as P
 from tidemark.plans import snapshots as N
 from tidemark.plans.summary import published
+from tidemark.session import scratch_folder
+from tidemark.sources import feature_store as store
 from tidemark.sources import files, seeds, tables
 
 
@@ -368,3 +370,37 @@ def importance_panel_all_commodities(t: Tables) -> DataFrame:
     return panel.select(
         "commodity_id", "as_of_date", "horizon_days", F.size("feature_values").alias("feature_count")
     )
+
+
+STORED = f"""{LATEST}, days AS (SELECT commodity_id, as_of_date, count(*) FILTER (agent_type IN ('Market', 'Weather', 'Futures')) AS n,
+    count(*) FILTER (agent_type = 'Futures') AS f FROM latest GROUP BY ALL),
+versions AS (
+  SELECT commodity_id, as_of_date, CASE WHEN f = 1 THEN 5 * n ELSE 5 * n + 13 END AS full_count, extract(day FROM as_of_date) % 3 AS k FROM days)"""
+
+
+@check(
+    f"""WITH {STORED}
+SELECT commodity_id, CAST(as_of_date AS VARCHAR) AS as_of_date, r AS read_day,
+  CASE WHEN r = 1 OR k = 0 OR (k = 2 AND r >= 3) THEN full_count ELSE 0 END AS feature_count,
+  CASE WHEN k = 0 OR r = 1 THEN 1::BIGINT WHEN k = 2 AND r >= 3 THEN 3::BIGINT ELSE 2 END AS version_day
+FROM versions CROSS JOIN (SELECT unnest([1, 2, 3])::BIGINT AS r) t"""
+)
+def feature_store(t: Tables) -> DataFrame:
+    """Sets written twice, emptied for two days of three, restored for one of them; read at three times."""
+    folder = scratch_folder(t.spark)
+    sets = assembled(t).withColumn("_k", F.day("as_of_date") % 3)
+    on = lambda day: F.lit(dt.datetime(2025, 1, day, 12)).alias("created_at")
+    first = sets.select(*P.KEY, "feature_values", "feature_lineage", "feature_hash", on(1))
+    emptied = sets.filter("_k > 0").withColumn("feature_values", F.create_map().cast("map<string,string>"))
+    emptied = emptied.withColumn("feature_hash", J.digest(P.feature_json())).select(*first.columns[:-1], on(2))
+    restored = sets.filter("_k = 2").select(*first.columns[:-1], on(3))
+    for number, rows in enumerate((first, first.withColumn("created_at", on(2)), emptied, emptied, restored, restored), 1):
+        store.append_sets(t.spark, folder, rows, "check", number)
+    reads = [
+        store.read_sets(t.spark, folder, dt.datetime(2025, 1, day, 23)).withColumn("read_day", F.lit(day))
+        for day in (1, 2, 3)
+    ]
+    return reads[0].unionByName(reads[1]).unionByName(reads[2]).select(
+        "commodity_id", "as_of_date", "read_day", F.size("feature_values").alias("feature_count"),
+        F.day("created_at").alias("version_day"),
+    )
