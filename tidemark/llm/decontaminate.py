@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ MIN_ITEM_WORDS = 8
 #: Mean passages of a block, its rank, and blocks whose spaces are sent to the tasks at once.
 BLOCK_ITEMS, RANK, BLOCKS_AT_ONCE = 192, 256, 8
 POWER_STEPS = 2
+#: Words of texts searched together, windows projected together, prepared items a task remembers.
+WORDS_AT_ONCE, AT_ONCE, ITEMS_HELD = 1 << 15, 512, 4096
 #: A near copy keeps this share of the item's words in order, weighted by rarity.
 COPY = 0.8
 #: A paraphrase keeps this share, and this share of the item's last words, its answer.
@@ -119,86 +122,149 @@ def limits(lengths: np.ndarray) -> np.ndarray:
     return (PART * np.sqrt(np.minimum(lengths, WINDOW) / WINDOW)).astype(np.float32)
 
 
+def _all_windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, first and last word of every window of texts that lie one behind the other."""
+    free = np.maximum(lengths - WINDOW, 0)
+    many = -(-free // STRIDE) + 1
+    owner = np.repeat(np.arange(len(lengths)), many)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+    base = (np.cumsum(lengths) - lengths)[owner]
+    starts = base + np.minimum(number * STRIDE, free[owner])
+    return owner, starts, np.minimum(starts + WINDOW, base + lengths[owner])
+
+
 def _windows(n: int) -> tuple[np.ndarray, np.ndarray]:
-    starts = np.arange(0, max(n - WINDOW, 0) + STRIDE, STRIDE)
-    starts = np.minimum(starts, max(n - WINDOW, 0))
-    starts = np.unique(starts)
-    return starts, np.minimum(starts + WINDOW, n)
+    """First and last word of every window of one text."""
+    return _all_windows(np.array([n]))[1:]
 
 
-def _places(hits: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, n: int) -> Iterator[tuple[int, int]]:
-    """Stretches of words around the windows that hit, neighbouring ones joined."""
-    low, high = max(starts[hits[0]] - length, 0), ends[hits[0]] + length
-    for k in hits[1:]:
-        if starts[k] - length > high:
-            yield low, min(high, n)
-            low = starts[k] - length
-        high = ends[k] + length
-    yield low, min(high, n)
+def _places(starts: np.ndarray, ends: np.ndarray, length: int, low: int, high: int) -> Iterator[tuple[int, int]]:
+    """Stretches of words around windows that hit, neighbouring ones joined, within [low, high)."""
+    starts, ends = starts - length, ends + length
+    cuts = np.flatnonzero(starts[1:] > ends[:-1]) + 1
+    for a, b in zip([0, *cuts], [*cuts, len(starts)], strict=True):
+        yield max(int(starts[a]), low), min(int(ends[b - 1]), high)
 
 
-def search(text: str | None, idf: np.ndarray, spaces: list[Space]) -> Iterator[tuple[int, float, np.ndarray]]:
-    """(item, best cosine, words of the stretch) for the stretches of a text that resemble an item.
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of ranges that are not empty, one range behind the other, and where each begins."""
+    sizes = high - low
+    offsets = np.cumsum(sizes) - sizes
+    return np.repeat(low - offsets, sizes) + np.arange(sizes.sum()), offsets
+
+
+def _hits(
+    space: Space, at: np.ndarray, weights: np.ndarray, starts: np.ndarray, ends: np.ndarray, norms: np.ndarray
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(windows, passages, cosines) that reach a threshold.
 
-    The norm of a window is that of its words' weights. A window is projected only if the most that
-    its words can add up to reaches a threshold; these bounds are exact.
+    A window is projected only if the most that its words can add up to reaches a threshold; these
+    bounds are exact. Windows are projected ``AT_ONCE`` together, whatever the length of the text.
     """
-    words = _keys(text)
-    if not len(words):
-        return
+    row = np.minimum(np.searchsorted(space.slots, at), len(space.slots) - 1)
+    known = np.flatnonzero(space.slots[row] == at)
+    held, near = np.zeros(len(at) + 1), np.zeros(len(at) + 1)
+    held[known + 1] = weights[known] * space.held[row[known]]
+    near[known + 1] = weights[known] * space.near[row[known]]
+    held, near = np.cumsum(held), np.cumsum(near)
+    first, last = np.searchsorted(known, starts), np.searchsorted(known, ends)
+    opened = np.flatnonzero((last > first) & (
+        (held[ends] - held[starts] >= 1 - 1e-6) | (near[ends] - near[starts] >= (1 - 1e-6) * norms)
+    ))
+    row, own = row[known], weights[known].astype(np.float32)
+    for k in range(0, len(opened), AT_ONCE):
+        some = opened[k : k + AT_ONCE]
+        # Windows overlap: the words between two bounds are summed once, for all windows over them.
+        a, b = first[some], last[some]
+        cuts = np.unique(np.concatenate([a, b]))
+        covered = b[np.searchsorted(a, cuts[:-1], "right") - 1] >= cuts[1:]
+        parts = np.concatenate([[0], np.cumsum(covered)])
+        words, offsets = _ranges(cuts[:-1][covered], cuts[1:][covered])
+        sums = np.add.reduceat(own[words, None] * space.basis[row[words]], offsets, axis=0)
+        pieces, offsets = _ranges(parts[np.searchsorted(cuts, a)], parts[np.searchsorted(cuts, b)])
+        vectors = np.add.reduceat(sums[pieces], offsets, axis=0)
+        products = vectors @ space.latent.T
+        found = products >= np.minimum(space.parts, space.limits * norms[some, None])
+        windows, passages = np.nonzero(found)
+        if len(windows):
+            yield some[windows], passages, products[windows, passages] / norms[some[windows]]
+
+
+def search_all(
+    texts: list[np.ndarray], idf: np.ndarray, spaces: list[Space]
+) -> Iterator[tuple[int, int, float, np.ndarray]]:
+    """(text, item, best cosine, words of the stretch) for the stretches of texts that resemble an item.
+
+    ``texts`` are the hashed words of each, none of them empty. The norm of a window is that of its
+    words' weights.
+    """
+    words, sizes = np.concatenate(texts), np.array([len(t) for t in texts])
     at = slots(words)
     weights = idf[at].astype(np.float64)
-    starts, ends = _windows(len(words))
+    owner, starts, ends = _all_windows(sizes)
     squares = np.concatenate([[0.0], np.cumsum(weights**2)])
     norms = np.sqrt(squares[ends] - squares[starts])
-    near_items: dict[int, list] = {}  # length, best cosine and windows of each item found
-    for space in spaces:
-        row = np.minimum(np.searchsorted(space.slots, at), len(space.slots) - 1)
-        known = np.flatnonzero(space.slots[row] == at)
-        held, near = np.zeros(len(words) + 1), np.zeros(len(words) + 1)
-        held[known + 1] = weights[known] * space.held[row[known]]
-        near[known + 1] = weights[known] * space.near[row[known]]
-        held, near = np.cumsum(held), np.cumsum(near)
-        open_windows = np.flatnonzero(
-            (held[ends] - held[starts] >= 1 - 1e-6) | (near[ends] - near[starts] >= (1 - 1e-6) * norms)
-        )
-        if not len(open_windows):
-            continue
-        a = np.searchsorted(known, starts[open_windows])
-        b = np.searchsorted(known, ends[open_windows])
-        vectors = np.zeros((len(open_windows), space.basis.shape[1]), dtype=np.float32)
-        for k in range(len(open_windows)):
-            own = known[a[k] : b[k]]
-            vectors[k] = weights[own].astype(np.float32) @ space.basis[row[own]]
-        products, norm = vectors @ space.latent.T, norms[open_windows]
-        found = products >= np.minimum(space.parts, space.limits * norm[:, None])
-        for k in np.flatnonzero(found.any(axis=0)):
-            hits = np.flatnonzero(found[:, k])
-            own = near_items.setdefault(int(space.items[k]), [int(space.lengths[k]), 0.0, []])
-            own[1] = max(own[1], float((products[hits, k] / norm[hits]).max()))
-            own[2].append(open_windows[hits])
-    for item, (length, cosine, hits) in near_items.items():
-        for low, high in _places(np.unique(np.concatenate(hits)), starts, ends, length, len(words)):
-            yield item, cosine, words[low:high]
+    hits = [
+        (windows, space.items[passages], space.lengths[passages], cosines)
+        for space in spaces for windows, passages, cosines in _hits(space, at, weights, starts, ends, norms)
+    ]
+    if not hits:
+        return
+    windows, items, lengths, cosines = (np.concatenate(c) for c in zip(*hits, strict=True))
+    order = np.lexsort((windows, items, owner[windows]))
+    windows, items, lengths, cosines = (c[order] for c in (windows, items, lengths, cosines))
+    changed = (np.diff(items) != 0) | (np.diff(owner[windows]) != 0)
+    cuts = np.concatenate([[0], np.flatnonzero(changed) + 1])
+    best, bounds = np.maximum.reduceat(cosines, cuts), [*cuts.tolist(), len(items)]
+    high = np.cumsum(sizes)
+    low = high - sizes
+    for k, cosine in enumerate(best.tolist()):
+        a, b = bounds[k], bounds[k + 1]
+        text = int(owner[windows[a]])
+        for x, y in _places(starts[windows[a:b]], ends[windows[a:b]], int(lengths[a]), int(low[text]), int(high[text])):
+            yield text, int(items[a]), cosine, words[x:y]
+
+
+def search(text: str | None, idf: np.ndarray, spaces: list[Space]) -> Iterator[tuple[int, float, np.ndarray]]:
+    """(item, best cosine, words of the stretch) for the stretches of one text."""
+    words = _keys(text)
+    if len(words):
+        for _, item, cosine, region in search_all([words], idf, spaces):
+            yield item, cosine, region
+
+
+def _together(texts: pa.Array) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Whole texts with words, and their places, some ``WORDS_AT_ONCE`` words at a time."""
+    places, held, n = [], [], 0
+    for k, text in enumerate(texts):
+        words = _keys(text.as_py())
+        if len(words):
+            places.append(k)
+            held.append(words)
+            n += len(words)
+        if n >= WORDS_AT_ONCE:
+            yield places, held
+            places, held, n = [], [], 0
+    if held:
+        yield places, held
 
 
 def _search_all(batches: Iterator[pa.RecordBatch], idf, spaces) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        owner, items, cosines, regions = [], [], [], []
-        for k, text in enumerate(batch.column("text")):
-            for item, cosine, region in search(text.as_py(), idf.value, spaces.value):
-                owner.append(k)
-                items.append(item)
-                cosines.append(cosine)
-                regions.append(region.view(np.int64))
-        at = pa.array(owner, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id").take(at), batch.column("id").take(at), pa.array(items, pa.int64()),
-                pa.array(cosines, pa.float64()), pa.array(regions, pa.list_(pa.int64())),
-            ],
-            names=[c.split()[0] for c in FOUND.split(", ")],
-        )
+        for places, texts in _together(batch.column("text")):
+            found = list(search_all(texts, idf.value, spaces.value))
+            at = pa.array([places[text] for text, *_ in found], pa.int64())
+            ends = np.cumsum([0, *(len(region) for *_, region in found)])
+            regions = np.concatenate([np.empty(0, np.uint64), *(region for *_, region in found)])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").take(at), batch.column("id").take(at),
+                    pa.array([item for _, item, *_ in found], pa.int64()),
+                    pa.array([cosine for _, _, cosine, _ in found], pa.float64()),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(regions.view(np.int64))),
+                ],
+                names=[c.split()[0] for c in FOUND.split(", ")],
+            )
 
 
 def common_weight(one: np.ndarray, other: np.ndarray, weights: np.ndarray) -> float:
@@ -214,23 +280,28 @@ def common_weight(one: np.ndarray, other: np.ndarray, weights: np.ndarray) -> fl
 
 
 def _judge(batches: Iterator[pa.RecordBatch], idf) -> Iterator[pa.RecordBatch]:
+    @lru_cache(ITEMS_HELD)
+    def prepared(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]:
+        item = _keys(text)
+        weights, tail = idf.value[slots(item)].astype(np.float64), np.arange(len(item)) >= len(item) - ANSWER_WORDS
+        return item, weights, tail, weights.sum(), weights[tail].sum()
+
     for batch in batches:
-        shares, answers = [], []
-        for text, region in zip(batch.column("text"), batch.column("region"), strict=True):
-            item = _keys(text.as_py())
-            words = np.array(region.as_py(), dtype=np.int64).view(np.uint64)
-            weights = idf.value[slots(item)].astype(np.float64)
+        shares, answers = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+        column = batch.column("region")
+        regions, ends = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+        for k, text in enumerate(batch.column("text").to_pylist()):
+            item, weights, tail, whole, last = prepared(text)
+            words = regions[ends[k] : ends[k + 1]]
             # What the stretch holds in any order bounds the share; below PARAPHRASE there is no leak.
-            held, tail = np.isin(item, words), np.arange(len(item)) >= len(item) - ANSWER_WORDS
-            if weights[held].sum() < (PARAPHRASE - 1e-6) * weights.sum():
-                shares.append(0.0)
-                answers.append(0.0)
+            held = np.isin(item, words)
+            if weights[held].sum() < (PARAPHRASE - 1e-6) * whole:
                 continue
             own = held & tail
-            shares.append(common_weight(item[held], words, weights[held]) / weights.sum())
-            answers.append(common_weight(item[own], words, weights[own]) / weights[tail].sum())
+            shares[k] = common_weight(item[held], words, weights[held]) / whole
+            answers[k] = common_weight(item[own], words, weights[own]) / last
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("doc_id", "id", "item_id", "cosine")), pa.array(shares, pa.float64()), pa.array(answers, pa.float64())],
+            [*(batch.column(c) for c in ("doc_id", "id", "item_id", "cosine")), pa.array(shares), pa.array(answers)],
             names=["doc_id", "id", "item_id", "cosine", "share", "answer"],
         )
 
