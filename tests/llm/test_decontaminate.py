@@ -130,3 +130,29 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id bigint, text string")
     assert D.find_leaks(none, bench).count() == 0
     assert D.find_leaks(bench.withColumnRenamed("item_id", "doc_id"), bench.where("false")).count() == 0
+
+
+def test_texts_searched_together_give_what_each_gives():
+    """Stretches keep to their own text, whatever its neighbours are, with several spaces and long texts."""
+    import pyarrow as pa
+
+    class Held:
+        value = np.random.default_rng(2).uniform(1, 8, 1 << 18).astype(np.float32)
+
+    docs, items, _ = make(11)
+    spaces = []
+    for block in (0, 1):
+        part = items[block * 15 : block * 15 + 15]
+        spaces.append(D._space(D._fit(pa.table({
+            "block": pa.array([block] * 15, pa.int32()), "item_row": [k for k, _ in part], "text": [t for _, t in part],
+        }), Held).to_pylist()[0]))
+    texts = [None, "", *(t for _, t in docs), items[0][1], items[0][1], items[1][1] * 2000, "..."]
+    flat = lambda k, item, cosine, region: (k, item, round(cosine, 4), tuple(region.tolist()))
+    one = [flat(k, *found) for k, text in enumerate(texts) for found in D.search(text, Held.value, spaces)]
+    together = [
+        flat(places[k], *found)
+        for places, held in D._together(pa.array(texts)) for k, *found in D.search_all(held, Held.value, spaces)
+    ]
+    assert sorted(one) == sorted(together) and len(one) > 50
+    own = {k: set(D._keys(t).tolist()) for k, t in enumerate(texts)}
+    assert all(set(region) <= own[k] for k, _, _, region in together)
