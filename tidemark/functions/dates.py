@@ -17,11 +17,17 @@ def day_first_date(raw: Column) -> Column:
 
 
 def any_format_date(raw: Column) -> Column:
-    """First match of Y-m-d, d-m-Y, d/m/Y, Y/m/d."""
-    text = F.trim(raw)
-    return F.coalesce(
-        *[F.try_to_date(text, f) for f in ("y-M-d", "d-M-y", "d/M/y", "y/M/d")]
-    )
+    """First match of Y-m-d, d-m-Y, d/m/Y, Y/m/d.
+
+    A format is tried only on texts of its shape: a failed parse raises inside the parser, which costs
+    far more than the test. Days and months have at most two digits behind leading zeros.
+    """
+    text, small = F.trim(raw), "0*[0-9]{1,2}"
+    shapes = {
+        "y-M-d": f"^-?[0-9]+-{small}-{small}$", "d-M-y": f"^{small}-{small}--?[0-9]+$",
+        "d/M/y": f"^{small}/{small}/-?[0-9]+$", "y/M/d": f"^-?[0-9]+/{small}/{small}$",
+    }
+    return F.coalesce(*[F.when(text.rlike(s), F.try_to_date(text, f)) for f, s in shapes.items()])
 
 
 def decimal_text(raw: Column, kind: str = "decimal(18,4)") -> Column:

@@ -217,37 +217,47 @@ def parse_futures(raw: DataFrame, default_day: Column | None = None) -> DataFram
     wanted = symbol.isin(*fixed.FUTURES_SYMBOLS) & (
         series.isNull() | series.isin(*fixed.FUTURES_SERIES)
     )
-    given_day = text_or_null("trade_date")
-    day = F.when(given_day.isNotNull(), dates.any_format_date(given_day))
+    extra = [c for c in raw.columns if c not in fixed.FUTURES_HEADERS]
+    rows = raw.filter(wanted)
     if default_day is not None:
-        day = F.when(given_day.isNull(), default_day).otherwise(day)
-    expiry = dates.any_format_date(text_or_null("expiry"))
-    settle = dates.decimal_text(text_or_null("settle"), _WIDE)
-    interest_text, volume_text = text_or_null("open_interest"), text_or_null("volume")
-    skipped = lambda c, *marks: c.isNull() | c.isin(*marks)
-    interest = F.when(
-        ~skipped(interest_text, "-", "0"), dates.decimal_text(interest_text, _WIDE).cast("long")
-    )
-    volume = F.when(~skipped(volume_text, "-"), dates.decimal_text(volume_text, _WIDE))
+        rows = rows.withColumn("_default", default_day.cast("date"))
+    skipped = lambda c, *marks: F.col(c).isNull() | F.col(c).isin(*marks)
+    made = [
+        dates.any_format_date(F.col("trade_date")).alias("_day"),
+        dates.any_format_date(F.col("expiry")).alias("expiry_date"),
+        dates.decimal_text(F.col("settle"), _WIDE).alias("_settle"),
+        F.when(~skipped("open_interest", "-", "0"), dates.decimal_text(F.col("open_interest"), _WIDE).cast("long"))
+        .alias("_interest"),
+        F.when(~skipped("volume", "-"), dates.decimal_text(F.col("volume"), _WIDE)).alias("_volume"),
+    ]
+    kept = [*extra, *([] if default_day is None else ["_default"])]
+    texts = rows.select(
+        *kept, symbol.alias("contract_symbol"),
+        *[text_or_null(c).alias(c) for c in ("trade_date", "expiry", "settle", "open_interest", "volume", "series")],
+    )
+    # Values are made once, behind a generator: filters on what follows would carry the parse with them.
+    parsed = texts.select("*", F.inline(F.array(F.struct(*made))))
+    day, settle = F.col("_day"), F.col("_settle")
+    if default_day is not None:
+        day = F.when(F.col("trade_date").isNull(), F.col("_default")).otherwise(day)
     reason = (
         F.when(day.isNull(), "missing or unreadable trade date")
-        .when(expiry.isNull(), "missing or unreadable expiry date")
+        .when(F.col("expiry_date").isNull(), "missing or unreadable expiry date")
         .when(settle.isNull(), "missing or unreadable settlement price")
         .when(settle <= 0, "settlement price must be > 0")
-        .when(~skipped(interest_text, "-", "0") & interest.isNull(), "invalid open interest")
-        .when(~skipped(volume_text, "-") & volume.isNull(), "invalid volume")
+        .when(~skipped("open_interest", "-", "0") & F.col("_interest").isNull(), "invalid open interest")
+        .when(~skipped("volume", "-") & F.col("_volume").isNull(), "invalid volume")
     )
-    extra = [c for c in raw.columns if c not in fixed.FUTURES_HEADERS]
-    return raw.filter(wanted).select(
+    return parsed.select(
         *extra,
         day.alias("as_of_date"),
-        symbol.alias("contract_symbol"),
-        expiry.alias("expiry_date"),
+        "contract_symbol",
+        "expiry_date",
         settle.cast("decimal(18,4)").alias("settle_price"),
         lots_to_quintal(settle).cast("decimal(18,4)").alias("settle_price_quintal"),
-        interest.alias("open_interest"),
-        volume.cast("decimal(18,4)").alias("volume"),
-        text_or_null("series").alias("series"),
+        F.col("_interest").alias("open_interest"),
+        F.col("_volume").cast("decimal(18,4)").alias("volume"),
+        "series",
         dates.at_time(day, dates.FUTURES_CLOSE).alias("observed_at"),
         F.lit(fixed.FUTURES_SOURCE).alias("source"),
         F.lit(fixed.RECEIVED).alias("validation_status"),
