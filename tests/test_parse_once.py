@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates
 from tidemark.operators import mapping as M
+from tidemark.sources import files
 
 
 def plan(df):
@@ -34,3 +35,15 @@ def test_date_shapes_lose_no_date(spark):
         F.coalesce(*[F.try_to_date(F.trim("t"), f) for f in formats]).cast("string").alias("want"),
     )
     assert [(r.t, r.got) for r in df.collect()] == [(r.t, r.want) for r in df.collect()]
+
+
+def test_market_documents_are_parsed_once(spark):
+    bodies = [('{"records": [{"state": "S", "district": "D", "market": "M", "commodity": "Cotton", "arrival_date": "5/1/2024"}, 7]}',),
+              ('{"records": []}',), ('{"records": 3}',), ("{}",)]
+    envelopes = spark.createDataFrame([("f", b) for (b,) in bodies], "source_file string, body string")
+    parsed = files.parse_market(files.raw_market_records(envelopes))
+    reasons = parsed.select(F.coalesce("reject_reason", F.lit("good")).alias("r"))
+    text = plan(parsed.filter("reject_reason IS NULL").groupBy("as_of_date", "state").count())
+    assert (text.count("get_json_object"), text.count("gettimestamp")) == (1, 1)
+    assert sorted(r.r for r in reasons.collect()) == [
+        "document without records", "expected object", "good", "no records", "records are not a list"]

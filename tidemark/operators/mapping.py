@@ -25,32 +25,34 @@ def parse_records(raw: DataFrame) -> DataFrame:
     Empty strings count as missing; any number that is present but unreadable rejects the row.
     Extra columns (file name, position) pass through.
     """
-    extra = [c for c in raw.columns if c not in
-             (*REQUIRED, *NUMBERS, "variety", "grade", "arrival_tonnes", "arrival")]
+    texts = (*REQUIRED, "variety", "grade")
+    extra = [c for c in raw.columns if c not in (*texts, *NUMBERS, "arrival_tonnes", "arrival")]
     tonnage = F.coalesce(F.nullif("arrival_tonnes", F.lit("")), F.nullif("arrival", F.lit("")))
-    day = dates.day_first_date(F.col("arrival_date"))
     given = {n: F.nullif(F.col(n), F.lit("")) for n in NUMBERS} | {"arrival_tonnes": tonnage}
-    parsed = {n: F.trim(c).try_cast(_WIDE) for n, c in given.items()}
+    values = [
+        *[F.trim(F.col(c)).alias(c) for c in texts if c != "arrival_date"],
+        text_or_null("arrival_date").isNull().alias("_no_date"),
+        dates.day_first_date(F.col("arrival_date")).alias("as_of_date"),
+        *[F.trim(c).try_cast(_WIDE).alias(n) for n, c in given.items()],
+        *[c.isNotNull().alias(f"_has_{n}") for n, c in given.items()],
+    ]
+    # A generator makes every value once: filters and reasons behind it would carry the parse with them,
+    # once for every time they name such a column.
+    made = raw.select(*extra, F.inline(F.array(F.struct(*values))))
     reason = F.lit(None).cast("string")
-    for name, value in reversed(list(given.items())):
-        bad = value.isNotNull() & parsed[name].isNull()
+    for name in reversed(given):
+        bad = F.col(f"_has_{name}") & F.col(name).isNull()
         reason = F.when(bad, f"invalid numeric value {name}").otherwise(reason)
-    reason = F.when(day.isNull(), "invalid arrival_date").otherwise(reason)
+    reason = F.when(F.col("as_of_date").isNull(), "invalid arrival_date").otherwise(reason)
     for name in reversed(REQUIRED):
-        reason = F.when(text_or_null(name).isNull(), f"missing required field {name}").otherwise(
-            reason
-        )
-    typed = [
-        *[F.trim(F.col(c)).alias(c) for c in (*MARKET_KEY, "commodity")],
-        text_or_null("variety").alias("variety"),
-        text_or_null("grade").alias("grade"),
-        day.alias("as_of_date"),
-        *[parsed[n].cast("decimal(18,4)").alias(n) for n in (*NUMBERS, "arrival_tonnes")],
+        missing = F.col("_no_date") if name == "arrival_date" else F.nullif(F.col(name), F.lit("")).isNull()
+        reason = F.when(missing, f"missing required field {name}").otherwise(reason)
+    return made.select(
+        *extra, *MARKET_KEY, "commodity",
+        *[F.nullif(F.col(c), F.lit("")).alias(c) for c in ("variety", "grade")], "as_of_date",
+        *[F.col(n).cast("decimal(18,4)").alias(n) for n in given],
         reason.alias("reject_reason"),
-    ]
-    # A generator keeps filters on parsed columns behind it: they would carry the parse with them,
-    # once for every time they name such a column.
-    return raw.select(*extra, F.inline(F.array(F.struct(*typed))))
+    )
 
 
 def commodity_of(label: Column) -> Column:

@@ -29,16 +29,18 @@ def raw_market_records(envelopes: DataFrame) -> DataFrame:
 
     ``envelope_error`` tells documents without a ``records`` list apart.
     """
-    text = F.trim(F.get_json_object("body", "$.records"))
-    # Elements stay JSON text first, so one odd element cannot null its neighbours.
-    elements = F.from_json(text, "array<string>")
+    # Behind a generator the list is looked up once, however often it is named.
+    listed = F.struct(F.trim(F.get_json_object("body", "$.records")).alias("_text"))
+    found = envelopes.select("source_file", F.inline(F.array(listed)))
+    text = F.col("_text")
     error = F.when(text.isNull(), "document without records").when(
         ~text.startswith("["), "records are not a list"
     )
-    exploded = envelopes.withColumn("envelope_error", error).select(
-        "source_file",
-        "envelope_error",
-        F.posexplode_outer(F.when(error.isNull(), elements)).alias("position", "_record"),
+    # Elements stay JSON text first, so one odd element cannot null its neighbours.
+    elements = F.when(error.isNull(), F.from_json(text, "array<string>"))
+    exploded = found.select(
+        "source_file", error.alias("envelope_error"),
+        F.posexplode_outer(elements).alias("position", "_record"),
     )
     is_object = F.trim("_record").startswith("{")
     fields = F.from_json(F.when(is_object, F.col("_record")), schemas.MARKET_RECORD)
@@ -49,8 +51,8 @@ def raw_market_records(envelopes: DataFrame) -> DataFrame:
         F.when(F.col("_record").isNotNull(), F.coalesce(is_object, F.lit(False))).alias(
             "is_object"
         ),
-        fields.alias("_f"),
-    ).select("source_file", "position", "envelope_error", "is_object", "_f.*")
+        F.inline(F.array(fields)),
+    )
 
 
 def market_records(spark: SparkSession, path: str) -> DataFrame:
