@@ -108,3 +108,66 @@ def test_empty_tables(spark):
     assert C.classify(docs, labels).count() == 0
     one = spark.createDataFrame([(1, "text " * 20, "en", "x")], SCHEMA)
     assert [r.kept for r in C.classify(one, labels).collect()] == [True]
+
+
+def test_words_of_one_spelling_class_are_told_apart(spark):
+    """Texts of the same 64 symbols in the same order, one of trusted words and one of none."""
+    random.seed(7)
+    words = ["\u0442\u043e", "\u043d\u0430", "\u043a\u0430", "\u0432\u0441\u0435", "\u043e\u043d\u0430"]
+    texts = [" ".join(random.choices(words, k=random.randint(40, 60))) for _ in range(120)]
+    turn = str.maketrans({c: chr(ord(c) + 0x400) for c in set("".join(words))})
+    strange = [t.translate(turn) for t in texts[:20]]
+    assert all(np.array_equal(C.symbols(a), C.symbols(b)) for a, b in zip(texts, strange))
+    docs = spark.createDataFrame([(i, t, "en", "x") for i, t in enumerate(texts + strange)], SCHEMA)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(80)], "doc_id bigint, quality int, toxic int")
+    kept = {r.doc_id: r.kept for r in C.classify(docs, labels).collect()}
+    assert sum(kept[i] for i in range(80, 120)) >= 38 and not any(kept[i] for i in range(120, 140))
+
+
+def by_words(texts, name="en"):
+    """Bits of a text under an interpolated modified Kneser-Ney model of words, with dictionaries."""
+    line = lambda t: ["", *C._WORDS.findall(t), " "]
+    two = Counter(p for t in texts for p in zip(line(t), line(t)[1:]))
+    one = Counter(w for _, w in two)
+
+    def smoothed(counts, context):
+        t = [sum(1 for v in counts.values() if v == k) for k in range(5)]
+        ds = []
+        for k in (1, 2, 3):
+            d = k - (k + 1) * t[1] / (t[1] + 2 * t[2]) * t[k + 1] / t[k] if t[k] and t[1] else 0.5
+            ds.append(min(max(d, 0.05), k - 0.05))
+        total, given = Counter(), defaultdict(float)
+        for g, n in counts.items():
+            total[context(g)] += n
+            given[context(g)] += ds[min(n, 3) - 1]
+        share = {g: (n - ds[min(n, 3) - 1]) / total[context(g)] for g, n in counts.items()}
+        return share, {c: given[c] / total[c] for c in total}
+
+    share2, back2 = smoothed(two, lambda g: g[0])
+    share1, back1 = smoothed(one, lambda g: 0)
+
+    def bits(text, spelled):
+        total = 0.0
+        for v, w in zip(line(text), line(text)[1:]):
+            p = share1[w] if w in share1 else back1[0] * 2.0 ** -spelled(w)
+            total -= math.log2(share2.get((v, w), 0.0) + back2.get(v, 1.0) * p)
+        return total
+
+    return bits
+
+
+def test_bits_equal_a_plain_model_of_words(spark):
+    random.seed(11)
+    words = [f"{a}{b}" for a in ("ma", "To", "re", "\u043d\u0430", "7") for b in ("", "n", "ly", "st")]
+    texts = [" ".join(random.choices(words, weights=range(1, 21), k=random.randint(5, 40))) + "." for _ in range(60)]
+    asked = [*texts[:10], "man never Toly, rest!", "zzz", "", None, "man man man"]
+    frame = lambda rows: spark.createDataFrame([(i, "en", t) for i, t in enumerate(rows)], "doc_id bigint, model string, text string")
+    tables = C.tables(C.kneser_ney(C._gram_counts(frame(texts).withColumnRenamed("model", "language"))))
+    model, unknown = C.word_model(C.count_pairs(frame(texts)))
+    rows = C.word_bits(frame(asked), spark.sparkContext.broadcast(tables), model).collect()
+    base, plain = unknown.collect()[0]["unknown"], by_words(texts)
+    spelled = lambda w: float(C._spelled([("en", w)], tables)[0])
+    assert len(rows) == len(asked)
+    for r in rows:
+        got = r.spelled + r.n_words * base + r.saved
+        assert math.isclose(got, plain(asked[r.doc_id] or "", spelled), rel_tol=1e-4, abs_tol=1e-3)
