@@ -202,13 +202,14 @@ class Landed(Tables):
     """The same tables as landed records and stored observations with flaws to find."""
 
     def raw_records(self) -> DataFrame:
-        places = (
-            self.read("supplier")
+        # Joined one by one: the size of a plain table is known, that of their join is guessed far too high,
+        # and the lines would be shuffled to meet it.
+        line = (
+            self.read("lineitem")
+            .join(self.read("supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
             .join(self.read("nation"), F.col("n_nationkey") == F.col("s_nationkey"))
             .join(self.read("region"), F.col("r_regionkey") == F.col("n_regionkey"))
-            .select(F.col("s_suppkey").alias("l_suppkey"), "r_name", "n_name", "s_name")
         )
-        line = self.read("lineitem").join(places, "l_suppkey")
         order, part, cents = F.col("l_orderkey"), F.col("l_partkey"), unit_cents().cast("long")
         label = F.lit("Maize")
         names = ("Cotton", "Kapas", "Cotton (Unginned)", "Cotton-Bags", " Cotton-Loose ",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed
 from tidemark.functions import dates
+from tidemark.session import written_once
 
 MARKET_KEY = ["state", "district", "market"]
 REQUIRED = (*MARKET_KEY, "commodity", "arrival_date")
@@ -71,7 +72,8 @@ def resolve_markets(records: DataFrame, markets: DataFrame) -> DataFrame:
     """Market id by trimmed (state, district, market); unknown markets keep NULL for counting."""
     named = markets.select(*[F.trim(F.col(c)).alias(c) for c in MARKET_KEY], "market_id")
     # Should two markets share a name, the smaller id is taken in every run.
-    known = named.groupBy(*MARKET_KEY).agg(F.min("market_id").alias("market_id"))
+    # Written first: of known size, a small table meets the records where they are, without their shuffle.
+    known = written_once(named.groupBy(*MARKET_KEY).agg(F.min("market_id").alias("market_id")))
     return records.join(known, MARKET_KEY, "left")
 
 

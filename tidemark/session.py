@@ -46,6 +46,17 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
 
 
+def written_once(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Rows written once to a new name in the shared folder, or to ``folder``, and read back.
+
+    Unlike a checkpoint the columns can be read one by one, and Spark knows the size of what it reads:
+    a small table is broadcast by that size, where an estimate over joins and groups is far too high.
+    """
+    path = folder or scratch_folder(df.sparkSession)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names; survives lost executors.
 
