@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import written_once
+
 PRICE_KEY = ["market_id", "as_of_date", "source", "price_type", "quality_grade"]
 ARRIVAL_KEY = ["market_id", "as_of_date", "source", "commodity_id"]
 WEATHER_KEY = ["region_id", "as_of_date", "source"]
@@ -46,10 +48,12 @@ def without_stored(
 ) -> DataFrame:
     """Rows whose key is not stored yet. Stored keys are made distinct before the join.
 
-    With ``filter_bits`` the stored side is thinned by a ``key_filter`` of the batch first, which
-    costs one more pass over the batch: worth it where the stored side is much the larger one.
+    With ``filter_bits`` the stored side is thinned by a ``key_filter`` of the batch first, for which
+    the batch is written to the shared folder: worth it where the stored side is much the larger one.
     """
     if filter_bits:
+        # The filter and the join read the batch: it is made once.
+        batch = written_once(batch)
         stored = stored.filter(key_filter(batch, keys, filter_bits))
     known = stored.select(*keys).distinct()
     return batch.join(known, null_safe(batch, known, keys), "left_anti")
