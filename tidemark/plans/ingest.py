@@ -18,7 +18,7 @@ from tidemark.functions import dates
 from tidemark.operators import dedupe, mapping
 from tidemark.operators.basket import DAY, SERIES
 from tidemark.plans import quality
-from tidemark.session import cut_lineage, scratch_folder
+from tidemark.session import cut_lineage, scratch_folder, written_once
 from tidemark.sources import commits, tables
 from tidemark.sources.files import ORDER
 
@@ -137,7 +137,7 @@ def ingest_market(
     """Append new facts under ``folder`` and return the counters with the snapshot anchor day.
 
     The anchor is the latest day of the inserted rows, else of the batch, else None. The parsed
-    records are checkpointed, and the new rows are written before anything is counted: counters,
+    records are written once, and the new rows are written before anything is counted: counters,
     anchor and snapshots read what was written. With ``keep_quality`` the quality snapshots whose
     window holds an inserted day are computed anew. All of it is committed as one. A batch
     ``number`` of a ``writer`` that is committed already returns the counters it had; ``finished``
@@ -147,7 +147,8 @@ def ingest_market(
     log = commits.Batch(spark, folder)
     if writer is not None and (known := log.result_of(writer, number)) is not None:
         return known | {"anchor": known["anchor"] and dt.date.fromisoformat(known["anchor"])}
-    parsed = cut_lineage(parsed)
+    landed = scratch_folder(spark)
+    parsed = written_once(parsed, landed)
     days = parsed.select("as_of_date")
     batch = market_batch(
         parsed, markets,
@@ -180,6 +181,7 @@ def ingest_market(
         if keep_quality is not None and first is not None:
             notes = _refresh(log, keep_quality, new, first, last)
         log.commit(writer, number, result, finished, notes)
+    tables.remove(spark, landed)
     return result
 
 
