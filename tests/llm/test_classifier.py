@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 
 from tidemark.llm import classifier as C
+from tidemark.llm import common
 
 
 def by_hand(texts):
@@ -171,3 +172,43 @@ def test_bits_equal_a_plain_model_of_words(spark):
     for r in rows:
         got = r.spelled + r.n_words * base + r.saved
         assert math.isclose(got, plain(asked[r.doc_id] or "", spelled), rel_tol=1e-4, abs_tol=1e-3)
+
+
+def varied(n, seed):
+    rng = np.random.default_rng(seed)
+    words = ["".join(rng.choice(list("abcdefghilmnoprstu"), size=k)) for k in rng.integers(2, 9, 400)]
+    return [" ".join(rng.choice(words, size=k)) for k in rng.integers(60, 200, n)]
+
+
+def left_behind(folder):
+    sizes = Counter()
+    for at in folder.rglob("*.parquet"):
+        sizes[at.relative_to(folder).parts[0].rsplit("-", 1)[0]] += at.stat().st_size
+    return sizes
+
+
+def test_little_is_written_and_nothing_big_is_left(spark, tmp_path, monkeypatch):
+    texts = varied(200, 12)
+    docs = spark.createDataFrame([(i, t, "en", "x") for i, t in enumerate(texts)], SCHEMA)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(100)], "doc_id bigint, quality int, toxic int")
+    rows = docs.selectExpr("doc_id", "text", "'en' as model")
+    pairs = C.count_pairs(rows).toPandas()
+    seen = len({p for t in texts for p in zip(["", *C._WORDS.findall(t)], [*C._WORDS.findall(t), " "])})
+    assert sum(len(c) for c in pairs.select_dtypes("object").to_numpy().ravel() if isinstance(c, bytes)) < 20 * seen
+    monkeypatch.setattr(common, "shared_folder", lambda _: str(tmp_path))
+    assert C.classify(docs, labels).count() == len(texts)
+    left = left_behind(tmp_path)
+    assert left and not {"trusted-texts", "pair-counts", "word-counts", "word-values", "word-weights", "pair-weights"} & set(left)
+
+
+def test_parts_and_shards_change_no_bits(spark, monkeypatch):
+    texts = [*varied(60, 13), "", "ab " * 500]
+    frame = spark.createDataFrame([(i, f"en/{i % 2}", t) for i, t in enumerate(texts)], "doc_id bigint, model string, text string")
+    tables = spark.sparkContext.broadcast(C.tables(C.kneser_ney(C._gram_counts(frame.selectExpr("'en' as language", "text")))))
+    found = []
+    for rounds, parts, bits in ((4, 4, 6), (2, 1, 9)):
+        monkeypatch.setattr(C, "ROUNDS", rounds)
+        monkeypatch.setattr(C, "PARTS", parts)
+        model, _ = C.word_model(C.count_pairs(frame, bits), bits)
+        found.append({r.doc_id: (r.n_words, r.spelled, r.saved) for r in C.word_bits(frame, tables, model, bits).collect()})
+    assert found[0] == found[1] and len(found[0]) == len(texts)

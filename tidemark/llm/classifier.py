@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged
+from tidemark.llm.common import dropped, staged, staged_alone
 
 LANGUAGES = ("en", "fr", "de", "es")
 OTHER = "other"
@@ -35,6 +35,10 @@ SLACK = 4.0
 MIN_SYMBOLS = 20
 #: Documents and characters of a block, whose equal words and pairs go to the model together.
 BLOCK_DOCS, BLOCK_CHARS = 4096, 8 << 20
+#: Characters of all texts for which there is one shard of the words and pairs.
+SHARD_CHARS = 1 << 28
+#: Parts of the documents and of the shards that are on disk one after the other.
+ROUNDS, PARTS = 4, 4
 #: Bits are summed as whole numbers of this part, so that no order of the sum shows.
 UNIT = 1 << 20
 
@@ -141,19 +145,35 @@ def _pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
+class _Ids(dict):
+    """Numbers of the words of one model; ``keys`` lists those of all models of a block."""
+
+    def __init__(self, name: str, keys: list[tuple[str, str]]) -> None:
+        super().__init__()
+        self.name, self.keys_of_all = name, keys
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self.keys_of_all)
+        self.keys_of_all.append((self.name, word))
+        return number
+
+
 class _Block:
     """Words of a block of documents as numbers, with a start and an end for every text."""
 
     def __init__(self) -> None:
-        self.names: dict[tuple[str, str], int] = {}
+        self.keys: list[tuple[str, str]] = []
+        self.ids: dict[str, _Ids] = {}
         self.lines: list[np.ndarray] = []
         self.heads: list[tuple] = []
         self.chars = 0
 
     def add(self, name: str, text: str | None, head: tuple) -> None:
-        names = self.names
+        ids = self.ids.get(name)
+        if ids is None:
+            ids = self.ids[name] = _Ids(name, self.keys)
         words = ("", *_WORDS.findall(text or ""), " ")
-        self.lines.append(np.array([names.setdefault((name, w), len(names)) for w in words], dtype=np.int64))
+        self.lines.append(np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words)))
         self.heads.append(head)
         self.chars += len(text or "")
 
@@ -161,7 +181,7 @@ class _Block:
         return len(self.lines) >= BLOCK_DOCS or self.chars >= BLOCK_CHARS
 
     def hashes(self) -> np.ndarray:
-        return np.array([word_hash(*key) for key in self.names], dtype=np.uint64)
+        return np.array([word_hash(*key) for key in self.keys], dtype=np.uint64)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], tables: dict[str, np.ndarray] | None = None) -> Iterator[_Block]:
@@ -183,48 +203,204 @@ def _blocks(batches: Iterator[pa.RecordBatch], tables: dict[str, np.ndarray] | N
         yield block
 
 
-def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def shard_bits(docs: DataFrame) -> int:
+    """Bits of a hash that name its shard: there are as many shards as the texts ask for, 64 at least."""
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    return max(6, (chars // SHARD_CHARS).bit_length())
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Numbers as compressed bytes, the first byte of each, the second of each, and so on."""
+    flat = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes()
+    return len(flat).to_bytes(8, "little") + pa.compress(flat, codec="zstd", asbytes=True)
+
+
+def _unpack(cell: bytes, kind: str) -> np.ndarray:
+    size, width = int.from_bytes(cell[:8], "little"), np.dtype(kind).itemsize
+    flat = np.frombuffer(pa.decompress(cell[8:], size, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(flat.reshape(width, size // width).T).view(kind).reshape(-1)
+
+
+_PAIR_KINDS = {"words": "<u8", "v": "<u4", "w": "<u4", "n": "<i8"}
+_PAIR_COLUMNS = ("model", "shard", *_PAIR_KINDS)
+_PAIR_ROWS = "model string, shard int, words binary, v binary, w binary, n binary"
+
+
+def _pack_pairs(v: np.ndarray, w: np.ndarray, n: np.ndarray) -> dict[str, bytes]:
+    """Pairs of hashed words: the words once, in order, and the places of both words and the count of each pair."""
+    words, places = np.unique(np.concatenate([v, w]), return_inverse=True)
+    places = places.reshape(-1).astype("<u4")
+    first, second = places[: len(v)], places[len(v) :]
+    order = np.lexsort((second, first))
+    cells = {"words": words.astype("<u8"), "v": first[order], "w": second[order], "n": n[order].astype("<i8")}
+    return {k: _pack(x) for k, x in cells.items()}
+
+
+def _unpack_pairs(row: dict) -> list[np.ndarray]:
+    return [_unpack(row[k], kind) for k, kind in _PAIR_KINDS.items()]
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("model", pa.string()), ("shard", pa.int32()), *((k, pa.binary()) for k in _PAIR_KINDS)])
     for block in _blocks(batches):
-        keys, size = list(block.names), len(block.names)
+        keys, size = block.keys, len(block.keys)
         first = np.concatenate([line[:-1] for line in block.lines])
         second = np.concatenate([line[1:] for line in block.lines])
         found, counts = np.unique(first * size + second, return_counts=True)
         at = block.hashes()
         v, w = at[found // size], at[found % size]
-        name = pa.array([key[0] for key in keys]).take(pa.array(found // size))
-        columns = [name, *(pa.array(x.view(np.int64)) for x in (_pairs(v, w), v, w)), pa.array(counts)]
-        yield pa.RecordBatch.from_arrays(columns, names=["model", "gram", "v", "w", "n"])
+        models: dict[str, int] = {}
+        of_word = np.array([models.setdefault(key[0], len(models)) for key in keys], dtype=np.int64)
+        names = list(models)
+        part = (of_word[found // size] << bits) + (_pairs(v, w) >> np.uint64(64 - bits)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        rows = []
+        for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+            k = int(part[own[0]])
+            rows.append({"model": names[k >> bits], "shard": k & ((1 << bits) - 1), **_pack_pairs(v[own], w[own], counts[own])})
+        yield pa.RecordBatch.from_pylist(rows, schema)
+
+
+def _merge_pairs(rows: pa.Table) -> pa.Table:
+    """Counts of the blocks of a shard and model as one row, with the numbers of pairs counted one to four times."""
+    parts = []
+    for row in rows.to_pylist():
+        words, v, w, n = _unpack_pairs(row)
+        parts.append((words[v], words[w], n))
+    v, w, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    _, at, same = np.unique(_pairs(v, w), return_index=True, return_inverse=True)
+    total = np.zeros(len(at), dtype=np.int64)
+    np.add.at(total, same.reshape(-1), n)
+    kinds = {f"t{k}": int((total == k).sum()) for k in range(1, 5)}
+    head = rows.select(["model", "shard"]).slice(0, 1).to_pylist()[0]
+    kept = [("model", pa.string()), ("shard", pa.int32()), *((k, pa.binary()) for k in _PAIR_KINDS), *((k, pa.int64()) for k in kinds)]
+    return pa.Table.from_pylist([{**head, **_pack_pairs(v[at], w[at], total), **kinds}], pa.schema(kept))
+
+
+def count_pairs(texts: DataFrame, bits: int = 6) -> DataFrame:
+    """A row for each ``model`` and ``shard`` with the packed counts of its pairs of hashed words.
+
+    A pair lies in the shard that the first ``bits`` of its hash name. ``t1`` to ``t4`` are the
+    numbers of pairs counted so many times.
+    """
+    counted = texts.select("model", "text").mapInArrow(lambda batches: _count_pairs(batches, bits), _PAIR_ROWS)
+    kinds = ", ".join(f"t{k} bigint" for k in range(1, 5))
+    return counted.groupBy("model", "shard").applyInArrow(_merge_pairs, f"{_PAIR_ROWS}, {kinds}")
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each word of a shard: its occurrences before others, the words seen after it once, twice
+    and more often, and the words seen before it."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            words, v, w, n = _unpack_pairs(row)
+            size = len(words)
+            total = np.zeros(size, dtype=np.int64)
+            np.add.at(total, v, n)
+            after = [np.bincount(v[x], minlength=size) for x in (n == 1, n == 2, n > 2)]
+            cells = [words.view(np.int64), total, *after, np.bincount(w, minlength=size)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([row["model"]] * size), *(pa.array(x) for x in cells)],
+                names=["model", "word", "total", "after1", "after2", "after3", "n"],
+            )
+
+
+def _words_asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            words = _unpack(row["words"], "<u8").view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([row["model"]] * len(words)), pa.array(np.full(len(words), row["shard"], dtype=np.int32)), pa.array(words)],
+                names=["model", "shard", "word"],
+            )
+
+
+_MODEL = pa.schema([("model", pa.string()), ("shard", pa.int32()), ("grams", pa.binary()), ("weights", pa.binary())])
+
+
+def _units(bits: np.ndarray) -> np.ndarray:
+    return np.round(bits * UNIT).astype("<i4")
+
+
+def _weigh(row: pa.Table, values: pa.Table) -> pa.Table:
+    """Weights of the pairs of a shard and model, from the values of their words."""
+    own = row.to_pylist()[0]
+    words, v, w, n = _unpack_pairs(own)
+    order = np.argsort(values.column("word").to_numpy().view(np.uint64))
+    p, given = (values.column(c).to_numpy()[order] for c in ("p", "given"))
+    off = np.array([0.0, own["d1"], own["d2"], own["d3"]])[np.minimum(n, 3)]
+    weights = -np.log2(1 + (n - off) / (given[v] * p[w]))
+    grams = _pairs(words[v], words[w])
+    order = np.argsort(grams)
+    cells = {"model": own["model"], "shard": own["shard"], "grams": _pack(grams[order]), "weights": _pack(_units(weights[order]))}
+    return pa.Table.from_pylist([cells], _MODEL)
 
 
-def count_pairs(texts: DataFrame) -> DataFrame:
-    """``model``, ``gram``, its words ``v`` and ``w`` (hashed) and ``n`` of all pairs of words."""
-    schema = "model string, gram bigint, v bigint, w bigint, n bigint"
-    counted = texts.select("model", "text").mapInArrow(_count_pairs, schema)
-    return counted.groupBy("model", "gram", "v", "w").agg(F.sum("n").alias("n"))
+def _pack_words(rows: pa.Table) -> pa.Table:
+    grams = rows.column("word").to_numpy().view(np.uint64)
+    order = np.argsort(grams)
+    weights = _units(rows.column("single").to_numpy()[order])
+    head = rows.select(["model", "shard"]).slice(0, 1).to_pylist()[0]
+    return pa.Table.from_pylist([{**head, "grams": _pack(grams[order]), "weights": _pack(weights)}], _MODEL)
 
 
-def word_model(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``gram``, ``weight`` of every word and pair, and ``model``, ``unknown``.
+def word_model(pairs: DataFrame, bits: int = 6) -> tuple[DataFrame, DataFrame]:
+    """Packed ``grams`` and ``weights`` of the words and pairs of each ``model`` and ``shard``, and ``model``, ``unknown``.
 
     The bits of a text are the sum over its words of ``unknown`` and the bits of their spelling, and
     over its words and pairs that are in the model of their weights, where a word's weight takes
     ``unknown`` back (what finds a word takes back its spelling). A seen pair (v, w) has the
     probability share(v, w) + back(v) x p(w), any other back(v) x p(w), so what a word adds as the
-    context of others is a part of its own weight, and that of a pair is what being seen saves.
+    context of others is a part of its own weight, and that of a pair is what being seen saves:
+    log2 of 1 + (n - off) / (given(v) x p(w)), where given(v) is what the pairs of v gave up. Pairs meet the
+    values of their words a part of the shards at a time.
     """
-    two = staged(_smoothed(pairs.select("model", "gram", "v", "w", "n"), "v", "model"), "pair-shares")
-    words = pairs.groupBy("model", "w").agg(F.count("*").alias("n")).withColumn("context", F.lit(0).cast("long"))
-    one = staged(_smoothed(words, "context", "model"), "word-shares")
-    bits = lambda c: -F.log2(c)
-    unknown = one.groupBy("model").agg(bits(F.max("back")).alias("unknown"))
-    known = one.join(unknown, "model").select(F.col("w").alias("gram"), (bits(F.col("share")) - F.col("unknown")).alias("weight"))
-    contexts = two.groupBy("model", "v").agg(bits(F.max("back")).alias("weight")).select(F.col("v").alias("gram"), "weight")
-    single = known.unionByName(contexts).groupBy("gram").agg(F.sum("weight").alias("weight"))
-    lower = F.col("back") * F.col("p")
-    pair = two.join(one.select("model", "w", F.col("share").alias("p")), ["model", "w"]).select(
-        "gram", bits((F.col("share") + lower) / lower).alias("weight")
-    )
-    return single.unionByName(pair), unknown
+    bits_of = lambda c: -F.log2(c)
+    discounts = _discounts(pairs.groupBy("model").agg(*(F.sum(f"t{k}").alias(f"t{k}") for k in range(1, 5))), "model")
+    discounts = staged(discounts, "pair-discounts")
+    columns = ("total", "after1", "after2", "after3", "n")
+    counted = pairs.select(*_PAIR_COLUMNS).mapInArrow(_word_counts, "model string, word bigint, " + ", ".join(f"{c} bigint" for c in columns))
+    words = staged_alone(counted.groupBy("model", "word").agg(*(F.sum(c).alias(c) for c in columns)), "word-counts")
+    seen = _smoothed(words.where("n > 0").withColumn("context", F.lit(0).cast("long")), "context", "model")
+    one = staged_alone(seen.drop("context"), "word-shares")
+    # The start of texts comes after no word.
+    starts = words.where("n = 0").withColumns({c: F.lit(None).cast("double") for c in ("share", "back")})
+    unknown = staged(one.groupBy("model").agg(bits_of(F.max("back")).alias("unknown")), "unknown")
+    # One row per model: at most 2 x (len(LANGUAGES) + 1).
+    every = one.unionByName(starts).join(F.broadcast(unknown), "model").join(F.broadcast(discounts), "model")
+    given = F.col("after1") * F.col("d1") + F.col("after2") * F.col("d2") + F.col("after3") * F.col("d3")
+    single = F.coalesce(bits_of(F.col("share")) - F.col("unknown"), F.lit(0.0)) + F.when(
+        F.col("total") > 0, bits_of(given / F.col("total"))
+    ).otherwise(0.0)
+    values = staged(every.select("model", "word", single.alias("single"), F.col("share").alias("p"), given.alias("given")), "word-values")
+    for done in (words, one):
+        dropped(done)
+    shard = F.shiftrightunsigned("word", 64 - bits).cast("int").alias("shard")
+    rows = "model string, shard int, grams binary, weights binary"
+    parts = [staged_alone(values.select("model", shard, "word", "single").groupBy("model", "shard").applyInArrow(_pack_words, rows), "word-weights")]
+    for part in range(PARTS):
+        own = pairs.where(F.col("shard") % PARTS == part).select(*_PAIR_COLUMNS)
+        asked = own.select("model", "shard", "words").mapInArrow(_words_asked, "model string, shard int, word bigint")
+        answers = asked.join(values.select("model", "word", "p", "given"), ["model", "word"])
+        dealt = own.join(F.broadcast(discounts), "model").groupBy("model", "shard")
+        weighed = dealt.cogroup(answers.groupBy("model", "shard")).applyInArrow(_weigh, rows)
+        parts.append(staged_alone(weighed, "pair-weights"))
+    dropped(values)
+    model = parts[0]
+    for each in parts[1:]:
+        model = model.unionByName(each)
+    return model, unknown
+
+
+def _discounts(kinds: DataFrame, model: str) -> DataFrame:
+    """``d1`` to ``d3`` of each model from ``t1`` to ``t4``, its numbers of rows with such counts."""
+    y = F.col("t1") / (F.col("t1") + 2 * F.col("t2"))
+    for_count = [
+        F.when((F.col(f"t{k}") > 0) & (F.col("t1") > 0), k - (k + 1) * y * F.col(f"t{k + 1}") / F.col(f"t{k}")).otherwise(0.5)
+        for k in (1, 2, 3)
+    ]
+    bounds = [F.least(F.greatest(d, F.lit(0.05)), F.lit(k - 0.05)) for k, d in enumerate(for_count, 1)]
+    return kinds.select(model, *(b.alias(f"d{k}") for k, b in enumerate(bounds, 1)))
 
 
 def _smoothed(counts: DataFrame, context: str, model: str = "language") -> DataFrame:
@@ -237,13 +413,7 @@ def _smoothed(counts: DataFrame, context: str, model: str = "language") -> DataF
     kinds = counts.groupBy(model).agg(
         *(F.sum(F.when(F.col("n") == k, 1).otherwise(0)).alias(f"t{k}") for k in range(1, 5))
     )
-    y = F.col("t1") / (F.col("t1") + 2 * F.col("t2"))
-    for_count = [
-        F.when((F.col(f"t{k}") > 0) & (F.col("t1") > 0), k - (k + 1) * y * F.col(f"t{k + 1}") / F.col(f"t{k}")).otherwise(0.5)
-        for k in (1, 2, 3)
-    ]
-    bounds = [F.least(F.greatest(d, F.lit(0.05)), F.lit(k - 0.05)) for k, d in enumerate(for_count, 1)]
-    discounts = kinds.select(model, *(b.alias(f"d{k}") for k, b in enumerate(bounds, 1)))
+    discounts = _discounts(kinds, model)
     each = counts.join(discounts, model).withColumn(
         "off", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
     )
@@ -292,9 +462,13 @@ def tables(model: DataFrame) -> dict[str, np.ndarray]:
 def _spelled(keys: list[tuple[str, str]], tables: dict[str, np.ndarray]) -> np.ndarray:
     """Bits of the symbols of each word and of its end; none for the starts and ends of texts."""
     out = np.zeros(len(keys))
-    for name, bits in tables.items():
-        at = [i for i, (own, word) in enumerate(keys) if own.split("/")[0] == name and word.strip()]
-        if not at:
+    named: dict[str, list[int]] = {}
+    for i, (own, word) in enumerate(keys):
+        if word.strip():
+            named.setdefault(own, []).append(i)
+    for own, at in named.items():
+        bits = tables.get(own.split("/")[0])
+        if bits is None:
             continue
         s = np.concatenate([[0, 1], symbols(" ".join(keys[i][1] for i in at)), [1]])
         before = np.where(s[1:-1] == 1, 0, s[:-2])
@@ -304,26 +478,29 @@ def _spelled(keys: list[tuple[str, str]], tables: dict[str, np.ndarray]) -> np.n
     return out
 
 
-_ROWS = "block bigint, gram bigint, spelled double, docs binary"
+_ROWS = pa.schema(
+    [("shard", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("grams", "spelled", "sizes", "places", "head"))]
+)
+_SUMS = pa.schema([("block", pa.int64()), ("head", pa.bool_()), ("body", pa.binary())])
 _HEADS = pa.schema(
     [("doc_id", pa.int64()), ("model", pa.string()), ("n_symbols", pa.int64()), ("symbol_bits", pa.float64()), ("n_words", pa.int64()), ("spelled", pa.float64())]
 )
 
 
-def _requests(batches: Iterator[pa.RecordBatch], tables) -> Iterator[pa.RecordBatch]:
-    """A row for every word and pair of a block, with the places of its documents, once a time.
+def _requests(batches: Iterator[pa.RecordBatch], tables, bits: int) -> Iterator[pa.RecordBatch]:
+    """A row for every shard of a block: its words and pairs there, and the places of their documents.
 
-    One more row holds the block's documents; its gram is the block's own and spelled is NaN.
+    One more row holds the block's documents.
     """
-    schema = pa.schema([("block", pa.int64()), ("gram", pa.int64()), ("spelled", pa.float64()), ("docs", pa.binary())])
+    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
     for number, block in enumerate(_blocks(batches, tables.value)):
         name = (TaskContext.get().partitionId() << 32) + number
-        keys, size, at = list(block.names), len(block.names), block.hashes()
-        spelled = np.round(_spelled(keys, tables.value) * UNIT) / UNIT
+        keys, at = block.keys, block.hashes()
+        spelled = np.round(_spelled(keys, tables.value) * UNIT).astype(np.int64)
         lengths = [len(line) for line in block.lines]
-        doc = np.repeat(np.arange(len(lengths), dtype=np.uint16), lengths)
+        doc = np.repeat(np.arange(len(lengths), dtype="<u2"), lengths)
         words = np.concatenate(block.lines)
-        sums = np.add.reduceat(spelled[words], np.cumsum([0, *lengths[:-1]]))
+        sums = np.add.reduceat(spelled[words], np.cumsum([0, *lengths[:-1]])) / UNIT
         heads = [
             (*head, n - 1, float(total))
             for head, n, total in zip(block.heads, lengths, sums, strict=True)
@@ -332,58 +509,52 @@ def _requests(batches: Iterator[pa.RecordBatch], tables) -> Iterator[pa.RecordBa
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, _HEADS) as out:
             out.write_batch(table)
-        own_gram = word_hash("", str(name)) - (1 << 63)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([name]), pa.array([own_gram]), pa.array([float("nan")]), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
-            schema=schema,
-        )
+        rows = [{"shard": name % (1 << bits), "block": name, "head": sink.getvalue().to_pybytes()}]
         inner = np.ones(len(words), dtype=bool)
         inner[np.cumsum(lengths) - 1] = False
         left = np.flatnonzero(inner)
-        pairs = words[left] * size + words[left + 1]
-        for codes, docs, pair in ((words, doc, False), (pairs, doc[left], True)):
-            order = np.argsort(codes, kind="stable")
-            found, starts = np.unique(codes[order], return_index=True)
-            grams = _pairs(at[found // size], at[found % size]) if pair else at[found]
-            cuts = np.concatenate([starts, [len(codes)]]) * 2
-            places = pa.Array.from_buffers(
-                pa.binary(), len(found), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(docs[order].astype("<u2"))]
-            )
-            asked = pa.nulls(len(found), pa.float64()) if pair else pa.array(spelled[found])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(found), name)), pa.array(grams.view(np.int64)), asked, places], schema=schema
-            )
-
-
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of a task's weights for each place of a block; rows of documents pass."""
-    sums: dict[int, np.ndarray] = {}
-    schema = pa.schema([("block", pa.int64()), ("head", pa.bool_()), ("body", pa.binary())])
-
-    def told():
-        cells = [pa.array(list(sums)), pa.array([False] * len(sums)), pa.array([x.tobytes() for x in sums.values()], pa.binary())]
-        return pa.RecordBatch.from_arrays(cells, schema=schema)
-
-    for batch in batches:
-        blocks, weights = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "weight"))
-        bodies = batch.column("docs").to_pylist()
-        head = np.isnan(weights)
-        at = np.flatnonzero(head)
-        if len(at):
-            cells = [pa.array(blocks[at]), pa.array([True] * len(at)), pa.array([bodies[i] for i in at], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cells, schema=schema)
-        rows = np.flatnonzero(~head)
-        rows = rows[np.argsort(blocks[rows], kind="stable")]
-        for own in np.split(rows, np.flatnonzero(np.diff(blocks[rows])) + 1) if len(rows) else ():
-            docs = np.frombuffer(b"".join(bodies[i] for i in own), dtype="<u2")
-            each = np.repeat(np.round(weights[own] * UNIT).astype(np.int64), [len(bodies[i]) // 2 for i in own])
-            total = sums.setdefault(int(blocks[own[0]]), np.zeros(BLOCK_DOCS, dtype=np.int64))
-            np.add.at(total, docs, each)
-        if len(sums) > 1024:
-            yield told()
-            sums.clear()
-    if sums:
-        yield told()
+        grams = np.concatenate([at[words], _pairs(at[words[left]], at[words[left + 1]])])
+        order = np.argsort(grams)
+        grams = grams[order]
+        starts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+        sizes = np.diff(starts, append=len(order)).astype("<u4")
+        places = np.concatenate([doc, doc[left]])[order]
+        first = order[starts]
+        asked = np.zeros(len(first), dtype="<i8")
+        single = first < len(words)
+        asked[single] = spelled[words[first[single]]]
+        grams = grams[starts]
+        cuts = [0, *np.searchsorted(grams, edges).tolist(), len(grams)]
+        ends = np.append(starts, len(places))
+        for shard, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            if a < b:
+                cells = {"grams": grams[a:b], "spelled": asked[a:b], "sizes": sizes[a:b], "places": places[ends[a] : ends[b]]}
+                rows.append({"shard": shard, "block": name, **{k: _pack(x) for k, x in cells.items()}})
+        yield pa.RecordBatch.from_pylist(rows, _ROWS)
+
+
+def _add_up(asked: pa.Table, model: pa.Table) -> pa.Table:
+    """Sums of a shard's weights for each document of a block; rows of documents pass."""
+    grams = np.concatenate([np.zeros(0, "<u8"), *(_unpack(x, "<u8") for x in model.column("grams").to_pylist())])
+    weights = np.concatenate([np.zeros(0, "<i4"), *(_unpack(x, "<i4") for x in model.column("weights").to_pylist())])
+    order = np.argsort(grams)
+    grams, weights = grams[order], weights[order].astype(np.int64)
+    rows = []
+    for k in range(asked.num_rows):
+        row = asked.slice(k, 1).to_pylist()[0]
+        if row["head"] is not None:
+            rows.append({"block": row["block"], "head": True, "body": row["head"]})
+            continue
+        own, spelled, sizes, places = (_unpack(row[c], kind) for c, kind in (("grams", "<u8"), ("spelled", "<i8"), ("sizes", "<u4"), ("places", "<u2")))
+        at = np.searchsorted(grams, own)
+        met = at < len(grams)
+        met[met] = grams[at[met]] == own[met]
+        each = np.zeros(len(own), dtype=np.int64)
+        each[met] = weights[at[met]] - spelled[met]
+        # Whole numbers far below 2**53, so the sums are exact.
+        total = np.bincount(places, weights=np.repeat(each, sizes)).astype(np.int64)
+        rows.append({"block": row["block"], "head": False, "body": _pack(total)})
+    return pa.Table.from_pylist(rows, _SUMS)
 
 
 def _of_block(rows: pa.Table) -> pa.Table:
@@ -394,23 +565,34 @@ def _of_block(rows: pa.Table) -> pa.Table:
         if head:
             heads = pa.ipc.open_stream(body).read_all()
         else:
-            total += np.frombuffer(body, dtype=np.int64)
+            own = _unpack(body, "<i8")
+            total[: len(own)] += own
     return heads.append_column("saved", pa.array(total[: len(heads)] / UNIT))
 
 
-def word_bits(rows: DataFrame, tables, model: DataFrame) -> DataFrame:
+def word_bits(rows: DataFrame, tables, model: DataFrame, bits: int = 6) -> DataFrame:
     """``doc_id``, ``model``, ``n_symbols``, ``symbol_bits`` (the mean of the whole text under the model
-    of symbols), ``n_words`` (ends of texts are words), ``spelled``, ``saved``."""
-    asked = rows.mapInArrow(lambda batches: _requests(batches, tables), _ROWS)
-    met = asked.join(model.hint("shuffle_hash"), "gram", "left").where("weight is not null or isnan(spelled)")
-    # The row of a block's documents has no weight; NaN lets it pass.
-    weight = F.when(F.col("spelled").isNull(), F.col("weight")).when(F.isnan("spelled"), F.col("spelled"))
-    summed = met.select("block", weight.otherwise(F.col("weight") - F.col("spelled")).alias("weight"), "docs").mapInArrow(
-        _add_up, "block bigint, head boolean, body binary"
-    )
-    return summed.groupBy("block").applyInArrow(
-        _of_block, "doc_id bigint, model string, n_symbols bigint, symbol_bits double, n_words bigint, spelled double, saved double"
-    )
+    of symbols), ``n_words`` (ends of texts are words), ``spelled``, ``saved``.
+
+    A part of the documents meets the model at a time, so that only its words and pairs are on disk;
+    the documents that one half of the models reads meet no other models.
+    """
+    asked = "shard int, block bigint, grams binary, spelled binary, sizes binary, places binary, head binary"
+    out = None
+    for part in range(ROUNDS):
+        half = F.col("model").endswith("/1") == F.lit(part % 2 == 1)
+        dealt = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(ROUNDS // 2)) == part // 2
+        wanted = rows.where(half & dealt).mapInArrow(lambda batches: _requests(batches, tables, bits), asked)
+        met = wanted.groupBy("shard").cogroup(model.where(half).groupBy("shard"))
+        summed = met.applyInArrow(_add_up, "block bigint, head boolean, body binary")
+        done = staged_alone(
+            summed.groupBy("block").applyInArrow(
+                _of_block, "doc_id bigint, model string, n_symbols bigint, symbol_bits double, n_words bigint, spelled double, saved double"
+            ),
+            "word-bits",
+        )
+        out = done if out is None else out.unionByName(done)
+    return out
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -427,15 +609,19 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     columns are not read.
     """
     spark = docs.sparkSession
-    trusted = staged(trusted_texts(docs, labels), "trusted-texts")
-    spelling = staged(kneser_ney(staged(_gram_counts(trusted), "gram-counts")), "spelling")
+    shards = shard_bits(docs)
+    trusted = staged_alone(trusted_texts(docs, labels), "trusted-texts")
+    spelling = staged(kneser_ney(staged_alone(_gram_counts(trusted), "gram-counts")), "spelling")
     bits = spark.sparkContext.broadcast(tables(spelling))
-    pairs = staged(count_pairs(trusted.withColumn("model", model_name(0))), "pair-counts")
-    model, unknown = word_model(pairs)
+    pairs = staged_alone(count_pairs(trusted.withColumn("model", model_name(0)), shards), "pair-counts")
+    dropped(trusted)
+    model, unknown = word_model(pairs, shards)
+    dropped(pairs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), language(F.col("lang")).alias("language"), "text")
-    found = word_bits(rows.select("doc_id", model_name(1).alias("model"), "text"), bits, staged(model, "words"))
+    found = word_bits(rows.select("doc_id", model_name(1).alias("model"), "text"), bits, model, shards)
+    dropped(model)
     # One row per model: at most 2 x (len(LANGUAGES) + 1).
-    found = found.join(F.broadcast(staged(unknown, "unknown")), "model", "left")
+    found = found.join(F.broadcast(unknown), "model", "left")
     total = F.col("spelled") + F.col("n_words") * F.col("unknown") + F.col("saved")
     scored = staged(
         found.select(

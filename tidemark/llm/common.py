@@ -39,6 +39,26 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staged_alone(df: DataFrame, label: str) -> DataFrame:
+    """As ``staged``; the shuffle files of the job that writes go when it ends, not when the driver
+    collects its garbage, so that those of jobs that follow each other never lie on disk together."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return staged(df, label)
+    finally:
+        conf.set(key, before)
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the folders of a staged table that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def packed(df: DataFrame, *columns: str) -> DataFrame:
     """All columns as ``doc`` beside the named ones, so that extra names never clash with ours."""
     return df.select(F.struct("*").alias("doc")).select(
